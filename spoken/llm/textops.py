@@ -68,7 +68,7 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, offsets - lo
 
 
-def slices(batches: Iterator[pa.RecordBatch], text: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], text: str, limit: int = SLICE_BYTES, rows: int = 1 << 15) -> Iterator[pa.RecordBatch]:
     """Cuts batches so that a slice holds about ``limit`` bytes of text, or one longer row: bounded memory at any row size."""
     for batch in batches:
         if not batch.num_rows:
@@ -77,18 +77,19 @@ def slices(batches: Iterator[pa.RecordBatch], text: str, limit: int = SLICE_BYTE
         at = 0
         while at < batch.num_rows:
             to = max(at + 1, int(np.searchsorted(off, off[at] + limit, side="right")) - 1)
-            yield batch.slice(at, min(to, batch.num_rows) - at)
+            to = min(to, batch.num_rows, at + rows)
+            yield batch.slice(at, to - at)
             at = to
 
 
 class Words:
     """Words of a batch: byte spans, the row of each, and the first word of each row (``first`` has one more entry)."""
 
-    def __init__(self, raw: np.ndarray, offsets: np.ndarray, lower: bool = False):
+    def __init__(self, raw: np.ndarray, offsets: np.ndarray, lower: bool = False, space: np.ndarray = _SPACE):
         n = len(raw)
         self.raw = _LOWER[raw] if lower else raw
         self.rows = len(offsets) - 1
-        word = ~_SPACE[self.raw]
+        word = ~space[self.raw]
         before = np.empty(n, dtype=bool)
         if n:
             before[0] = False
