@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .chat import chat_digest, format_chat
 from .common import table
+from .decontaminate import benchmark_leaks
 from .html import extract_main_text
 from .langid import identify_language
 from .mixing import mix_sources
@@ -24,6 +25,10 @@ def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents"))
 
 
+def op1_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return benchmark_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op3_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_main_text(table(spark, sf_dir, "pages"))
 
@@ -47,7 +52,7 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_html_main_text, op5_quality_rules, op6_mix_sources, op7_language_id, op8_chat_format, op9_toxicity, op10_ngram_jaccard_join)}
+    return {f.__name__: f for f in (op1_benchmark_leaks, op3_html_main_text, op5_quality_rules, op6_mix_sources, op7_language_id, op8_chat_format, op9_toxicity, op10_ngram_jaccard_join)}
 
 
 def oracle_sql() -> dict[str, str]:
