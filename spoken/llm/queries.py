@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .chat import chat_digest, format_chat
 from .common import table
@@ -14,7 +15,13 @@ from .langid import identify_language
 from .mixing import mix_sources
 from .ngram_join import ngram_jaccard_join
 from .quality import quality_report
+from .secrets import scan_secrets
 from .toxicity import score_toxicity
+from .warc import BASE32, BREAKS, DATE, HIDDEN, REFERENCES, TAGS, derivatives, page_responses
+
+
+def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_secrets(table(spark, sf_dir, "documents"))
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,6 +36,11 @@ def op1_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return benchmark_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op2_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = derivatives(page_responses(table(spark, sf_dir, "pages")))
+    return out.select("page_id", "record_type", "record_id", "refers_to", "target_uri", "payload_digest", "block_digest", "content_length", F.sha2(F.col("record").cast("binary"), 256).alias("record_sha256"))
+
+
 def op3_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_main_text(table(spark, sf_dir, "pages"))
 
@@ -52,8 +64,67 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_benchmark_leaks, op3_html_main_text, op5_quality_rules, op6_mix_sources, op7_language_id, op8_chat_format, op9_toxicity, op10_ngram_jaccard_join)}
+    return {f.__name__: f for f in (op1_benchmark_leaks, op2_warc_derivatives, op3_html_main_text, op4_secret_scan, op5_quality_rules, op6_mix_sources, op7_language_id, op8_chat_format, op9_toxicity, op10_ngram_jaccard_join)}
+
+
+def _sql(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def _warc_sql() -> str:
+    """The same records, by DuckDB's own functions; carriage returns and line breaks as chr(13), chr(10)."""
+    crlf = "(chr(13) || chr(10))"
+
+    def base32(digest: str) -> str:
+        letters = [f"substr('{BASE32}', ((('0x' || substr({digest}, {5 * i + 1}, 5))::INT >> {k}) & 31) + 1, 1)" for i in range(8) for k in (15, 10, 5, 0)]
+        return "'sha1:' || " + " || ".join(letters)
+
+    def uuid(h: str) -> str:
+        return f"'<urn:uuid:' || substr({h}, 1, 8) || '-' || substr({h}, 9, 4) || '-5' || substr({h}, 14, 3) || '-' || substr('89ab', ('0x' || substr({h}, 17, 1))::INT % 4 + 1, 1) || substr({h}, 18, 3) || '-' || substr({h}, 21, 12) || '>'"
+
+    line = lambda name, value: f"coalesce('{name}: ' || {value} || {crlf}, '')"
+    text = f"regexp_replace(regexp_replace(payload, {_sql(HIDDEN)}, '', 'g'), {_sql(chr(91) + chr(92) + 't' + chr(92) + 'n' + chr(92) + 'x0B' + chr(92) + 'f' + chr(92) + 'r ]+')}, ' ', 'g')"
+    text = f"regexp_replace(regexp_replace({text}, {_sql(BREAKS)}, chr(10), 'g'), {_sql(TAGS)}, '', 'g')"
+    for name, char in REFERENCES.items():
+        text = f"replace({text}, {_sql(name)}, {_sql(char)})"
+    space = chr(92) + "n"
+    text = f"regexp_replace(regexp_replace(regexp_replace({text}, ' +', ' ', 'g'), ' ?{space}[ {space}]*', chr(10), 'g'), '^[ {space}]+|[ {space}]+$', '', 'g')"
+    squeeze = "regexp_replace({}, '[" + chr(92) + "t" + chr(92) + "n" + chr(92) + "x0B" + chr(92) + "f" + chr(92) + "r ]+', ' ', 'g')"
+    title = f"nullif({squeeze.format('regexp_extract(payload, ' + _sql('(?is)<title[^>]*>(.*?)</title') + ', 1)')}, '')"
+    lang = "nullif(regexp_extract(payload, " + _sql("(?i)<html[^>]*" + chr(92) + "blang=[\"']?([A-Za-z-]+)") + ", 1), '')"
+    facts = " || ".join([line("payload-digest", "payload_digest"), line("payload-length", "strlen(payload)::VARCHAR"), line("title", title), line("language", lang), line("source-content-type", "'text/html; charset=utf-8'")])
+    head = [("WARC-Record-ID", "record_id"), ("WARC-Target-URI", "target_uri"), ("WARC-Date", f"'{DATE}'"), ("WARC-Refers-To", "refers_to"), ("WARC-Refers-To-Target-URI", "target_uri"), ("WARC-Refers-To-Date", f"'{DATE}'"), ("WARC-Source-Payload-Digest", "payload_digest"), ("WARC-Source-Content-Type", "'text/html; charset=utf-8'"), ("WARC-Block-Digest", "block_digest")]
+    record = " || ".join([f"'WARC/1.1' || {crlf}", line("WARC-Type", "record_type"), *(line(k, v) for k, v in head), line("Content-Type", "CASE record_type WHEN 'metadata' THEN 'application/warc-fields' ELSE 'text/plain; charset=utf-8' END"), line("Content-Length", "strlen(block)::VARCHAR"), crlf, "block", crlf, crlf])
+    return f"""WITH p AS (SELECT page_id, url AS target_uri, coalesce(html, '') AS payload, sha1(concat_ws(chr(10), 'response', page_id::VARCHAR, url)) AS h, sha1(coalesce(html, '')) AS d FROM pages),
+q AS (SELECT page_id, target_uri, payload, {uuid('h')} AS refers_to, {base32('d')} AS payload_digest FROM p),
+r AS (SELECT *, 'metadata' AS record_type, {facts} AS block FROM q UNION ALL SELECT *, 'conversion' AS record_type, {text} AS block FROM q),
+s AS (SELECT *, sha1(block) AS b, sha1(concat_ws(chr(10), record_type, refers_to, sha1(block))) AS o FROM r),
+t AS (SELECT *, {base32('b')} AS block_digest, {uuid('o')} AS record_id FROM s)
+SELECT page_id, record_type, record_id, refers_to, target_uri, payload_digest, block_digest, strlen(block)::BIGINT AS content_length, sha256({record}) AS record_sha256 FROM t"""
+
+
+def _chat_sql() -> str:
+    """Digests straight from the table; formatted_chars from the lengths that the template and its codes give."""
+    from .chat import Template
+
+    t, escaped = Template(), "text"
+    escaped_role = "role"
+    for word in sorted(t.control, key=lambda w: w != "\\"):  # the backslash first
+        code = "\\" + t.control[word]
+        escaped, escaped_role = (f"replace({x}, {_sql(word)}, {_sql(code)})" for x in (escaped, escaped_role))
+    escaped_role = f"replace({escaped_role}, chr(10), '\\n')"
+    fixed = len(t.prefix.replace("{role}", "")) + len(t.suffix)
+    return f"""WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS k FROM c),
+l AS (SELECT *, lag(role) OVER (PARTITION BY conv_id ORDER BY k) AS before FROM o),
+g AS (SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY k)) AS turns_sha256,
+coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY k) FILTER (role = 'assistant'), '')) AS loss_sha256,
+sum({fixed} + length({escaped_role}) + length({escaped}))::BIGINT AS formatted_chars,
+bool_and(CASE WHEN k = 1 THEN role IN ('system', 'user') WHEN before = 'system' THEN role = 'user' WHEN before = 'user' THEN role = 'assistant' WHEN before = 'assistant' THEN role = 'user' ELSE false END) AND arg_max(role, k) = 'assistant' AS valid
+FROM l GROUP BY conv_id)
+SELECT * FROM g"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_warc_derivatives": _warc_sql(), "op8_chat_format": _chat_sql()}
