@@ -8,8 +8,9 @@ Method, by stages (nothing is sampled or capped; every step that drops a pair re
    ``size - ceil(t * size) + 1`` tokens (of those, the shared ones) name the tiles that a set enters, which loses no link.
 2. In a tile, rows that fit by size band are compared by hashed parity bitmaps: the bits in which two bitmaps differ never exceed
    the symmetric difference, so their count bounds the overlap from above. Pairs that pass are intersected exactly, on sorted arrays.
-3. First each set is compared with its tiles' smallest member, which settles groups of near copies with a number of comparisons in
-   proportion to their size. Then, in tiles which hold several components, rows outside the largest are compared with all rows.
+3. First, in rounds, every tile has a pivot (by another hash in each round) and each set is compared with one pivot of another
+   component, that of most of its tiles. This joins groups of near copies with comparisons in proportion to their size. Then, in the
+   tiles which still hold several components, rows outside the largest are compared with all rows, so no link is lost.
    Equal sets are one node throughout, so copies never meet.
 """
 
@@ -27,6 +28,7 @@ from .common import cut, shuffle_partitions
 from .components import connected_components
 
 BITMAP_WORDS = 8
+ROUNDS = 12  # of pivots, at most; what they leave, the comparison within tiles finds
 KEY_BYTES = 6  # a token key: bucket bits and 32 more bits of its hash
 
 
@@ -54,7 +56,7 @@ _A = pa.schema([("bucket", pa.int32()), ("batch", pa.int64()), ("ids", pa.binary
 _B = pa.schema([("bucket", pa.int32()), ("batch", pa.int64()), ("ids", pa.binary()), ("sizes", pa.binary()), ("prints", pa.binary()), ("toks", pa.binary()), ("counts", pa.binary()), ("df", pa.binary())])
 _SQL_A = "bucket int, batch long, ids binary, sizes binary, prints binary, toks binary, counts binary"
 _SQL_B = _SQL_A + ", df binary"
-_SQL_C = "doc_id long, size long, p1 long, p2 long, toks binary, tiles array<long>, " + ", ".join(f"b{i} long" for i in range(BITMAP_WORDS))
+_SQL_C = "doc_id long, size long, p1 long, p2 long, toks binary, ahead long, tiles array<long>, " + ", ".join(f"b{i} long" for i in range(BITMAP_WORDS))
 
 
 def _emit(shingle: int, log2: int):
@@ -155,8 +157,8 @@ def _nodes(num: int, den: int):
             lo, hi = bounds[i], bounds[i + 1]
             toks[i] = _pack(key[by_key[lo:hi]])
             tiles[i] = key[by_df[lo : lo + max(0, int(prefix[i]))]].astype(np.int64)
-        columns = [pa.array(ids), pa.array(sizes), pa.array(prints[:, 0]), pa.array(prints[:, 1]), pa.array(toks, pa.binary()), pa.array(tiles, pa.list_(pa.int64()))]
-        return pa.RecordBatch.from_arrays(columns + [pa.array(bits[:, i].view(np.int64)) for i in range(BITMAP_WORDS)], names=["doc_id", "size", "p1", "p2", "toks", "tiles", *(f"b{i}" for i in range(BITMAP_WORDS))])
+        columns = [pa.array(ids), pa.array(sizes), pa.array(prints[:, 0]), pa.array(prints[:, 1]), pa.array(toks, pa.binary()), pa.array(sizes - shared), pa.array(tiles, pa.list_(pa.int64()))]
+        return pa.RecordBatch.from_arrays(columns + [pa.array(bits[:, i].view(np.int64)) for i in range(BITMAP_WORDS)], names=["doc_id", "size", "p1", "p2", "toks", "ahead", "tiles", *(f"b{i}" for i in range(BITMAP_WORDS))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         by: dict[int, list[dict]] = {}
@@ -178,7 +180,7 @@ def _intersect(num: int, den: int):
             for x, y, n, m in zip(batch.column("ta").to_pylist(), batch.column("tb").to_pylist(), batch.column("na").to_pylist(), batch.column("nb").to_pylist()):
                 both = len(np.intersect1d(_unpack(x), _unpack(y), assume_unique=True))
                 keep.append(den * both >= num * (n + m - both))
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            yield pa.RecordBatch.from_arrays([batch.column("ca"), batch.column("cb")], names=["ca", "cb"]).filter(pa.array(keep, pa.bool_()))
 
     return run
 
@@ -213,36 +215,53 @@ def ngram_jaccard_join(docs: DataFrame, shingle: int = 5, num: int = 75, den: in
     bits = [f"b{i}" for i in range(BITMAP_WORDS)]
     sets = rows.filter("size > 0").groupBy("p1", "p2", "size").agg(F.min("doc_id").alias("node"))
     # a slice's first row of a set has its tokens, and the smallest of a set's able rows speaks for it
-    able = rows.filter("toks is not null").groupBy("p1", "p2", "size").agg(F.min_by(F.struct("toks", "tiles", *bits), "doc_id").alias("x"))
+    able = rows.filter("toks is not null").groupBy("p1", "p2", "size").agg(F.min_by(F.struct("toks", "ahead", "tiles", *bits), "doc_id").alias("x"))
     nodes = cut(able.join(sets, ["p1", "p2", "size"]).select("node", "size", "x.*"))
 
-    def verified(pairs: DataFrame) -> DataFrame:
-        full = pairs.join(_prefixed(nodes, "a_", "node", "size", "toks"), F.col("a") == F.col("a_node")).join(_prefixed(nodes, "b_", "node", "size", "toks"), F.col("b") == F.col("b_node"))
-        return full.select("a", "b", F.col("a_size").alias("na"), F.col("b_size").alias("nb"), F.col("a_toks").alias("ta"), F.col("b_toks").alias("tb")).mapInArrow(_intersect(num, den), "a long, b long")
-
-    tiles = nodes.select("node", "size", F.explode("tiles").alias("tile"))
-    centre = tiles.groupBy("tile").agg(F.min("node").alias("a"), F.count("*").alias("n")).filter("n > 1").select("tile", "a")
-    stars = tiles.join(centre, "tile").filter("node <> a").select("a", F.col("node").alias("b")).distinct()
-    stars = stars.join(_prefixed(nodes, "a_", "node", "size", *bits), F.col("a") == F.col("a_node")).join(_prefixed(nodes, "b_", "node", "size", *bits), F.col("b") == F.col("b_node"))
-    first = cut(verified(stars.filter(_fits(num, den, "a_", "b_")).select("a", "b")))
-    labels = connected_components(first)
-
-    marked = nodes.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    marked = cut(marked.select("node", "size", "comp", F.explode("tiles").alias("tile")))
-    parts = marked.groupBy("tile", "comp").agg(F.count("*").alias("n"))
-    mixed = parts.groupBy("tile").agg(F.count("*").alias("parts"), F.max_by("comp", F.struct("n", "comp")).alias("most")).filter("parts > 1")
-    shown = marked.join(mixed.select("tile", "most"), "tile").join(_prefixed(nodes, "", "node", *bits), "node")
-    shown = cut(shown)
-    left, right = (_prefixed(shown, p, "node", "size", "comp", "tile", "most", *bits) for p in ("a_", "b_"))
-    # pairs of two rows outside the tile's largest component come once, in the order of their nodes
+    def verified(full: DataFrame) -> DataFrame:
+        """(ca, cb) of the pairs that link."""
+        return full.select("ca", "cb", F.col("a_size").alias("na"), F.col("b_size").alias("nb"), F.col("a_toks").alias("ta"), F.col("b_toks").alias("tb")).mapInArrow(_intersect(num, den), "ca long, cb long").distinct()
+
+    def relabel(labels: DataFrame, links: DataFrame) -> DataFrame:
+        """Labels of all nodes after ``links(ca, cb)`` between components."""
+        joined = connected_components(links.select(F.col("ca").alias("a"), F.col("cb").alias("b")))
+        return cut(labels.join(joined.select(F.col("node").alias("comp"), F.col("comp").alias("to")), "comp", "left").select("node", F.coalesce("to", "comp").alias("comp")))
+
+    def shown(labels: DataFrame, tiles: DataFrame) -> DataFrame:
+        """Rows of the tiles that hold several components, with the largest of these."""
+        marked = tiles.join(labels, "node")
+        parts = marked.groupBy("tile", "comp").agg(F.count("*").alias("n"))
+        mixed = parts.groupBy("tile").agg(F.count("*").alias("parts"), F.max_by("comp", F.struct("n", "comp")).alias("most")).filter("parts > 1")
+        return cut(marked.join(mixed.select("tile", "most"), "tile"))
+
+    labels = nodes.select("node", F.col("node").alias("comp"))
+    tiles = nodes.select("node", "size", "ahead", F.posexplode("tiles").alias("pos", "tile")).select("node", "size", (F.col("ahead") + F.col("pos")).alias("at"), "tile")
+    for round_ in range(ROUNDS):
+        rows_ = shown(labels, tiles)
+        tiles = rows_.select("node", "size", "at", "tile")
+        order = F.xxhash64(F.lit(round_), "node") if round_ else F.col("node")
+        pivot = rows_.groupBy("tile").agg(F.min_by(F.struct("node", "comp", "size"), order).alias("p"))
+        near = rows_.join(pivot, "tile").filter((F.col("p.comp") != F.col("comp")) & (den * F.least("size", "p.size") >= num * F.greatest("size", "p.size")))
+        near = near.groupBy("node", "comp", F.col("p.node").alias("b"), F.col("p.comp").alias("cb")).agg(F.count("*").alias("n"))
+        near = near.groupBy(F.col("node").alias("a"), F.col("comp").alias("ca")).agg(F.max_by(F.struct("b", "cb"), F.struct("n", "b")).alias("x")).select("a", "ca", "x.b", "x.cb")
+        near = near.join(_prefixed(nodes, "a_", "node", "size", "toks", *bits), F.col("a") == F.col("a_node")).join(_prefixed(nodes, "b_", "node", "size", "toks", *bits), F.col("b") == F.col("b_node")).filter(_fits(num, den, "a_", "b_"))
+        links = cut(verified(near))
+        found = links.count()
+        if found:
+            labels = relabel(labels, links)
+        if found <= max(100, nodes.count() // 100):
+            break
+
+    last = shown(labels, tiles).join(_prefixed(nodes, "", "node", *bits), "node")
+    left, right = (_prefixed(last, p, "node", "size", "at", "comp", "tile", "most", *bits) for p in ("a_", "b_"))
+    # pairs of two rows outside the tile's largest component come once, in the order of their nodes; a pair need be seen in its first
+    # common tile only, so what is left of both sets after this one must still make the overlap
     once = (F.col("b_comp") == F.col("b_most")) | (F.col("a_node") < F.col("b_node"))
-    across = left.filter("a_comp <> a_most").join(right, (F.col("a_tile") == F.col("b_tile")) & (F.col("a_comp") != F.col("b_comp")) & once & _fits(num, den, "a_", "b_"))
-    more = cut(verified(across.select(F.col("a_node").alias("a"), F.col("b_node").alias("b")).distinct()))
-
-    ends = more.join(_prefixed(labels, "a_", "node", "comp"), F.col("a") == F.col("a_node"), "left").join(_prefixed(labels, "b_", "node", "comp"), F.col("b") == F.col("b_node"), "left")
-    joined = connected_components(ends.select(F.coalesce("a_comp", "a").alias("a"), F.coalesce("b_comp", "b").alias("b")))
-    named = nodes.select("node").join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    named = named.join(joined.select(F.col("node").alias("comp"), F.col("comp").alias("last")), "comp", "left").select("node", F.coalesce("last", "comp").alias("component_id"))
+    enough = lambda x: (num + den) * (F.col(f"{x}size") - F.col(f"{x}at")) >= num * (F.col("a_size") + F.col("b_size"))
+    across = left.filter("a_comp <> a_most").join(right, (F.col("a_tile") == F.col("b_tile")) & (F.col("a_comp") != F.col("b_comp")) & once & enough("a_") & enough("b_") & _fits(num, den, "a_", "b_"))
+    pairs = across.select(F.col("a_node").alias("a"), F.col("b_node").alias("b"), F.col("a_comp").alias("ca"), F.col("b_comp").alias("cb")).distinct()
+    pairs = pairs.join(_prefixed(nodes, "a_", "node", "size", "toks"), F.col("a") == F.col("a_node")).join(_prefixed(nodes, "b_", "node", "size", "toks"), F.col("b") == F.col("b_node"))
+    named = relabel(labels, cut(verified(pairs))).select("node", F.col("comp").alias("component_id"))
     # what is neither in an equal set of several documents nor a node with links is a component of its own
     known = sets.join(named, "node", "left").select("p1", "p2", "size", F.coalesce("component_id", "node").alias("component_id"))
     return rows.join(known, ["p1", "p2", "size"], "left").select("doc_id", F.col("size").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
