@@ -13,16 +13,15 @@ BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 CRLF = "\r\n"
 #: Named character references of markup, in the order of replacement (the ampersand last).
 REFERENCES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&apos;": "'", "&#39;": "'", "&nbsp;": " ", "&copy;": "©", "&reg;": "®", "&middot;": "·", "&hellip;": "…", "&ndash;": "–", "&mdash;": "—", "&laquo;": "«", "&raquo;": "»", "&euro;": "€", "&amp;": "&"}
-HIDDEN = r"(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>|<head\b.*?</head\s*>|<noscript\b.*?</noscript\s*>|<template\b.*?</template\s*>"
+HIDDEN = r"(?is)<(?:!--.*?-->|script\b.*?</script\s*>|style\b.*?</style\s*>|head\b.*?</head\s*>|noscript\b.*?</noscript\s*>|template\b.*?</template\s*>)"
 BREAKS = r"(?i)</?(?:address|article|aside|blockquote|body|br|dd|div|dl|dt|fieldset|figcaption|figure|footer|form|h[1-6]|header|hr|html|li|main|nav|ol|p|pre|section|table|td|th|tr|ul)\b[^>]*>"
 TAGS = r"<[^>]*>"
 DATE = "2024-01-01T00:00:00Z"
 SOURCE_HEADERS = ("content-type", "last-modified", "etag", "content-language", "server")
 
 
-def base32_sha1(data: Column) -> Column:
-    """``sha1:`` and the digest in Base32: five hexadecimal digits make four of its letters."""
-    digest = F.sha1(data)
+def base32(digest: Column) -> Column:
+    """``sha1:`` and a hexadecimal digest in Base32: five hexadecimal digits make four of its letters."""
     letters = []
     for i in range(8):
         n = F.conv(F.substr(digest, F.lit(5 * i + 1), F.lit(5)), 16, 10).cast("int")
@@ -31,6 +30,10 @@ def base32_sha1(data: Column) -> Column:
     return F.concat(F.lit("sha1:"), *letters)
 
 
+def base32_sha1(data: Column) -> Column:
+    return base32(F.sha1(data))
+
+
 def record_id(*parts: Column) -> Column:
     """A urn:uuid made from the digest of what it names (version and variant bits as for name-based identifiers)."""
     h = F.sha1(F.concat_ws("\n", *parts).cast("binary"))
@@ -41,11 +44,11 @@ def record_id(*parts: Column) -> Column:
 
 def plain_text(html: Column) -> Column:
     """Text of markup: hidden elements and tags go, block tags break lines, references are decoded, white space is collapsed."""
-    out = F.regexp_replace(F.regexp_replace(html, HIDDEN, ""), r"[\t\n\x0B\f\r ]+", " ")
+    out = F.translate(F.regexp_replace(html, HIDDEN, ""), "\t\n\x0b\f\r", "     ")
     out = F.regexp_replace(F.regexp_replace(out, BREAKS, "\n"), TAGS, "")
     for name, char in REFERENCES.items():
         out = F.replace(out, F.lit(name), F.lit(char))
-    return F.regexp_replace(F.regexp_replace(F.regexp_replace(out, " +", " "), " ?\n[ \n]*", "\n"), r"^[ \n]+|[ \n]+$", "")
+    return F.regexp_replace(F.regexp_replace(F.regexp_replace(out, " {2,}", " "), " ?\n[ \n]*", "\n"), r"^[ \n]+|[ \n]+$", "")
 
 
 def parse_records(records: DataFrame, column: str = "record") -> DataFrame:
@@ -75,11 +78,12 @@ def response_record(record: Column, uri: Column, date: Column, payload: Column)
     return serialize("response", record, uri, date, "application/http; msgtype=response", http, {"WARC-Payload-Digest": base32_sha1(payload.cast("binary"))})
 
 
-def serialize(kind: str, record: Column, uri: Column, date: Column, content_type: str, block: Column, more: dict[str, Column]) -> Column:
-    """A record in WARC/1.1 form. Headers whose value is null are left out."""
+def serialize(kind: str, record: Column, uri: Column, date: Column, content_type: str, block: Column, more: dict[str, Column], digest: Column | None = None) -> Column:
+    """A record in WARC/1.1 form. Headers whose value is null are left out. ``digest``: of the block, if it is known."""
+    digest = base32_sha1(block.cast("binary")) if digest is None else digest
     line = lambda name, value: F.coalesce(F.concat(F.lit(name + ": "), value, F.lit(CRLF)), F.lit(""))
     fixed = {"WARC-Type": F.lit(kind), "WARC-Record-ID": record, "WARC-Target-URI": uri, "WARC-Date": date}
-    after = {"WARC-Block-Digest": base32_sha1(block.cast("binary")), "Content-Type": F.lit(content_type), "Content-Length": F.octet_length(block).cast("string")}
+    after = {"WARC-Block-Digest": digest, "Content-Type": F.lit(content_type), "Content-Length": F.octet_length(block).cast("string")}
     return F.concat(F.lit("WARC/1.1" + CRLF), *(line(k, v) for k, v in (fixed | more | after).items()), F.lit(CRLF), block, F.lit(CRLF * 2))
 
 
@@ -94,23 +98,25 @@ def derivatives(responses: DataFrame) -> DataFrame:
     payload = F.coalesce(F.col("payload").cast("string"), F.lit(""))
     source = F.coalesce(F.col("record_id"), record_id(F.lit("response"), F.col("target_uri"), payload))
     headers = F.col("http_headers")
-    digest = base32_sha1(payload.cast("binary"))
+    digest = F.col("payload_digest")
     title = F.nullif(F.regexp_replace(F.regexp_extract(payload, r"(?is)<title[^>]*>(.*?)</title", 1), r"[\t\n\x0B\f\r ]+", " "), F.lit(""))
     language = F.nullif(F.regexp_extract(payload, r"(?i)<html[^>]*\blang=[\"']?([A-Za-z-]+)", 1), F.lit(""))
     field = lambda name, value: F.coalesce(F.concat(F.lit(name + ": "), value, F.lit(CRLF)), F.lit(""))
     kept = F.concat(*(field("source-" + h, F.try_element_at(headers, F.lit(h))) for h in SOURCE_HEADERS))
     facts = F.concat(field("payload-digest", digest), field("payload-length", F.octet_length(payload).cast("string")), field("title", title), field("language", language), F.coalesce(kept, F.lit("")))
 
-    # one row in, two out: the pair is an array that is unfolded, so payloads are read once
+    # one row in, two out: the pair is an array that is unfolded, so payloads are read once; each digest is a column before it is used
+    rows = responses.withColumn("refers_to", source).withColumn("payload_sha_", F.sha1(payload.cast("binary"))).withColumn("payload_digest", base32(F.col("payload_sha_")))
     pair = F.array(F.struct(F.lit("metadata").alias("record_type"), facts.alias("block")), F.struct(F.lit("conversion").alias("record_type"), plain_text(payload).alias("block")))
-    rows = responses.withColumn("refers_to", source).withColumn("payload_digest", digest).withColumn("pair_", F.explode(pair))
+    rows = rows.withColumn("pair_", F.explode(pair)).withColumn("block_sha_", F.sha1(F.col("pair_.block").cast("binary"))).withColumn("block_digest", base32(F.col("block_sha_")))
     uri, date, block = F.col("target_uri"), F.col("date"), F.col("pair_.block")
-    own = record_id(F.col("pair_.record_type"), F.col("refers_to"), F.sha1(block.cast("binary")))
+    rows = rows.withColumn("own_", record_id(F.col("pair_.record_type"), F.col("refers_to"), F.col("block_sha_")))
+    own = F.col("own_")
     links = {"WARC-Refers-To": F.col("refers_to"), "WARC-Refers-To-Target-URI": uri, "WARC-Refers-To-Date": date, "WARC-Source-Payload-Digest": F.col("payload_digest")}
     links |= {"WARC-Source-Content-Type": F.try_element_at(headers, F.lit("content-type"))}
-    record = F.when(F.col("pair_.record_type") == "metadata", serialize("metadata", own, uri, date, "application/warc-fields", block, links)).otherwise(serialize("conversion", own, uri, date, "text/plain; charset=utf-8", block, links))
+    record = F.when(F.col("pair_.record_type") == "metadata", serialize("metadata", own, uri, date, "application/warc-fields", block, links, F.col("block_digest"))).otherwise(serialize("conversion", own, uri, date, "text/plain; charset=utf-8", block, links, F.col("block_digest")))
     rest = [F.col(f"`{c}`") for c in responses.columns if c not in ("record_id", "target_uri", "date", "http_headers", "payload", "refers_to", "payload_digest")]
-    return rows.select(*rest, "pair_.record_type", own.alias("record_id"), "refers_to", uri, date, "payload_digest", base32_sha1(block.cast("binary")).alias("block_digest"), F.octet_length(block).cast("long").alias("content_length"), block.alias("block"), record.alias("record"))
+    return rows.select(*rest, "pair_.record_type", own.alias("record_id"), "refers_to", uri, date, "payload_digest", "block_digest", F.octet_length(block).cast("long").alias("content_length"), block.alias("block"), record.alias("record"))
 
 
 def page_responses(pages: DataFrame, date: str = DATE) -> DataFrame:
