@@ -20,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -63,7 +64,8 @@ def _emit(shingle: int, log2: int):
     """Documents to packed tokens by bucket; one more row for each slice holds ids, set sizes and 128-bit set prints."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in T.slices(batches, "text"):
+        place = TaskContext.get().partitionId() << 32
+        for number, part in enumerate(T.slices(batches, "text")):
             ids = part.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64)
             hashes, bounds = T.shingle_sets(*T.buffers(part.column("text")), shingle)
             sizes = np.diff(bounds)
@@ -80,7 +82,7 @@ def _emit(shingle: int, log2: int):
             bucket = (h >> np.uint64(64 - log2)).astype(np.uint16)
             order = np.argsort(bucket, kind="stable")
             toks, r, bucket = ((h >> np.uint64(32 - log2)) & np.uint64(0xFFFFFFFF)).astype(np.uint32)[order], r[order], bucket[order]
-            batch = int(T.mix(np.cumsum(T.mix(ids.astype(np.uint64)) * T.powers(0x9E3779B97F4A7C15, len(ids)), dtype=np.uint64)[-1:]).view(np.int64)[0])
+            batch = int(T.mix(np.array([place | number], np.uint64)).view(np.int64)[0])
             out = [(int(batch % (1 << log2)), batch, ids.tobytes(), sizes.astype(np.int64).tobytes(), prints.tobytes(), None, None)]
             edges = np.searchsorted(bucket, np.arange((1 << log2) + 1))
             for b in np.flatnonzero(np.diff(edges)).tolist():
@@ -91,6 +93,18 @@ def _emit(shingle: int, log2: int):
     return run
 
 
+def _count_only(shingle: int):
+    """Set sizes of rows without an id, which link with nothing."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in T.slices(batches, "text"):
+            _, bounds = T.shingle_sets(*T.buffers(part.column("text")), shingle)
+            none = pa.nulls(part.num_rows, pa.int64())
+            yield pa.RecordBatch.from_arrays([none, pa.array(np.diff(bounds).astype(np.int64)), none], names=["doc_id", "n_shingles", "component_id"])
+
+    return run
+
+
 def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Tokens of whole buckets to the shared ones with their document frequency; the slices' rows pass unchanged."""
     heads, sent = [], []
@@ -203,12 +217,14 @@ def ngram_jaccard_join(docs: DataFrame, shingle: int = 5, num: int = 75, den: in
     Two documents link when ``den * |x & y| >= num * |x | y|``; component_id is the smallest doc_id that links reach. Texts are
     lower-cased A-Z and cut into words ``[^\\x20\\x09-\\x0D]+``; a text of fewer than ``shingle`` words is one shingle; null,
     empty and blank texts have the empty set, n_shingles 0, and are linked with nothing. Equal sets always link. Rows with the same
-    doc_id stay separate rows of one id. Other columns of ``docs`` are ignored. An empty table gives an empty result. ``docs``
+    doc_id stay separate rows of one id; rows without one link with nothing and have a null component. Other columns of ``docs`` are ignored. An empty table gives an empty result. ``docs``
     must give its rows in the same order when a task runs again (a scan of files does).
     """
     spark = docs.sparkSession
     partitions = shuffle_partitions(spark)
-    sent = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_emit(shingle, _log2_buckets(partitions)), _SQL_A)
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    nameless = texts.filter("doc_id is null").select("text").mapInArrow(_count_only(shingle), "doc_id long, n_shingles long, component_id long")
+    sent = texts.filter("doc_id is not null").mapInArrow(_emit(shingle, _log2_buckets(partitions)), _SQL_A)
     shared = sent.repartition(partitions, "bucket").mapInArrow(_frequencies, _SQL_B)
     rows = cut(shared.repartition(partitions, "batch").mapInArrow(_nodes(num, den), _SQL_C))
 
@@ -264,4 +280,5 @@ def ngram_jaccard_join(docs: DataFrame, shingle: int = 5, num: int = 75, den: in
     named = relabel(labels, cut(verified(pairs))).select("node", F.col("comp").alias("component_id"))
     # what is neither in an equal set of several documents nor a node with links is a component of its own
     known = sets.join(named, "node", "left").select("p1", "p2", "size", F.coalesce("component_id", "node").alias("component_id"))
-    return rows.join(known, ["p1", "p2", "size"], "left").select("doc_id", F.col("size").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    out = rows.join(known, ["p1", "p2", "size"], "left").select("doc_id", F.col("size").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    return out.unionByName(nameless)

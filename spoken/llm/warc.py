@@ -53,10 +53,11 @@ def plain_text(html: Column) -> Column:
 
 def parse_records(records: DataFrame, column: str = "record") -> DataFrame:
     """Adds (headers map, http_headers map, http_status, payload) of WARC response records in a binary or text column. A record
-    without an empty line has headers only; header names are lower-cased, of repeated ones the first counts."""
+    without an empty line has headers only; header names are lower-cased, of repeated ones the first counts.
+    The empty lines that end a record are not part of its block."""
     text = F.col(column).cast("string")
     head = F.substring_index(text, CRLF * 2, 1)
-    block = F.when(F.length(text) > F.length(head), F.substr(text, F.length(head) + 5))
+    block = F.when(F.length(text) > F.length(head), F.regexp_replace(F.substr(text, F.length(head) + 5), r"\r\n\r\n\z", ""))
 
     def table(lines: Column) -> Column:
         pairs = F.transform(F.filter(F.split(lines, CRLF), lambda x: F.contains(x, F.lit(":"))), lambda x: F.struct(F.lower(F.trim(F.substring_index(x, ":", 1))).alias("k"), F.trim(F.substr(x, F.instr(x, ":") + 1)).alias("v")))
