@@ -17,6 +17,19 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spoken-checkpoint-"))
 
 
+BATCH_BYTES, BATCH_ROWS = 4 << 20, 2000
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Lowers what Spark hands to Python at once to about ``BATCH_BYTES``: its own limit, 10,000 rows of any length, is no bound on
+    texts. Limits that are lower already stay."""
+    for key, most in (("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES), ("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)):
+        now = spark.conf.get(key, None) or "0"
+        size = int(now) if now.lstrip("-").isdigit() else most + 1
+        if not 0 < size <= most:
+            spark.conf.set(key, str(most))
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: computed once, lineage ends in files that every executor can read."""
     ensure_checkpoint_dir(df.sparkSession)
@@ -33,6 +46,7 @@ def held_out(doc_id):
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
