@@ -137,6 +137,8 @@ def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             begin = end
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*out), _B)], schema=_B)
+    sent.clear()
+    T.release()
 
 
 def _nodes(num: int, den: int):
@@ -181,6 +183,7 @@ def _nodes(num: int, den: int):
                 by.setdefault(row["batch"], []).append(row)
         for key in sorted(by):
             yield one(by.pop(key))
+        T.release()
 
     return run
 

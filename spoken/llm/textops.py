@@ -7,6 +7,7 @@ Nulls count as empty text.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -68,6 +69,15 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, offsets - lo
 
 
+def release() -> None:
+    """Gives freed memory back to the system: Spark keeps its Python workers, and what they hold counts for the executor."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def slices(batches: Iterator[pa.RecordBatch], text: str, limit: int = SLICE_BYTES, rows: int = 1 << 15) -> Iterator[pa.RecordBatch]:
     """Cuts batches so that a slice holds about ``limit`` bytes of text, or one longer row: bounded memory at any row size."""
     for batch in batches:
@@ -80,6 +90,9 @@ def slices(batches: Iterator[pa.RecordBatch], text: str, limit: int = SLICE_BYTE
             to = min(to, batch.num_rows, at + rows)
             yield batch.slice(at, to - at)
             at = to
+        del batch
+    _pow_cache.clear()
+    release()
 
 
 class Words:
