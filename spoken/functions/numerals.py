@@ -1,6 +1,7 @@
 """Number words, ordinals, agreement and Roman numerals as Column functions.
 
-Words of 0..999 are array literals built from the stems once, so a number costs an element look-up a group of three digits.
+A group of three digits costs two element look-ups, in literals of ten and of a hundred words. Larger literals would cost more in
+planning, which handles every literal many times, than they save at run time.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 
 from . import tables as t
 
-_UNDER = [t.under_thousand(n) for n in range(1000)]
+_UNDER_HUNDRED = [t.under_thousand(n) for n in range(100)]
 
 
 def _look_up(words: list[str], index: Column) -> Column:
@@ -20,6 +21,11 @@ def _look_up(words: list[str], index: Column) -> Column:
     return F.get(F.split(F.lit("|".join(words)), "[|]"), index.cast("int"))
 
 
+def _under_thousand(n: Column) -> Column:
+    """Words of 0..999; 0 is empty."""
+    return F.concat_ws(" ", F.nullif(_look_up(list(t.HUNDREDS), F.floor(n / 100)), F.lit("")), F.nullif(_look_up(_UNDER_HUNDRED, n % 100), F.lit("")))
+
+
 def let(value: Column, then: Callable[[Column], Column]) -> Column:
     """``then(value)`` with the value computed once, for use inside lambdas, where common subexpressions are not shared."""
     return F.get(F.transform(F.array(value), then), 0)
@@ -43,11 +49,11 @@ def cardinal(n: Column) -> Column:
     parts = []
     for power, *forms in t.SCALES:
         count = F.floor(n / F.lit(10**power).cast("decimal(19,0)")).cast("long") % 1000
-        words = _look_up(_UNDER, count)
+        words = _under_thousand(count)
         if power == 3:
             words = F.when(count == 1, F.lit(None)).otherwise(feminine(words))
         parts.append(F.when(count > 0, F.concat_ws(" ", words, plural(count, tuple(forms)))))
-    parts.append(F.nullif(_look_up(_UNDER, n % 1000), F.lit("")))
+    parts.append(F.nullif(_under_thousand(n % 1000), F.lit("")))
     return F.when(n == 0, t.ZERO).when((n > 0) & (n < 10**18), F.concat_ws(" ", *parts))
 
 
@@ -62,26 +68,36 @@ def digit_by_digit(digits: Column) -> Column:
     return F.array_join(F.transform(F.split(digits, ""), lambda d: _look_up(names, d.cast("int"))), " ")
 
 
-def _ordinal_words(case: str) -> list[str]:
-    return [t.ordinal_under_thousand(n, case) for n in range(1000)]
+def _ordinal_tail(n: Column, case: str) -> Column:
+    """Ordinal words of 0..999; 0 is the cardinal."""
+    hundreds = [t.ordinal_under_thousand(100 * h, case) for h in range(10)]
+    rest = [t.ordinal_under_thousand(r, case) for r in range(100)]
+    mixed = F.concat_ws(" ", F.nullif(_look_up(list(t.HUNDREDS), F.floor(n / 100)), F.lit("")), _look_up(rest, n % 100))
+    return F.when((n % 100 == 0), _look_up(hundreds, F.floor(n / 100))).when(n.isNotNull(), mixed)
 
 
-def ordinal(n: Column, case: str = "nom_m") -> Column:
-    """Ordinal words of n in a case. Null where the rules have no word: n that ends in 000, but for 1000, a million, a milliard."""
+def ordinal_where(n: Column, cases: dict[str, Column]) -> Column:
+    """Ordinal words of n in the first case whose condition holds. Null where the rules have no word: 10 ** 12 and more, and n that ends
+    in 000, but for 1000, a million and a milliard. What does not depend on the case is in the plan once."""
     n = n.cast("long")
-    rest, parts = n, []
+    rest, head = n % 1000, []
     for power, *forms in t.SCALES[2:]:
-        count = F.floor(rest / F.lit(10**power)).cast("long")
-        words = cardinal(count)
-        if power == 3:
-            words = feminine(words)
-        parts.append(F.when(count > 0, F.concat_ws(" ", words, plural(count, tuple(forms)))))
-        rest = rest % 10**power
-    tail = _look_up(_ordinal_words(case), rest)
-    out = F.when(n.between(0, 999), _look_up(_ordinal_words(case), n))
-    for whole in (1000, 10**6, 10**9):
-        out = out.when(n == whole, t.ordinal_form(whole, case))
-    return out.when((n >= 1000) & (rest > 0), F.concat_ws(" ", *parts, tail))
+        count = (F.floor(n / F.lit(10**power)) % 1000).cast("long")
+        words = _under_thousand(count)
+        head.append(F.when(count > 0, F.concat_ws(" ", feminine(words) if power == 3 else words, plural(count, tuple(forms)))))
+    tail = whole = F.lit(None).cast("string")
+    for case, holds in reversed(cases.items()):
+        tail = F.when(holds, _ordinal_tail(rest, case)).otherwise(tail)
+        single = F.when(n == 1000, t.ordinal_form(1000, case)).when(n == 10**6, t.ordinal_form(10**6, case)).when(n == 10**9, t.ordinal_form(10**9, case))
+        whole = F.when(holds, single).otherwise(whole)
+    above = (n >= 1000) & (n < 10**12)
+    said = let(tail, lambda own: F.when(n < 1000, own).when(above & (rest > 0), F.when(own.isNotNull(), F.concat_ws(" ", *head, own))))
+    return F.when(n.isin(1000, 10**6, 10**9), whole).when(n >= 0, said)
+
+
+def ordinal(n: Column, case: str = "nom_m") -> Column:
+    """Ordinal words of n in a case (see ``ordinal_where``)."""
+    return ordinal_where(n, {case: F.lit(True)})
 
 
 def roman_to_int(text: Column) -> Column:

@@ -12,21 +12,12 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..functions import letters as L
 from ..functions import numerals as N
 from ..functions import tables as t
-
-MARK = "\u0001"
-RU = "а-яёА-ЯЁ̀-ͯ"
-WORD = r"0-9A-Za-z_\p{L}\p{M}"
-
-
-def rewrite(text: Column, pattern: str, words: Callable[[Column], Column]) -> Column:
-    """Every match of ``pattern`` replaced by ``words(match)``, or kept where that is null. ``text`` is named three times, so steps are
-    chained as columns of a DataFrame (``plans.pipeline.normalize``), not as nested expressions."""
-    pieces = F.split(F.regexp_replace(F.translate(text, MARK, ""), pattern, f"{MARK}$0{MARK}"), MARK, -1)
-    out = F.array_join(F.transform(pieces, lambda x, i: F.when(i % 2 == 1, F.coalesce(words(x), x)).otherwise(x)), "")
-    return F.when(text.rlike(pattern), out).otherwise(text)
-
+from ..sources.dictionaries import DEFAULTS, Dictionaries
+from . import context, lexicon
+from .segments import RU, WORD, rewrite
 
 def _part(x: Column, pattern: str, group: int = 1) -> Column:
     return F.regexp_extract(x, pattern, group)
@@ -181,13 +172,8 @@ def ordinal_suffixes(text: Column) -> Column:
     p = rf"([0-9]+)[-‐-―−﹣－]({ends})"
 
     def words(x):
-        def cased(n):
-            end, out = F.regexp_replace(_part(x, p, 2), "[̀-ͯ]", ""), None
-            for suffix, case in t.SUFFIXES.items():
-                out = F.when(end == suffix, N.ordinal(n, case)) if out is None else out.when(end == suffix, N.ordinal(n, case))
-            return out
-
-        return N.let(_number(x, p), cased)
+        end = F.regexp_replace(_part(x, p, 2), "[̀-ͯ]", "")
+        return N.let(_number(x, p), lambda n: N.ordinal_where(n, {case: end == suffix for suffix, case in t.SUFFIXES.items()}))
 
     return rewrite(text, rf"{p}(?![а-яё̀-ͯ])", words)
 
@@ -235,13 +221,57 @@ def negatives(text: Column) -> Column:
     return F.regexp_replace(text, r"(?:(?<=^)|(?<=[\s(\[]))[-−]([0-9])", "ми́нус $1")
 
 
+def greek(text: Column) -> Column:
+    """A single Greek letter before a dot is named, other Greek letters are read as Cyrillic ones; an acute becomes a stress mark."""
+    names = F.create_map(*(F.lit(x) for pair in L.GREEK_NAMES.items() for x in pair))
+    out = rewrite(text, rf"(?<![{WORD}])[Α-Ωα-ω](?=\.(?![{WORD}]))", lambda x: F.try_element_at(names, x))
+    said = L.greek_letters()
+    for tail in (L.ACUTE, "с"):
+        own = "".join(k for k, v in said.items() if v[1:] == tail)
+        out = F.regexp_replace(out, f"[{own}]", f"$0{tail}")
+    out = F.translate(out, "".join(said), "".join(v[0] for v in said.values()))
+    return F.when(text.rlike("[Ͱ-Ͽἀ-῿]"), out).otherwise(text)
+
+
+def latin_fold(text: Column) -> Column:
+    """Latin letters without accents, composed or not. Cyrillic й and ё are composed; other letters keep their marks."""
+    said = L.latin_letters()
+    marks = "|".join(f"(?<=[{bases}]){mark}" for mark, bases in L.latin_marks().items())
+    out = F.regexp_replace(text, marks, "")
+    for k, v in said.items():
+        if len(v) > 1:
+            out = F.replace(out, F.lit(k), F.lit(v))
+    single = {k: v for k, v in said.items() if len(v) == 1}
+    out = F.translate(out, "".join(single), "".join(single.values()))
+    for two, one in (("й", "й"), ("Й", "Й"), ("ё", "ё"), ("Ё", "Ё")):
+        out = F.replace(out, F.lit(two), F.lit(one))
+    return F.when(text.rlike("[À-ž̀-ͯ]"), out).otherwise(text)
+
+
+def numbers(text: Column) -> Column:
+    """What digits remain: those with a preposition or year word by their context, then all others."""
+    return plain_numbers(context.numbers_in_context(text))
+
+
 def plain_numbers(text: Column) -> Column:
     """What digits remain: a leading zero is read digit by digit, other runs as cardinals."""
     return rewrite(text, "[0-9]+", lambda x: F.when(x.rlike("^0[0-9]"), N.digit_by_digit(x)).otherwise(N.cardinal_text(x)))
 
 
-#: The text steps by number, in the order in which a text goes through them.
-STEPS: dict[str, Callable[[Column], Column]] = {"1": typography, "2": web, "5": sections, "6": digit_groups, "8": dates, "8.5": decimal_hyphen, "9": compounds, "10": times, "11": fractions, "12": percent, "13": multipliers, "14a": measures, "14b": ambiguous_measures, "15": ordinal_suffixes, "21": symbols, "22": decimals, "23": currency, "24": negatives, "25": plain_numbers}
+Step = Callable[[Column], Column]
+
+
+def steps(dictionaries: Dictionaries = DEFAULTS) -> dict[str, Step]:
+    """The steps by number, in the order in which a text goes through them. Steps 4, 19 and 26 have no effect and are not listed."""
+    d = dictionaries
+    return {
+        "1": typography, "2": web, "3": lambda x: lexicon.substitutions(x, d), "16": lambda x: lexicon.acronyms(x, d), "5": sections, "6": digit_groups, "7": context.ranges, "8": dates, "8.5": decimal_hyphen, "9": compounds, "10": times, "11": fractions, "12": percent,
+        "13": multipliers, "14a": measures, "14b": ambiguous_measures, "15": ordinal_suffixes, "20": lambda x: lexicon.restore(x, d), "17b": context.roman_numerals(lexicon.ruler_names(d)), "17": lambda x: lexicon.rulers(x, d), "27": greek, "18": context.alphanumeric, "21": symbols, "22": decimals, "23": currency, "24": negatives,
+        "25": numbers, "29": latin_fold, "28": lambda x: lexicon.language_tags(x, d),
+    }
+
+
+STEPS = steps()
 OFF = frozenset({"14b"})
 #: File order: the cheap steps run over every node before the others.
-FAST = ("1", "2", "21", "24")
+FAST = ("1", "2", "3", "21", "24", "27", "29")

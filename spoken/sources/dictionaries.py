@@ -2,9 +2,69 @@
 
 from __future__ import annotations
 
+import re
+from dataclasses import dataclass, field
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Dictionaries become literals of the plan, so their size is checked; the bound is far above a hand-made dictionary.
+MAX_ENTRIES = 20_000
+
+
+@dataclass(frozen=True)
+class Dictionaries:
+    """``ru``: acronym to what is said (empty: its letters). ``en``: acronym to ``en``, ``en|ru`` or empty. ``patterns``: regular
+    expression to replacement, in order. ``rulers``: name to gender (mas, fem) and the forms nom, gen, dat, acc, ins, prep."""
+
+    ru: dict[str, str] = field(default_factory=dict)
+    en: dict[str, str] = field(default_factory=dict)
+    patterns: dict[str, str] = field(default_factory=dict)
+    rulers: dict[str, tuple[str, ...]] = field(default_factory=dict)
+
+    def __post_init__(self):
+        if max(map(len, (self.ru, self.en, self.patterns, self.rulers))) > MAX_ENTRIES:
+            raise ValueError(f"a dictionary has more than {MAX_ENTRIES} entries")
+
+
+# --- fixed values: the dictionaries that apply unless others are given ------------------------------------------------------------------
+DEFAULTS = Dictionaries(
+    ru={"ВВС": "", "СВТ": "эс вэ тэ", "НКВД": "эн ка вэ дэ", "СМЕРШ": "сме́рш"},
+    en={"BBC": "", "GPS": "", "CPU": "си пи ю", "GPU": "джи пи ю"},
+    patterns={r"\bP\.S\.(?![а-яё\w])": "пост скри́птум", r"\betc\.(?![а-яё\w])": "эт цетера"},
+    rulers={"Пётр": ("mas", "Пё́тр", "Петра́", "Петру́", "Петра́", "Петро́м", "Петре́"), "Екатерина": ("fem", "Екатери́на", "Екатери́ны", "Екатери́не", "Екатери́ну", "Екатери́ной", "Екатери́не")},
+)
+
+
+def load(spark: SparkSession, ru: str | None = None, en: str | None = None, patterns: str | None = None, rulers: str | None = None) -> Dictionaries:
+    """Dictionaries from text files; the defaults stand in for those without a path. Broken patterns are left out."""
+    found = {}
+    if ru:
+        found["ru"] = {r["key"]: r["ru"] for r in read_acronyms(spark, ru, "ru").limit(MAX_ENTRIES + 1).collect()}
+    if en:
+        found["en"] = {r["key"]: f"{r['en']}|{r['ru']}" if r["ru"] else r["en"] for r in read_acronyms(spark, en, "en").limit(MAX_ENTRIES + 1).collect()}
+    if patterns:
+        rows = spark.read.text(patterns).filter("trim(value) <> '' and not startswith(trim(value), '#')").limit(MAX_ENTRIES + 1).collect()
+        found["patterns"] = {k.strip(): v.strip() for k, _, v in (r["value"].rpartition("=") for r in rows)}
+    if rulers:
+        rows = read_rulers(spark, rulers).groupBy("base", "gender").pivot("case", ["nom", "gen", "dat", "acc", "ins", "prep"]).agg(F.first("form")).limit(MAX_ENTRIES + 1).collect()
+        found["rulers"] = {r["base"]: tuple(r)[1:] for r in rows}
+    return Dictionaries(**{k: getattr(DEFAULTS, k) for k in ("ru", "en", "patterns", "rulers")} | found)
+
+
+def java_pattern(pattern: str) -> str | None:
+    """A pattern of a dictionary for Java: word bounds at its ends know Cyrillic letters and marks. None if it is broken."""
+    try:
+        re.compile(pattern)
+    except re.error:
+        return None
+    bound = r"[а-яё\ẁ-ͯ]"
+    if pattern.startswith(r"\b"):
+        pattern = f"(?<!{bound}){pattern[2:]}"
+    if pattern.endswith(r"\b"):
+        pattern = f"{pattern[:-2]}(?!{bound})"
+    return "(?U)" + pattern.replace("(?P<", "(?<")
+
 
 def read_acronyms(spark: SparkSession, path: str, lang: str) -> DataFrame:
     """(lang, key, en, ru) of lines ``KEY = SAY`` or, in an English dictionary, ``KEY = EN = RU``; blank lines and # are skipped."""
