@@ -10,6 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import letters as L
 from ..functions import numerals as N
 from ..functions import tables as t
 from ..operators import speech, tokens
@@ -251,6 +252,65 @@ def web_addresses(spark, sf_dir):
     return _read(spark, sf_dir, "pages").select("page_id", _step("2", F.col("url")).alias("spoken"))
 
 
+# --- steps that look at context and dictionaries ---------------------------------------------------------------------------------------
+_R = f"{_list(_ROMANS)}[n + 1]"
+
+
+def _roman_text(spark, sf_dir, before: str, after: str):
+    return _sizes(spark, sf_dir, F.concat(F.lit(before), N.to_roman(F.col("n")), F.lit(after)))
+
+
+@query(_N + f"'в ' || {_ordinal99('n', 'prep')} || ' домах' AS spoken FROM n")
+def numbers_context(spark, sf_dir):
+    return _sizes(spark, sf_dir, F.concat(F.lit("в "), "n", F.lit(" домах"))).select("n", _step("25", F.col("text")).alias("spoken"))
+
+
+@query(_N + f"{_ordinal99('n', 'nom_m')} || ' - ' || {_ordinal99('(n + 1)', 'nom_m')} || ' го́ды' AS spoken FROM n")
+def number_ranges(spark, sf_dir):
+    return _sizes(spark, sf_dir, F.concat("n", F.lit("-"), F.col("n") + 1, F.lit(" гг."))).select("n", _step("7", F.col("text")).alias("spoken"))
+
+
+@query(_N + f"{_ordinal99('n', 'nom_m')} || ' ве́к' AS spoken FROM n")
+def roman_generic(spark, sf_dir):
+    return _roman_text(spark, sf_dir, "", " век").select("n", _step("17b", F.col("text")).alias("spoken"))
+
+
+@query(_N + f"'Петра ' || {_ordinal99('n', 'gen')} AS spoken FROM n")
+def ruler_names(spark, sf_dir):
+    return _roman_text(spark, sf_dir, "Петра ", "").select("n", _step("17", F.col("text")).alias("spoken"))
+
+
+@query(_N + f"'а́ ' || {_cardinal('n')} AS spoken FROM n")
+def alphanumeric_codes(spark, sf_dir):
+    return _sizes(spark, sf_dir, F.concat(F.lit("А"), "n")).select("n", _step("18", F.col("text")).alias("spoken"))
+
+
+@query(_N + f"{_list(L.GREEK.values())}[n % 25 + 1] AS spoken FROM n")
+def greek_letters(spark, sf_dir):
+    return _sizes(spark, sf_dir, F.get(F.array(*map(F.lit, L.GREEK)), (F.col("n") % 25).cast("int"))).select("n", _step("27", F.col("text")).alias("spoken"))
+
+
+@query("SELECT doc_id, " + _replace_all("text", L.latin_letters()) + " AS plain FROM documents")
+def latin_fold(spark, sf_dir):
+    return _read(spark, sf_dir, "documents").select("doc_id", _step("29", F.col("text")).alias("plain"))
+
+
+@query("SELECT n_nationkey, 'эн ка вэ дэ ' || n_name || ' си пи ю' AS spoken FROM nation")
+def acronyms(spark, sf_dir):
+    marked = _read(spark, sf_dir, "nation").select("n_nationkey", _step("16", F.concat(F.lit("НКВД "), "n_name", F.lit(" CPU"))).alias("text"))
+    return marked.select("n_nationkey", _step("20", F.col("text")).alias("spoken"))
+
+
+@query("SELECT n_nationkey, n_name || ' эт цетера' AS spoken FROM nation")
+def substitutions(spark, sf_dir):
+    return _read(spark, sf_dir, "nation").select("n_nationkey", _step("3", F.concat("n_name", F.lit(" etc."))).alias("spoken"))
+
+
+@query("SELECT n_nationkey, 'слово <tts_en>the house of J. kay,</tts_en> да ' || n_name AS spoken FROM nation")
+def language_tags(spark, sf_dir):
+    return _read(spark, sf_dir, "nation").select("n_nationkey", _step("28", F.concat(F.lit("слово the house of J. K., да "), "n_name")).alias("spoken"))
+
+
 # --- tokens and reports -----------------------------------------------------------------------------------------------------------------
 _TOKEN = tokens.TOKEN
 
@@ -335,6 +395,28 @@ def pause_plan(spark, sf_dir):
     return _read(spark, sf_dir, "conversations").select("conv_id", "turn", speech.pause_after(F.col("text")).alias("pause"))
 
 
+@query("SELECT n_nationkey, 'чина квест дабл ю дабл ю дабл ю ' || n_nationkey AS spoken FROM nation")
+def transliteration(spark, sf_dir):
+    return _read(spark, sf_dir, "nation").select("n_nationkey", speech.transliterate(F.concat(F.lit("China quest WWW "), "n_nationkey")).alias("spoken"))
+
+
+@query("SELECT o_orderkey, unnest([{'text': o_orderpriority || ',', 'pause': 0.05::DOUBLE}, {'text': ' b:', 'pause': 0.12::DOUBLE}, {'text': ' c', 'pause': 0.0::DOUBLE}], recursive := true) FROM orders")
+def forced_pauses(spark, sf_dir):
+    text = F.concat("o_orderpriority", F.lit(",, b: c"))
+    return _read(spark, sf_dir, "orders").select("o_orderkey", F.inline(speech.forced_pauses(text)))
+
+
+@query("SELECT n_nationkey, '<speak>' || replace(lower(n_name), 'nation', 'натион') || ' &amp; он,<break time=\"50ms\"/> да</speak>' AS ssml FROM nation")
+def ssml(spark, sf_dir):
+    return _read(spark, sf_dir, "nation").select("n_nationkey", speech.ssml(F.concat(F.lower("n_name"), F.lit(" & он, да"))).alias("ssml"))
+
+
+@query()
+def block_merge(spark, sf_dir):
+    blocks = _blocks(spark, sf_dir).withColumn("type", F.when(F.col("block_idx") % 5 == 4, "pause").otherwise(F.col("type")))
+    return speech.merge_short_blocks(speech.paginate(blocks, 100))
+
+
 @query()
 def chunk_plan(spark, sf_dir):
     return _read(spark, sf_dir, "documents").select("doc_id", F.posexplode(speech.chunks(F.col("text"))).alias("chunk_idx", "chunk"))

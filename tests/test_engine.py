@@ -4,10 +4,13 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from spoken.functions import letters as L
 from spoken.functions import numerals as N
+from spoken.functions import words as W
 from spoken.operators import speech, tokens
-from spoken.operators.steps import STEPS
+from spoken.operators.steps import STEPS, steps
 from spoken.plans import catalog, pipeline
+from spoken.sources.dictionaries import Dictionaries
 from spoken.sources.fb2 import nodes_of
 from spoken.streaming.incremental import normalize_new
 
@@ -19,6 +22,12 @@ VECTORS = [
     ("11", "½", "одна́ втора́я"), ("11", "¾", "три́ четвё́ртых"), ("11", "⅟", "⅟"), ("12", "5%", "пя́ть проце́нтов"), ("12", "21 %", "два́дцать оди́н проце́нт"),
     ("13", "5 тыс", "пя́ть ты́сяч"), ("13", "1 тыс.", "одна́ ты́сяча."), ("14a", "12 км", "двена́дцать киломе́тров"), ("14a", "2 мин", "две́ мину́ты"),
     ("15", "1-я", "пе́рвая"), ("15", "5-го", "пя́того"), ("22", "3,14", "три́ це́лых и́ четы́рнадцать со́тых"), ("22", "1,5", "одна́ це́лая и́ пя́ть деся́тых"), ("22", "1,0", "оди́н"),
+    ("3", "P.S. привет etc.", "пост скри́птум привет эт цетера"), ("7", "в 1941-1945 гг.", "в ты́сяча девятьсо́т со́рок пе́рвом - ты́сяча девятьсо́т со́рок пя́том года́х"), ("7", "5-7 домов", "пя́ть - се́мь домов"),
+    ("17", "При Петре I", "При Петре пе́рвом"), ("17", "Екатерине II", "Екатерине второ́му"), ("17", "Иван IV", "Иван IV"),
+    ("17b", "в V веке", "в пя́том ве́ке"), ("17b", "V-VI вв.", "пя́тый-шесто́й века́"), ("17b", "кн. II.", "кни́га два́"), ("17b", "V. I. Lenin", "V. I. Lenin"), ("17b", "с I по V век", "с пе́рвого по пя́тый ве́к"), ("17b", "CD", "CD"), ("17b", "Пётр I", "Пётр I"),
+    ("18", "А. Б. Иванов", "а́-бэ́, Иванов"), ("18", "А123", "а́ сто́ два́дцать три́"), ("18", "808Д", "восемьсо́т во́семь, дэ́"), ("18", "5км", "5км"),
+    ("25", "в 5 домах", "в пя́том домах"), ("25", "в 1999 году", "в ты́сяча девятьсо́т девяно́сто де́вять года́х"), ("25", "к 5 г.", "к пя́тому го́ду"), ("25", "12 лет", "двена́дцать ле́т"), ("25", "с 3 лет", "с трёх ле́т"), ("25", "в 2000 доме", "в две́ ты́сячи доме"),
+    ("27", "α. λόγος Ξ", "а́льфа. ло́гос Кс"), ("28", "слово the house of J. K. дом", "слово <tts_en>the house of J. kay</tts_en> дом"), ("28", "ab да", "ab да"), ("29", "Émile Œuvre naïve", "Emile OEuvre naive"),
     ("23", "$5", "пя́ть до́лларов"), ("23", "1.50 руб", "оди́н ру́бль пятьдеся́т копе́ек"), ("24", "(-5)", "(ми́нус 5)"), ("25", "007", "но́ль но́ль се́мь"),
 ]
 
@@ -44,6 +53,30 @@ def test_numbers(spark):
     assert back == 0
 
 
+def test_single_numbers_agree_with_columns(spark):
+    ids = spark.range(0, 2100).union(spark.range(999990, 1000010)).union(spark.createDataFrame([(21_000_000_000,), (10**9,), (10**12,)], "id long"))
+    rows = ids.select("id", N.cardinal(F.col("id")).alias("c"), N.ordinal(F.col("id"), "gen").alias("o")).collect()
+    assert all(r["c"] == W.cardinal(r["id"]) and r["o"] == W.ordinal(r["id"], "gen") for r in rows)
+
+
+def test_acronyms_take_the_reading_of_their_context(spark):
+    own = Dictionaries(ru={"ВВС": ""}, en={"NATO": "nato|нато", "USA": "u s a", "XL": "large", "GPS": ""})
+    texts = ["ВВС", "блок NATO", "NATO ship", "USA and XL, GPS"]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(texts)], "i int, t string")
+    df = df.withColumn("t", steps(own)["16"](F.col("t"))).withColumn("t", steps(own)["20"](F.col("t")))
+    assert [r["t"] for r in df.orderBy("i").collect()] == ["вэ́ вэ́ э́с", "блок нато", "nato ship", "u s a and XL, GPS"]
+
+
+def test_tables_of_letters():
+    assert len(L.greek_letters()) == 132 and len(L.latin_letters()) == 180
+
+
+def test_merge_blocks():
+    assert speech.merge_blocks([("text", "а"), ("text", ", б"), ("footnote", "н")]) == [("text", "а, б"), ("footnote", "н")]
+    assert speech.merge_blocks([("text", "а."), ("text", "б"), ("pause", "")]) == [("text", "а."), ("text", "б"), ("pause", "")]
+    assert speech.merge_blocks([("text", "а"), ("text", "б"), ("pause", ""), ("text", None)]) == [("text", "а б"), ("pause", ""), ("text", "")]
+
+
 @given(st.text(alphabet="аб1 .,!?A-ёxy«:;", max_size=400), st.integers(10, 60))
 @settings(max_examples=200, deadline=None)
 def test_chunks_keep_the_text(text, limit):
@@ -67,7 +100,7 @@ def test_fb2_nodes():
 def test_orders(spark):
     docs = spark.createDataFrame([("№7 в 12:05 -5",)], "text string")
     assert "двена́дцать часо́в" in pipeline.normalize(docs).first()[0]
-    assert pipeline.step_order("file")[:4] == ["1", "2", "21", "24"] and "14b" not in pipeline.step_order("preview")
+    assert pipeline.step_order("file")[:4] == ["1", "2", "3", "21"] and "14b" not in pipeline.step_order("preview")
 
 
 def test_incremental(spark, tmp_path):
@@ -80,10 +113,10 @@ def test_incremental(spark, tmp_path):
     assert sorted(map(tuple, spark.read.parquet(target).collect())) == [(1, "пя́ть проце́нтов"), (2, "пе́рвая")]
 
 
-@pytest.mark.parametrize("name", ["cardinal_words", "spoken_totals", "spoken_dates", "spoken_times", "symbol_words", "token_topk", "part_pagination", "forced_comma", "clean_for_tts", "incremental_skip", "unknown_acronyms"])
+@pytest.mark.parametrize("name", ["cardinal_words", "spoken_totals", "spoken_dates", "spoken_times", "symbol_words", "token_topk", "part_pagination", "forced_comma", "clean_for_tts", "incremental_skip", "unknown_acronyms", "numbers_context", "number_ranges", "roman_generic", "ruler_names", "alphanumeric_codes", "greek_letters", "latin_fold", "acronyms", "substitutions", "language_tags", "transliteration", "forced_pauses", "ssml"])
 def test_against_duckdb(spark, name):
     con = duckdb.connect()
-    for t in "part orders events documents conversations".split():
+    for t in "part orders events documents conversations nation".split():
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     want = con.execute(catalog.oracle_sql()[name])
     columns = sorted(d[0] for d in want.description)
