@@ -1,10 +1,13 @@
 """Quality rules with risk-controlled thresholds.
 
 Base rules reject texts without substance. Beyond them, four signals (shares of symbols, of repeated lines, of repeated word windows
-and of capitals) reject a text above a cutoff. A cutoff is used in a stratum only if labelled good documents of that stratum prove,
-by the exact (Clopper-Pearson) upper bound on a binomial proportion, that it rejects at most ``alpha / signals`` of them; the bound's
-error is divided by the number of all tests (Bonferroni), so with probability ``1 - delta`` no stratum loses more than ``alpha`` of
-its good documents to all signals together. Of the proven cutoffs the lowest is taken; without proof a signal rejects nothing.
+and of capitals) reject a text above a cutoff. Which cutoffs are tried, and in which order, is read off the labelled bad documents
+alone: from no cutoff at all, the next step is the one that rejects most bad documents more. In each group of strata the steps are then
+tested in that order on its labelled good documents, and the last is used before the first whose exact (Clopper-Pearson) upper bound
+on the share of good documents that all signals together reject exceeds ``alpha``. A test that is reached only after all before it
+held (fixed-sequence testing) needs no correction for their number; the error ``delta`` is divided among the groups only, so with
+probability ``1 - delta`` no group loses more than ``alpha`` of its good documents. A stratum with too few labelled good documents to
+prove anything is joined with its neighbour; the bound then holds for the group.
 """
 
 from __future__ import annotations
@@ -112,22 +115,76 @@ def proven(rejected: int, n: int, limit: float, error: float) -> bool:
     return n > 0 and rejected < limit * n and binomial_at_most(rejected, n, limit) <= error
 
 
-def thresholds(measured: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> dict[tuple[int, str], float]:
-    """(stratum, signal) to cutoff. One row of counts a stratum, of which there are ``len(STRATA) + 1``, reaches the driver."""
-    good = labels.filter("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("quality")).filter("quality = 1").select("doc_id")
-    sums = [F.sum((value > c).cast("long")).alias(f"{name}_{i}") for name, value in signals().items() for i, c in enumerate(CUTOFFS[name])]
-    counts = measured.join(good, "doc_id").filter(~base_failed()).groupBy(stratum().alias("stratum")).agg(F.count("*").alias("n"), *sums).collect()
-    tests = (len(STRATA) + 1) * sum(map(len, CUTOFFS.values()))
+def steps(bad: list[tuple[tuple[int, ...], int]]) -> list[tuple[int, ...]]:
+    """Rules from the loosest on: for each signal, how many of its cutoffs a text must exceed to be rejected; one more than there are
+    is never. ``bad``: how many cutoffs of each signal bad documents exceed, and their number. Without any, all cutoffs come in turn."""
+    sizes = tuple(map(len, CUTOFFS.values()))
+    rule, out = tuple(n + 1 for n in sizes), []
+    if not bad:
+        for k in range(max(sizes)):
+            for i, n in enumerate(sizes):
+                if k < n:
+                    rule = rule[:i] + (n - k,) + rule[i + 1 :]
+                    out.append(rule)
+        return out
+    while True:
+        kept = [(levels, n) for levels, n in bad if not rejects(rule, levels)]
+        nexts = []
+        for i in range(len(sizes)):
+            level = max((levels[i] for levels, _ in kept), default=0)  # the loosest cutoff of this signal that rejects more
+            if level:
+                nexts.append((sum(n for levels, n in kept if levels[i] >= level), -i, level))
+        if not nexts:
+            return out
+        _, i, level = max(nexts)
+        rule = rule[:-i] + (level,) + rule[1 - i :]
+        out.append(rule)
+
+
+def rejects(rule: tuple[int, ...], levels: tuple[int, ...]) -> bool:
+    return any(have >= need for need, have in zip(rule, levels))
+
+
+def groups(good: list[int], least: int) -> list[list[int]]:
+    """Neighbouring strata, joined until each group has ``least`` labelled good documents."""
+    out, own = [], []
+    for i in range(len(good)):
+        own = [*own, i]
+        if sum(good[j] for j in own) >= least:
+            out, own = [*out, own], []
+    return [*out[:-1], out[-1] + own] if out else [own]
+
+
+def choose(counts: list[tuple[int, int, tuple[int, ...], int]], alpha: float = ALPHA, delta: float = DELTA) -> dict[tuple[int, str], float]:
+    """(stratum, signal) to cutoff, from (stratum, quality, cutoffs exceeded by signal, number of documents)."""
+    strata = range(len(STRATA) + 1)
+    path = steps([(levels, n) for _, quality, levels, n in counts if quality == 0])
+    good = [[(levels, n) for s, quality, levels, n in counts if s == i and quality == 1] for i in strata]
+    least = math.ceil(math.log(delta / len(strata)) / math.log1p(-alpha))
+    parts = groups([sum(n for _, n in rows) for rows in good], least)
     out = {}
-    for row in counts:
-        for name, cutoffs in CUTOFFS.items():
-            for i, c in enumerate(cutoffs):
-                if proven(row[f"{name}_{i}"], row["n"], alpha / len(CUTOFFS), delta / tests):
-                    out[row["stratum"], name] = c
-                    break
+    for part in parts:
+        rows = [row for i in part for row in good[i]]
+        held = None
+        for rule in path:
+            if not proven(sum(n for levels, n in rows if rejects(rule, levels)), sum(n for _, n in rows), alpha, delta / len(parts)):
+                break
+            held = rule
+        for (name, cutoffs), need in zip(CUTOFFS.items(), held or ()):
+            if need <= len(cutoffs):
+                out |= {(i, name): cutoffs[need - 1] for i in part}
     return out
 
 
+def thresholds(measured: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> dict[tuple[int, str], float]:
+    """(stratum, signal) to cutoff. The driver gets a count for each stratum, label and set of cutoffs exceeded, of which there is a
+    bounded number."""
+    known = labels.filter("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").cast("int").alias("quality"))
+    levels = [sum(((value > c).cast("int") for c in CUTOFFS[name]), F.lit(0)).alias(name) for name, value in signals().items()]
+    rows = measured.join(known, "doc_id").filter(~base_failed()).groupBy(stratum().alias("stratum"), "quality", *levels).agg(F.count("*").alias("n")).collect()
+    return choose([(r["stratum"], r["quality"], tuple(r[name] for name in CUTOFFS), r["n"]) for r in rows], alpha, delta)
+
+
 def rejected(cutoffs: dict[tuple[int, str], float]) -> Column:
     out = F.lit(False)
     for (level, name), cutoff in sorted(cutoffs.items()):

@@ -12,7 +12,7 @@ from spoken.llm.html import extract_main_text
 from spoken.llm.langid import identify_language
 from spoken.llm.mixing import mix_sources, targets
 from spoken.llm.ngram_join import ngram_jaccard_join
-from spoken.llm.quality import binomial_at_most, proven, quality_filter, quality_report
+from spoken.llm.quality import binomial_at_most, choose, proven, quality_filter, quality_report
 from spoken.llm.secrets import labelled_findings, redact_secrets, scan_secrets, train
 from spoken.llm.toxicity import score_toxicity
 from spoken.llm.warc import derivatives, page_responses, parse_records, response_record
@@ -86,6 +86,20 @@ def test_quality_measures_and_bounds(spark, labels):
     assert quality_filter(docs, labels).columns == docs.columns
 
 
+def test_quality_cutoffs_hold_in_small_strata(spark):
+    clean, junk = (0, 0, 0, 1), (8, 0, 0, 0)
+    found = choose([(0, 1, clean, 371), (0, 0, junk, 39), (1, 1, clean, 1835), (2, 1, clean, 992), (3, 1, clean, 104), (3, 0, (5, 0, 0, 0), 10)])
+    assert found == {(i, "symbols"): 0.08 for i in range(4)}
+    joined = choose([(0, 1, clean, 44), (1, 1, clean, 178), (2, 1, clean, 103), (3, 1, clean, 8), (3, 0, junk, 1)])
+    assert joined == {(i, "symbols"): 0.25 for i in range(4)}
+    assert choose([(1, 1, clean, 80), (1, 1, junk, 20), (1, 0, junk, 9)]) == {} and choose([(1, 1, clean, 40), (1, 0, junk, 9)]) == {}
+    sf = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    rows = quality_report(docs, labels).join(labels, "doc_id").filter("not base_failed").collect()
+    bad, good = ([r for r in rows if r["quality"] == q] for q in (0, 1))
+    assert sum(not r["kept"] for r in bad) >= 0.9 * len(bad) and sum(not r["kept"] for r in good) <= 0.05 * len(good)
+
+
 def test_mix_comes_to_its_targets(spark):
     texts = ["w " * (50 + i % 90) for i in range(400)] + [None, ""]
     rows = mix_sources(table(spark, texts)).collect()
