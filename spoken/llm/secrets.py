@@ -1,8 +1,9 @@
 """Secret scans with a random forest that removes false positives, in DataFrame and SQL functions throughout.
 
-Candidates are runs of 16 or more key characters with a digit, and well-known key formats, cut out of whole texts with a marker
-character, so that each keeps its neighbours. Features are candidate length, transitions between character classes, share covered by
-dictionary words, path, and neighbouring words. The forest (``pyspark.ml``) is trained on labelled findings and then written as SQL
+Candidates are any value after a telling word and an assignment sign, passwords of URIs, whole private-key blocks, well-known key
+formats, and elsewhere runs of 16 or more key characters with a digit. They are cut out of whole texts with a marker character, so that
+each keeps its neighbours. Features are candidate length, transitions between character classes, share covered by dictionary words,
+path, and neighbouring words. The forest (``pyspark.ml``) is trained on labelled findings and then written as SQL
 expressions, so that findings are scored inside their row: no explode, no shuffle, whatever a text's length.
 """
 
@@ -19,14 +20,26 @@ MARK = "\u0001"
 #: Public key formats (cloud access keys, repository and chat tokens, JSON web tokens) and the generic run.
 FORMATS = r"AKIA[0-9A-Z]{16}|gh[pousr]_[0-9A-Za-z]{36}|xox[abprs]-[0-9A-Za-z-]{10,}|AIza[0-9A-Za-z_-]{35}|sk_live_[0-9A-Za-z]{16,}|eyJ[0-9A-Za-z_-]{10,}\.[0-9A-Za-z_-]{10,}\.[0-9A-Za-z_-]*"
 GENERIC = r"[0-9A-Za-z_+/-]{16,}+={0,2}"
-CANDIDATE = rf"(?<![0-9A-Za-z_+/-])(?:{FORMATS}|(?=[A-Za-z_+/-]{{0,64}}[0-9]){GENERIC})"
 BEFORE, AFTER = 48, 32  # characters of the neighbourhood
 #: Dictionary words for coverage, words that announce a secret, and words that announce something else.
 DICTIONARY = "about access account address article authorization available because before between business change client company config content control country create customer data default delete description development document download email english error event example export factory field file find following format function general group handler have image import index information input install interface item language license list load local manager market message method model module name network number object office option order output package page param parent password path people permission person phone place please policy position price private process product program project public query read record release report request research response result return review right sample search section select server service session setting should sign simple site size software source start state status store string style support system table template test text that their there these they this time title token total type update upload user value version view water website which with work world would write year".split()
 TELLS = "token|passw(?:or)?d|passwd|pwd|secret|api[_-]?key|access[_-]?key|private[_-]?key|auth|credential|bearer|key"
 DENIES = "commit|sha1?|sha256|md5|hash|checksum|digest|uuid|guid|id|isbn|order|ticket|version|rev(?:ision)?|build|example|sample|dummy|placeholder|test|fake|url|href|path"
 PATHS = r"(?:^|[/._-])(?:tests?|specs?|fixtures?|examples?|samples?|docs?|mocks?|vendor|node_modules|lock)(?:[/._-]|$)"
-FEATURES = ("length", "digits", "to_digit", "to_letter", "to_case", "hexadecimal", "distinct", "vowels", "longest_letters", "coverage", "known", "tells", "denies", "assigned", "quoted", "path")
+STRONG = "passw(?:or)?d|passwd|pwd|passphrase|secret|credential"
+PLACEHOLDER = r"^(?:<.*>?|\[.*\]?|\{.*|\$[{(].*|\$[a-z_]+|\*+|\.+|x+|%[sdv]|your.*|null|none|nil|true|false|undefined|self\..*|this\..*)$|\w\(|\.env\b|environ"
+#: Groups 1 and 2: a URI up to its password, and that; 3 and 4: a telling word with its sign, and the value up to the closing quote or
+#: the next blank; 5: a private-key block (to its end line, or over the lines of key characters that follow), a format, a run.
+_LINE = r"[A-Z0-9 ]{0,40}PRIVATE KEY(?: BLOCK)?-----"
+_BLOCK = rf"-----BEGIN {_LINE}(?:(?:[^-]++-(?!----)){{0,64}}[^-]*+-----END {_LINE}|(?:(?:\s|\\[rn])*+[0-9A-Za-z+/=]{{16,}}+){{0,400}})"
+_URI, _PASSWORD = r"://[^\s/:@\"'<>]{0,128}:", r"(?![0-9]{1,5}/)[^\s\"'<>]+(?=@[^\s@])"
+_TELL = rf"(?=[TtPpSsAaCcBbKk])(?i:{TELLS}|passphrase)(?:\\?[\"'`])?\]?[ \t]{{0,8}}(?:={{1,3}}>?|:=?)[ \t]{{0,8}}(?:\\?[\"'`])?+"
+_QUOTED = "|".join(rf"(?<={q})(?!{q})[^{q}\\\r\n]*+(?:\\.[^{q}\\\r\n]*+){{0,64}}(?={q})" for q in "\"'`")
+_VALUE = rf"(?!-----BEGIN |[^\s\"'`]*://[^\s/@\"'`]*@)(?=[^\s=])(?:{_QUOTED}|[^\s\"'`]*[^\s\"'`,;.)\]}}\\])"
+_NAMED = r"(?![0-9A-Za-z_+/-]{0,64}?(?i:" + TELLS + r")[\"']?[ \t]{0,8}[:=][ \t]{0,8}[\"']?[^\s\"'=:])"
+CANDIDATE = rf"({_URI})({_PASSWORD})|({_TELL})({_VALUE})|({_BLOCK}|(?<![0-9A-Za-z_+/-])(?:{FORMATS}|(?=[A-Za-z_+/-]{{0,64}}[0-9]){_NAMED}{GENERIC}))"
+MARKED = f"$1$3{MARK}$2$4$5{MARK}"
+FEATURES = ("length", "digits", "to_digit", "to_letter", "to_case", "hexadecimal", "distinct", "vowels", "longest_letters", "coverage", "known", "tells", "denies", "assigned", "quoted", "path", "symbols", "strong", "uri", "placeholder", "lower")
 TREES, DEPTH, FINDINGS, THRESHOLD = 15, 5, 6000, 0.5
 
 
@@ -48,12 +61,17 @@ def features(candidate: Column, before: Column, after: Column, path: Column) ->
         "vowels": share("[AEIOUaeiou]"),
         "longest_letters": F.coalesce(F.array_max(F.transform(F.regexp_extract_all(candidate, F.lit("[a-z]+|[A-Z]+"), F.lit(0)), F.length)), F.lit(0)) / n,
         "coverage": 1 - F.length(rest) / n,
-        "known": flag(candidate.rlike(rf"^(?:{FORMATS})$")),
-        "tells": flag(near.rlike(rf"(?:{TELLS})[\"']?\s*(?:[:=]|=>|is)?\s*[\"']?$")),
+        "known": flag(candidate.rlike(rf"^(?:{FORMATS})$|^-----BEGIN ")),
+        "tells": flag(near.rlike(rf"(?:{TELLS}|passphrase)(?:\\?[\"'`])?\]?\s*(?:={{1,3}}>?|:=?|is)?\s*(?:\\?[\"'`])?$")),
         "denies": flag(near.rlike(rf"(?:^|[^a-z])(?:{DENIES})[\"']?\s*(?:[:=#]|is|no\.?)?\s*[\"']?$")),
-        "assigned": flag(near.rlike(r"[:=]\s*[\"']?$")),
-        "quoted": flag(before.rlike("[\"']$") & after.rlike("^[\"']")),
+        "assigned": flag(near.rlike(r"[:=]>?\s*(?:\\?[\"'`])?$")),
+        "quoted": flag(before.rlike("[\"'`]$") & after.rlike(r"^\\?[\"'`]")),
         "path": flag(F.lower(path).rlike(PATHS)),
+        "symbols": share("[^0-9A-Za-z]"),
+        "strong": flag(near.rlike(rf"(?:{STRONG})[^a-z]*$")),
+        "uri": flag(near.rlike(f"{_URI}$")),
+        "placeholder": flag(F.lower(candidate).rlike(PLACEHOLDER)),
+        "lower": flag(candidate.rlike(r"^\p{Ll}+$")),
     }
     return {k: values[k].cast("double") for k in FEATURES}
 
@@ -72,7 +90,26 @@ def labelled_findings(spark: SparkSession, n: int = FINDINGS) -> DataFrame:
     sign = pick("sign", ["=", " = ", ": ", "=\"", " = \"", " ", ": '"])
     prose = F.concat(word("p1"), F.lit(" "), word("p2"), F.lit(" "))
     upper = F.translate(F.upper(F.substr(based("a"), F.lit(1), F.lit(40))), "018+/", "ABCDE")
+    strong = pick("strong", ["password", "passwd", "pwd", "secret", "PASSWORD", "db_password", "passphrase"])
+    assign = pick("assign", ["=", " = ", ": ", "=\"", " = \"", ": \"", ": '", "='"])
+    server = F.concat(prose, pick("scheme", ["postgres", "mysql", "amqp", "redis", "mongodb+srv", "https", "ftp"]), F.lit("://"), pick("user", ["admin", "root", "app", "user", ""]), F.lit(":"))
+    chosen = F.concat(F.translate(title("c1"), "aeio", "4310"), (F.col("id") % 97).cast("string"), pick("c2", ["", "!", "#", "$", "_x"]))
+    mixed = cut(F.translate(based("m"), "+/ABCDEFGH", "!.$%@~:&*^"), "mixed", 8, 24)
+    letters = cut(F.regexp_replace(based("l"), "[0-9+/]", ""), "letters", 8, 24)
+    syllables = F.concat(*(pick(f"y{i}", "ba ne ti ro lu ma den sor vel kin ta gra mo per".split()) for i in range(2)), pick("y2", ["", "s", "ing", "lo", "mente", "ter", "ung"]))
     kinds = [
+        (chosen, F.concat(prose, strong, assign), 1),
+        (mixed, F.concat(prose, F.when(F.col("id") % 3 == 0, tell).otherwise(strong), assign), 1),
+        (letters, F.concat(prose, F.when(F.col("id") % 3 == 0, tell).otherwise(strong), assign), 1),
+        (cut(hexed("e"), "short", 8, 15), F.concat(prose, tell, assign), 1),
+        (F.when(F.col("id") % 2 == 0, chosen).otherwise(mixed), server, 1),
+        (cut(based("v"), "uri", 8, 30), server, 1),
+        (F.concat(F.lit("-----BEGIN "), pick("pem", ["RSA ", "EC ", "", "OPENSSH "]), F.lit("PRIVATE KEY-----\n"), based("k1"), based("k2"), F.lit("\n-----END PRIVATE KEY-----")), prose, 1),
+        (F.concat(word("v1"), F.when(F.col("id") % 2 == 0, F.concat(F.lit("_"), word("v2"))).otherwise(F.lit(""))), F.concat(prose, F.when(F.col("id") % 3 == 0, tell).otherwise(strong), assign), 0),
+        (pick("none", ["null", "None", "true", "false", "****", "${TOKEN", "<password>", "your_password", "%s", "{{", "os.environ[", "process.env.TOKEN", "getToken(", "string", "self.token", "undefined", "xxxxxxxx", "$PASSWORD"]), F.concat(prose, F.when(F.col("id") % 3 == 0, tell).otherwise(strong), assign), 0),
+        (syllables, F.concat(prose, pick("weak", ["the key", "Key", "auth", "a token", "secret", "password", "The secret"]), pick("colon", [": ", " = ", " : "])), 0),
+        ((F.col("id") % 9973).cast("string"), F.concat(prose, pick("count", ["key", "token", "auth", "keys_token"]), pick("colon2", [": ", " = ", "="])), 0),
+        (pick("shown", ["password", "pass", "<password>", "${PASSWORD", "****", "secret", "xxx", "your_password", "$PASSWORD"]), server, 0),
         (cut(hexed("h"), "n", 16, 64), F.concat(prose, tell, sign), 1),
         (cut(based("b"), "n", 20, 43), F.concat(prose, tell, sign), 1),
         (F.concat(F.lit("AKIA"), F.substr(upper, F.lit(1), F.lit(16))), pick("k", ["", "key ", "= ", "the "]), 1),
@@ -128,7 +165,7 @@ def probability(forest: list, values: Column) -> Column:
 
 def _findings(text: Column, path: Column, forest: list) -> Column:
     """array<struct<nth, start, candidate, score>> of a text without ``MARK``; start is its 0-based code point."""
-    parts = F.split(F.regexp_replace(text, CANDIDATE, f"{MARK}$0{MARK}"), MARK)
+    parts = F.split(F.regexp_replace(text, CANDIDATE, MARKED), MARK)
     places = F.sequence(F.lit(0), F.floor(F.size(parts) / 2) - 1)  # text, candidate, text, candidate, ..., text
     some = F.when(F.size(parts) > 1, places).otherwise(F.array().cast("array<bigint>"))
 
@@ -164,7 +201,7 @@ def redact_secrets(docs: DataFrame, forest: list | None = None, threshold: float
     """``docs`` with every secret in ``text`` replaced; all rows, columns and other characters stay as they are
     (but for U+0001 in a text with a secret, which becomes a blank). Null texts stay null."""
     forest = train(labelled_findings(docs.sparkSession)) if forest is None else forest
-    parts = F.split(F.regexp_replace(F.col("text_"), CANDIDATE, f"{MARK}$0{MARK}"), MARK)
+    parts = F.split(F.regexp_replace(F.col("text_"), CANDIDATE, MARKED), MARK)
     joined = F.array_join(F.transform(parts, lambda x, i: F.when((i % 2 == 1) & F.array_contains(F.col("bad_"), ((i - 1) / 2).cast("bigint")), F.lit(instead)).otherwise(x)), "")
     rows = keyed(docs).withColumn("text_", _clean(F.col("text"))).withColumn("has_", F.col("text_").rlike(CANDIDATE))
     source = F.coalesce(F.col("row_.source").cast("string"), F.lit("")) if "source" in docs.columns else F.lit("")
