@@ -129,7 +129,7 @@ def _money_sql(amount: str, code: str) -> str:
 
 @query(f"WITH o AS (SELECT o_orderpriority, (sum((o_totalprice * 100)::DECIMAL(20, 0)))::BIGINT % 100000000000 AS c FROM orders GROUP BY 1) SELECT o_orderpriority, {_money_sql('c', 'rub')} AS spoken FROM o")
 def spoken_totals(spark, sf_dir):
-    cents = F.sum((F.col("o_totalprice") * 100).cast("decimal(20,0)")).cast("long") % 100000000000
+    cents = F.sum((F.col("o_totalprice") * 100).cast("decimal(20,0)")).cast("long")
     sums = _read(spark, sf_dir, "orders").groupBy("o_orderpriority").agg(cents.alias("c"))
     return sums.select("o_orderpriority", N.money((F.col("c").cast("decimal(20,0)") / 100).cast("decimal(20,2)"), "rub").alias("spoken"))
 

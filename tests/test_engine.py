@@ -41,6 +41,12 @@ def test_step_vectors(spark):
         assert got[99] is None
 
 
+def test_totals_above_a_milliard_stay_whole(spark, tmp_path):
+    spark.createDataFrame([("1-URGENT", 7_500_000_000.25), ("1-URGENT", 35_000_001.0), ("5-LOW", 2.0)], "o_orderpriority string, o_totalprice double").write.parquet(f"{tmp_path}/orders.parquet")
+    got = {r["o_orderpriority"]: r["spoken"] for r in catalog.spoken_totals(spark, str(tmp_path)).collect()}
+    assert got == {"1-URGENT": "се́мь миллиа́рдов пятьсо́т три́дцать пя́ть миллио́нов оди́н ру́бль два́дцать пя́ть копе́ек", "5-LOW": "два́ рубля́"}
+
+
 def test_numbers(spark):
     want = {0: "но́ль", 1001: "ты́сяча оди́н", 21000: "два́дцать одна́ ты́сяча", 2_000_000: "два́ миллио́на"}
     rows = spark.createDataFrame([(n,) for n in want], "n long").select("n", N.cardinal(F.col("n")).alias("w")).collect()
