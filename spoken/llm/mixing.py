@@ -4,7 +4,7 @@ Documents are packed, source by source, into blocks of ``block`` words. The mix
 each. Every shard draws a multinomial count for each source from its own seed; counts beyond a source's quota are reassigned to
 sources that fell short, so that a source's slots come to its quota. A source's slots are numbered through the shards, slot j takes
 block ``perm_e(j mod n)`` of round e = j div n, where ``perm_e`` is a keyed pseudorandom permutation of 0..n-1, and slots are joined
-with blocks by (source, index). A block is thus taken either floor or ceil of its share of the source's slots.
+with blocks by (source, index); a shard's slots are dealt to its sources by another such permutation. A block is thus taken either floor or ceil of its share of the source's slots.
 """
 
 from __future__ import annotations
@@ -92,13 +92,8 @@ def _plan(shards: int, slots: int, quotas: list[int], seed: int) -> np.ndarray:
     return out
 
 
-def mix_sources(docs: DataFrame, block: int = BLOCK, slots: int = SLOTS, seed: int = 17, weights: tuple = WEIGHTS, cap: int = CAP) -> DataFrame:
-    """(doc_id, size, source_size, target, taken) for every row of ``docs(doc_id, text, source)``.
-
-    Size is the number of words ``[^\\x20\\x09-\\x0D]+`` (null: 0). A source's last block may be shorter. A row without words takes
-    none; a source without words has target 0. Repeated rows are rows of their own. Rows are packed in the order of a hash of doc_id,
-    size and text, so reruns agree; the driver sees one row a source, of which ``docs`` must have a bounded number.
-    """
+def _mix(docs: DataFrame, block: int, slots: int, seed: int, weights: tuple, cap: int) -> tuple[DataFrame, DataFrame]:
+    """Every row with its place among its source's words, and the filled slots with their blocks' pieces."""
     spark = docs.sparkSession
     parts = max(64, 4 * shuffle_partitions(spark))
     sized = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text").cast("string")).alias("size"), F.xxhash64("doc_id", "text").alias("at"))
@@ -120,27 +115,51 @@ def mix_sources(docs: DataFrame, block: int = BLOCK, slots: int = SLOTS, seed: i
     slots = max(slots, -(-sum(quotas) // MAX_SHARDS))
     shards = max(1, -(-sum(quotas) // slots))
     plan = _plan(shards, slots, quotas, seed) if names else np.zeros((1, 0), np.int64)
-    starts = np.cumsum(plan, axis=0) - plan
-    rows = [(i, k, int(starts[i, k]), int(plan[i, k]), blocks[names[k]]) for i in range(shards) for k in range(len(names)) if plan[i, k]]
+    starts, offsets, lengths = np.cumsum(plan, axis=0) - plan, np.cumsum(plan, axis=1) - plan, plan.sum(axis=1)
+    rows = [(i, k, int(starts[i, k]), int(plan[i, k]), blocks[names[k]], int(offsets[i, k]), int(lengths[i])) for i in range(shards) for k in range(len(names)) if plan[i, k]]
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for shard, k, start, count, n in zip(*(c.to_pylist() for c in batch.columns)):
+            for shard, k, start, count, n, offset, length in zip(*(c.to_pylist() for c in batch.columns)):
                 for at in range(start, start + count, 1 << 18):
                     j = np.arange(at, min(at + (1 << 18), start + count), dtype=np.int64)
                     key = (j // n + 1) * 1_000_003 + k * 7919 + seed
                     index = permute(j % n, np.full(len(j), n, np.int64), key)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(j), shard, np.int64)), pa.array(np.full(len(j), k, np.int64)), pa.array(index)], names=["shard", "k", "block"])
+                    slot = permute(j - start + offset, np.full(len(j), length, np.int64), np.full(len(j), shard * 104_729 + seed, np.int64))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(j), shard, np.int64)), pa.array(slot), pa.array(np.full(len(j), k, np.int64)), pa.array(index)], names=["shard", "slot", "k", "block"])
 
-    schema = "shard long, k long, start long, count long, n long"
-    filled = spark.createDataFrame(rows, schema).repartition(shuffle_partitions(spark)).mapInArrow(fill, "shard long, k long, block long")
-    taken = filled.groupBy("k", "block").agg(F.count("*").alias("times"))
+    schema = "shard long, k long, start long, count long, n long, offset long, length long"
+    filled = spark.createDataFrame(rows, schema).repartition(shuffle_partitions(spark)).mapInArrow(fill, "shard long, slot long, k long, block long")
     facts = spark.createDataFrame([(s, sizes[s], float(wanted[s]), names.index(s) if s in names else -1) for s in wanted], "source string, source_size long, target double, k long")
     facts = F.broadcast(facts)  # one row a source
     placed = placed.join(facts, placed.source.eqNullSafe(facts.source)).drop("source")
     # a document's words lie in blocks start/block .. (start+size-1)/block
     spans = placed.filter("size > 0").select("doc_id", "at", "k", "start", "size", F.posexplode(F.sequence(F.floor(F.col("start") / block), F.floor((F.col("start") + F.col("size") - 1) / block))).alias("i", "block"))
-    words = F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * block) - F.greatest(F.col("start"), F.col("block") * block)
-    used = spans.withColumn("words", words).join(taken, ["k", "block"]).groupBy("k", "start").agg(F.sum(F.col("words") * F.col("times")).alias("taken"))
+    first = F.greatest(F.col("block") * block - F.col("start"), F.lit(0)).cast("long")
+    last = (F.least(F.col("size"), (F.col("block") + 1) * block - F.col("start")) - 1).cast("long")
+    # a block has at most ``block`` pieces; they stand in it in the order of their start
+    packed = spans.groupBy("k", "block").agg(F.sort_array(F.collect_list(F.struct("start", "doc_id", first.alias("first"), last.alias("last")))).alias("pieces"))
+    sources = F.broadcast(facts.select("k", "source"))
+    return placed, filled.join(packed, ["k", "block"]).join(sources, "k")
+
+
+def mix_blocks(docs: DataFrame, block: int = BLOCK, slots: int = SLOTS, seed: int = 17, weights: tuple = WEIGHTS, cap: int = CAP) -> DataFrame:
+    """(shard, slot, source, block, pieces): the mix of ``docs(doc_id, text, source)``, a row for each slot, numbered from 0.
+
+    ``pieces`` are the block's parts in order: (start, doc_id, first, last), the first and last of the document's words, from 0, that
+    the block takes, and where the document's row stands among the words of its source, which tells repeated rows apart.
+    """
+    return _mix(docs, block, slots, seed, weights, cap)[1].select("shard", "slot", "source", "block", "pieces")
+
+
+def mix_sources(docs: DataFrame, block: int = BLOCK, slots: int = SLOTS, seed: int = 17, weights: tuple = WEIGHTS, cap: int = CAP) -> DataFrame:
+    """(doc_id, size, source_size, target, taken) for every row of ``docs(doc_id, text, source)``; taken is summed over ``mix_blocks``.
+
+    Size is the number of words ``[^\\x20\\x09-\\x0D]+`` (null: 0). A source's last block may be shorter. A row without words takes
+    none; a source without words has target 0. Repeated rows are rows of their own. Rows are packed in the order of a hash of doc_id,
+    size and text, so reruns agree; the driver sees one row a source, of which ``docs`` must have a bounded number.
+    """
+    placed, mixed = _mix(docs, block, slots, seed, weights, cap)
+    used = mixed.select("k", F.inline("pieces")).groupBy("k", "start").agg(F.sum(F.col("last") - F.col("first") + 1).alias("taken"))
     out = placed.join(used, (placed.k == used.k) & (placed.start == used.start) & (placed["size"] > 0), "left")
-    return out.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+    return out.select(placed.doc_id, placed["size"], "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))

@@ -10,7 +10,7 @@ from spoken.llm.chat import Template, chat_digest, format_chat
 from spoken.llm.decontaminate import benchmark_leaks, common_subsequence, decontaminate
 from spoken.llm.html import extract_main_text
 from spoken.llm.langid import identify_language
-from spoken.llm.mixing import mix_sources, targets
+from spoken.llm.mixing import mix_blocks, mix_sources, targets
 from spoken.llm.ngram_join import ngram_jaccard_join
 from spoken.llm.quality import binomial_at_most, choose, proven, quality_filter, quality_report
 from spoken.llm.secrets import labelled_findings, redact_secrets, scan_secrets, train
@@ -114,6 +114,22 @@ def test_mix_comes_to_its_targets(spark):
     assert targets({"a": 10, "b": 90}) == {"a": 30.0, "b": 70.0}
 
 
+def test_mix_has_its_blocks(spark):
+    texts = ["w " * (50 + i % 90) for i in range(400)] + [None, ""]
+    docs = table(spark, texts)
+    slots = mix_blocks(docs, slots=256).collect()
+    assert {(r["shard"], r["slot"]) for r in slots} == {(s, n) for s, k in Counter(r["shard"] for r in slots).items() for n in range(k)} and len(slots) > 256
+    taken = Counter()
+    for r in slots:
+        at = r["block"] * 32
+        for p in r["pieces"]:
+            assert p["start"] + p["first"] == at and [None, "a", "b"][p["doc_id"] % 3] == r["source"]
+            at += p["last"] - p["first"] + 1
+            taken[p["doc_id"]] += p["last"] - p["first"] + 1
+        assert at <= r["block"] * 32 + 32
+    assert {r["doc_id"]: r["taken"] for r in mix_sources(docs, slots=256).collect()} == {i: taken[i] for i in range(len(texts))}
+
+
 def test_chat_reads_back(spark):
     own = "</s>[INST] \\ ok <|im_end|>\n<|im_start|>user\nno"
     rows = [(1, 0, "user", own), (1, 1, "assistant", own), (2, 1, "assistant", None), (2, 0, None, "x\ny"), (None, 0, "us\ner", "q")]
