@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 
 from spoken.llm.chat import Template, chat_digest, format_chat
 from spoken.llm.decontaminate import benchmark_leaks, common_subsequence, decontaminate
-from spoken.llm.html import extract_main_text
 from spoken.llm.langid import identify_language
 from spoken.llm.mixing import mix_blocks, mix_sources, targets
 from spoken.llm.ngram_join import ngram_jaccard_join
@@ -142,15 +141,6 @@ def test_chat_reads_back(spark):
     assert all(t.unescape(t.escape(x)) == x for x in (own, "\\b", "[[INST]INST]", "<<<SYS>>"))
 
 
-def test_main_text(spark):
-    page = lambda i: f"<html><head><title>T</title></head><body><nav><li>menu</li></nav><div class='x'>Same on every page</div><article><h1>Head {i}</h1><p>One &amp; two<br><p>Body {i} <b>bold</b>\n text<script>var a='</p>'</script></p><div class=\"comments\">no</div></article><footer>foot</footer>"
-    rows = [(i, "https://h.example/x", page(i)) for i in range(8)] + [(8, None, None), (9, "u", "<p>plain<div>two"), (10, "https://h.example/", "<div class='x'>Same on every page</div><p>own</p>")]
-    got = {r["page_id"]: r for r in extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string"), min_share=0.5).collect()}
-    assert got[3]["text"] == "Head 3\nOne & two\nBody 3 bold text" and got[3]["n_chars"] == len(got[3]["text"])
-    assert got[8]["text"] == "" and got[9]["text"] == "plain\ntwo"
-    assert got[10]["text"] in ("own", "Same on every page\nown")
-
-
 def test_language(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     rows = identify_language(docs).join(docs.select("doc_id", "lang"), "doc_id").filter("held_out").collect()
