@@ -2,18 +2,23 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Uses ``spark.checkpoint.dir``; only a session without it (tests) gets a local folder."""
+    """Uses ``spark.checkpoint.dir``. A session without it gets a local folder if all of it runs in this process (tests); on a cluster
+    that would lose what other machines wrote, so it is an error."""
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isDefined():
         return
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+    if not folder and not re.fullmatch(r"local(\[.*\])?", context.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spoken-checkpoint-"))
 
 
@@ -58,3 +63,12 @@ def keyed(docs: DataFrame) -> DataFrame:
 def plain(df: DataFrame) -> DataFrame:
     """The columns that went into ``keyed``."""
     return df.select("row_.*")
+
+
+def written(df: DataFrame) -> DataFrame:
+    """The rows as Parquet files under the checkpoint folder, read again: lineage ends, and readers take only the columns they need."""
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/written-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.parquet(path)

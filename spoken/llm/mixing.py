@@ -20,7 +20,7 @@ from .common import cut, shuffle_partitions
 
 WEIGHTS, CAP = (5, 2, 1), 3
 BLOCK, SLOTS = 32, 4096
-MAX_SHARDS = 2000  # the plan, a count for each shard and source, is made on the driver
+MAX_SHARDS, MAX_SOURCES = 2000, 5000  # the plan, a count for each shard and source, is made on the driver
 ROUNDS = 4
 
 
@@ -95,9 +95,10 @@ def _plan(shards: int, slots: int, quotas: list[int], seed: int) -> np.ndarray:
 def _mix(docs: DataFrame, block: int, slots: int, seed: int, weights: tuple, cap: int) -> tuple[DataFrame, DataFrame]:
     """Every row with its place among its source's words, and the filled slots with their blocks' pieces."""
     spark = docs.sparkSession
-    parts = max(64, 4 * shuffle_partitions(spark))
+    # rows are packed in the order of a hash; parts are ranges of it, so their number changes where work is done, not the order
+    bits = min(20, max(6, (4 * shuffle_partitions(spark) - 1).bit_length()))
     sized = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text").cast("string")).alias("size"), F.xxhash64("doc_id", "text").alias("at"))
-    sized = cut(sized.withColumn("part", F.pmod("at", F.lit(parts)).cast("int")))
+    sized = cut(sized.withColumn("part", F.shiftright("at", 64 - bits).cast("int")))
 
     # where a source's words stand: sums of (source, part), then sums within each; no task ever holds a source
     sums = sized.groupBy("source", "part").agg(F.sum("size").alias("words"))
@@ -107,7 +108,9 @@ def _mix(docs: DataFrame, block: int, slots: int, seed: int, weights: tuple, cap
     placed = sized.withColumn("before", F.coalesce(F.sum("size").over(inside), F.lit(0)))
     placed = placed.join(base, placed.source.eqNullSafe(base.source) & (placed.part == base.part)).select("doc_id", placed.source, "size", "at", (F.col("before") + F.col("base")).alias("start"))
 
-    sizes = {r["source"]: int(r["words"] or 0) for r in sums.groupBy("source").agg(F.sum("words").alias("words")).collect()}
+    sizes = {r["source"]: int(r["words"] or 0) for r in sums.groupBy("source").agg(F.sum("words").alias("words")).limit(MAX_SOURCES + 1).collect()}
+    if len(sizes) > MAX_SOURCES:
+        raise ValueError(f"{len(sizes)} sources; a mix is planned for at most {MAX_SOURCES}")
     wanted = targets(sizes, weights, cap)
     names = [s for s in wanted if wanted[s] > 0]
     blocks = {s: -(-sizes[s] // block) for s in names}
@@ -155,9 +158,11 @@ def mix_blocks(docs: DataFrame, block: int = BLOCK, slots: int = SLOTS, seed: in
 def mix_sources(docs: DataFrame, block: int = BLOCK, slots: int = SLOTS, seed: int = 17, weights: tuple = WEIGHTS, cap: int = CAP) -> DataFrame:
     """(doc_id, size, source_size, target, taken) for every row of ``docs(doc_id, text, source)``; taken is summed over ``mix_blocks``.
 
-    Size is the number of words ``[^\\x20\\x09-\\x0D]+`` (null: 0). A source's last block may be shorter. A row without words takes
-    none; a source without words has target 0. Repeated rows are rows of their own. Rows are packed in the order of a hash of doc_id,
-    size and text, so reruns agree; the driver sees one row a source, of which ``docs`` must have a bounded number.
+    Size is the number of words ``[^\\x20\\x09-\\x0D]+`` (null: 0) of the whole text, however long. A source's last block may be
+    shorter. A row without words takes none; a source without words has target 0; rows without a source are a source of their own.
+    Repeated rows are rows of their own, and an empty table gives an empty result; other columns are ignored. Rows are packed in the
+    order of a hash of doc_id and text (ties by doc_id and size, beyond which rows are the same), whatever the number of partitions, so
+    reruns agree on any cluster. The driver sees one row a source; more than ``MAX_SOURCES`` are an error.
     """
     placed, mixed = _mix(docs, block, slots, seed, weights, cap)
     used = mixed.select("k", F.inline("pieces")).groupBy("k", "start").agg(F.sum(F.col("last") - F.col("first") + 1).alias("taken"))
