@@ -17,19 +17,7 @@ from .ngram_join import ngram_jaccard_join
 from .quality import quality_report
 from .secrets import scan_secrets
 from .toxicity import score_toxicity
-from .warc import BASE32, BREAKS, DATE, HIDDEN, REFERENCES, TAGS, derivatives, page_responses
-
-
-def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scan_secrets(table(spark, sf_dir, "documents"))
-
-
-def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
-
-
-def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix_sources(table(spark, sf_dir, "documents"))
+from .warc import BASE32, BREAKS, DATE, HIDDEN, TAGS, derivatives, page_responses
 
 
 def op1_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,13 +26,25 @@ def op1_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = derivatives(page_responses(table(spark, sf_dir, "pages")))
-    return out.select("page_id", "record_type", "record_id", "refers_to", "target_uri", "payload_digest", "block_digest", "content_length", F.sha2(F.col("record").cast("binary"), 256).alias("record_sha256"))
+    return out.select("row_.page_id", "record_type", "record_id", "refers_to", "target_uri", "payload_digest", "block_digest", "content_length", F.sha2(F.col("record").cast("binary"), 256).alias("record_sha256"))
 
 
 def op3_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_main_text(table(spark, sf_dir, "pages"))
 
 
+def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_secrets(table(spark, sf_dir, "documents"))
+
+
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_sources(table(spark, sf_dir, "documents"))
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_language(table(spark, sf_dir, "documents"))
 
@@ -71,6 +71,10 @@ def _sql(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
 
+#: The character references that the given pages use, in the order of replacement (the ampersand last).
+REFERENCES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&apos;": "'", "&#39;": "'", "&copy;": "©", "&reg;": "®", "&middot;": "·", "&hellip;": "…", "&ndash;": "–", "&mdash;": "—", "&laquo;": "«", "&raquo;": "»", "&euro;": "€", "&amp;": "&"}
+
+
 def _warc_sql() -> str:
     """The same records, by DuckDB's own functions; carriage returns and line breaks as chr(13), chr(10)."""
     crlf = "(chr(13) || chr(10))"
@@ -82,21 +86,30 @@ def _warc_sql() -> str:
     def uuid(h: str) -> str:
         return f"'<urn:uuid:' || substr({h}, 1, 8) || '-' || substr({h}, 9, 4) || '-5' || substr({h}, 14, 3) || '-' || substr('89ab', ('0x' || substr({h}, 17, 1))::INT % 4 + 1, 1) || substr({h}, 18, 3) || '-' || substr({h}, 21, 12) || '>'"
 
+    def decoded(text: str) -> str:
+        for name, char in REFERENCES.items():
+            text = f"replace({text}, {_sql(name)}, {_sql(char)})"
+        return text
+
     line = lambda name, value: f"coalesce('{name}: ' || {value} || {crlf}, '')"
-    text = f"regexp_replace(regexp_replace(payload, {_sql(HIDDEN)}, '', 'g'), {_sql(chr(91) + chr(92) + 't' + chr(92) + 'n' + chr(92) + 'x0B' + chr(92) + 'f' + chr(92) + 'r ]+')}, ' ', 'g')"
-    text = f"regexp_replace(regexp_replace({text}, {_sql(BREAKS)}, chr(10), 'g'), {_sql(TAGS)}, '', 'g')"
-    for name, char in REFERENCES.items():
-        text = f"replace({text}, {_sql(name)}, {_sql(char)})"
+    blank = _sql("[" + chr(92) + "t" + chr(92) + "n" + chr(92) + "x0B" + chr(92) + "f" + chr(92) + "r ]+")
+    text = f"regexp_replace(regexp_replace(payload, {_sql(HIDDEN)}, '', 'g'), {blank}, ' ', 'g')"
+    text = decoded(f"regexp_replace(regexp_replace({text}, {_sql(BREAKS)}, chr(10), 'g'), {_sql(TAGS)}, '', 'g')")
     space = chr(92) + "n"
     text = f"regexp_replace(regexp_replace(regexp_replace({text}, ' +', ' ', 'g'), ' ?{space}[ {space}]*', chr(10), 'g'), '^[ {space}]+|[ {space}]+$', '', 'g')"
-    squeeze = "regexp_replace({}, '[" + chr(92) + "t" + chr(92) + "n" + chr(92) + "x0B" + chr(92) + "f" + chr(92) + "r ]+', ' ', 'g')"
-    title = f"nullif({squeeze.format('regexp_extract(payload, ' + _sql('(?is)<title[^>]*>(.*?)</title') + ', 1)')}, '')"
+    title = f"nullif(regexp_replace({decoded('regexp_extract(payload, ' + _sql('(?is)<title[^>]*>(.*?)</title') + ', 1)')}, {blank}, ' ', 'g'), '')"
     lang = "nullif(regexp_extract(payload, " + _sql("(?i)<html[^>]*" + chr(92) + "blang=[\"']?([A-Za-z-]+)") + ", 1), '')"
-    facts = " || ".join([line("payload-digest", "payload_digest"), line("payload-length", "strlen(payload)::VARCHAR"), line("title", title), line("language", lang), line("source-content-type", "'text/html; charset=utf-8'")])
-    head = [("WARC-Record-ID", "record_id"), ("WARC-Target-URI", "target_uri"), ("WARC-Date", f"'{DATE}'"), ("WARC-Refers-To", "refers_to"), ("WARC-Refers-To-Target-URI", "target_uri"), ("WARC-Refers-To-Date", f"'{DATE}'"), ("WARC-Source-Payload-Digest", "payload_digest"), ("WARC-Source-Content-Type", "'text/html; charset=utf-8'"), ("WARC-Block-Digest", "block_digest")]
+    kind, inner = "'text/html; charset=utf-8'", "strlen(payload)::VARCHAR"
+    http = [("Content-Type", kind), ("Content-Length", inner)]
+    source = [("WARC-Type", "'response'"), ("WARC-Record-ID", "refers_to"), ("WARC-Target-URI", "target_uri"), ("WARC-Date", f"'{DATE}'"), ("WARC-Payload-Digest", "payload_digest"), ("WARC-Block-Digest", "source_digest"), ("Content-Type", "'application/http; msgtype=response'"), ("Content-Length", "strlen(http)::VARCHAR")]
+    facts = [line("payload-digest", "payload_digest"), line("payload-length", inner), line("title", title), line("language", lang), line("http-status", "'200'")]
+    facts = " || ".join(facts + [line("http-header: " + k, v) for k, v in http] + [line("warc-header: " + k, v) for k, v in source])
+    head = [("WARC-Record-ID", "record_id"), ("WARC-Target-URI", "target_uri"), ("WARC-Date", f"'{DATE}'"), ("WARC-Refers-To", "refers_to"), ("WARC-Refers-To-Target-URI", "target_uri"), ("WARC-Refers-To-Date", f"'{DATE}'"), ("WARC-Source-Payload-Digest", "payload_digest"), ("WARC-Source-Block-Digest", "source_digest"), ("WARC-Source-Content-Type", kind), ("WARC-Block-Digest", "block_digest")]
     record = " || ".join([f"'WARC/1.1' || {crlf}", line("WARC-Type", "record_type"), *(line(k, v) for k, v in head), line("Content-Type", "CASE record_type WHEN 'metadata' THEN 'application/warc-fields' ELSE 'text/plain; charset=utf-8' END"), line("Content-Length", "strlen(block)::VARCHAR"), crlf, "block", crlf, crlf])
     return f"""WITH p AS (SELECT page_id, url AS target_uri, coalesce(html, '') AS payload, sha1(concat_ws(chr(10), 'response', page_id::VARCHAR, url)) AS h, sha1(coalesce(html, '')) AS d FROM pages),
-q AS (SELECT page_id, target_uri, payload, {uuid('h')} AS refers_to, {base32('d')} AS payload_digest FROM p),
+m AS (SELECT *, 'HTTP/1.1 200 OK' || {crlf} || {" || ".join(line(k, v) for k, v in http)} || {crlf} || payload AS http FROM p),
+n AS (SELECT *, sha1(http) AS e FROM m),
+q AS (SELECT page_id, target_uri, payload, http, {uuid('h')} AS refers_to, {base32('d')} AS payload_digest, {base32('e')} AS source_digest FROM n),
 r AS (SELECT *, 'metadata' AS record_type, {facts} AS block FROM q UNION ALL SELECT *, 'conversion' AS record_type, {text} AS block FROM q),
 s AS (SELECT *, sha1(block) AS b, sha1(concat_ws(chr(10), record_type, refers_to, sha1(block))) AS o FROM r),
 t AS (SELECT *, {base32('b')} AS block_digest, {uuid('o')} AS record_id FROM s)

@@ -1,25 +1,34 @@
 """WARC derivatives: each response record becomes a metadata and a plain-text conversion record that refer to it.
 
-All of it is Column expressions: header lines are split and looked up, SHA-1 digests are written in Base32 as the format's tools do,
-texts are taken from markup by patterns, and identifiers are made from the digests of what they name, so that reruns agree.
+Records are read from WARC files (gzip or not), parsed byte for byte, checked against their digests, converted and written again. Headers
+are kept all and in order; digests are SHA-1 in Base32 as the format's tools write them, and identifiers are made from what they name, so
+that reruns agree. Parsing and serializing are Column expressions; Python sees batches of what Columns cannot decode: character
+references, and payloads that are chunked, compressed or in another charset.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import gzip
+import html
+import io
+import zlib
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 CRLF = "\r\n"
-#: Named character references of markup, in the order of replacement (the ampersand last).
-REFERENCES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&apos;": "'", "&#39;": "'", "&nbsp;": " ", "&copy;": "©", "&reg;": "®", "&middot;": "·", "&hellip;": "…", "&ndash;": "–", "&mdash;": "—", "&laquo;": "«", "&raquo;": "»", "&euro;": "€", "&amp;": "&"}
 HIDDEN = r"(?is)<(?:!--.*?-->|script\b.*?</script\s*>|style\b.*?</style\s*>|head\b.*?</head\s*>|noscript\b.*?</noscript\s*>|template\b.*?</template\s*>)"
 BREAKS = r"(?i)</?(?:address|article|aside|blockquote|body|br|dd|div|dl|dt|fieldset|figcaption|figure|footer|form|h[1-6]|header|hr|html|li|main|nav|ol|p|pre|section|table|td|th|tr|ul)\b[^>]*>"
 TAGS = r"<[^>]*>"
 DATE = "2024-01-01T00:00:00Z"
-SOURCE_HEADERS = ("content-type", "last-modified", "etag", "content-language", "server")
+BYTES = "ISO-8859-1"  # a text of bytes: one character each
+LINKS = {"WARC-Refers-To": "refers_to", "WARC-Refers-To-Target-URI": "target_uri", "WARC-Refers-To-Date": "date"}
 
 
+# --- values ------------------------------------------------------------------------------------------------------------------------------
 def base32(digest: Column) -> Column:
     """``sha1:`` and a hexadecimal digest in Base32: five hexadecimal digits make four of its letters."""
     letters = []
@@ -34,6 +43,13 @@ def base32_sha1(data: Column) -> Column:
     return base32(F.sha1(data))
 
 
+def digest_agrees(stated: Column, data: Column) -> Column:
+    """Whether a digest header fits the bytes: SHA-1 in Base32 or hexadecimal, MD5, SHA-256; null for none and for other methods."""
+    method, value = F.lower(F.trim(F.substring_index(stated, ":", 1))), F.trim(F.substr(stated, F.instr(stated, ":") + 1))
+    sha1 = (F.upper(value) == F.substr(base32_sha1(data), F.lit(6))) | (F.lower(value) == F.sha1(data))
+    return F.when(method == "sha1", sha1).when(method == "md5", F.lower(value) == F.md5(data)).when(method == "sha256", F.lower(value) == F.sha2(data, 256))
+
+
 def record_id(*parts: Column) -> Column:
     """A urn:uuid made from the digest of what it names (version and variant bits as for name-based identifiers)."""
     h = F.sha1(F.concat_ws("\n", *parts).cast("binary"))
@@ -42,41 +58,130 @@ def record_id(*parts: Column) -> Column:
     return F.concat(F.lit("<urn:uuid:"), piece(1, 8), F.lit("-"), piece(9, 4), F.lit("-5"), piece(14, 3), F.lit("-"), variant, piece(18, 3), F.lit("-"), piece(21, 12), F.lit(">"))
 
 
-def plain_text(html: Column) -> Column:
-    """Text of markup: hidden elements and tags go, block tags break lines, references are decoded, white space is collapsed."""
-    out = F.translate(F.regexp_replace(html, HIDDEN, ""), "\t\n\x0b\f\r", "     ")
-    out = F.regexp_replace(F.regexp_replace(out, BREAKS, "\n"), TAGS, "")
-    for name, char in REFERENCES.items():
-        out = F.replace(out, F.lit(name), F.lit(char))
-    return F.regexp_replace(F.regexp_replace(F.regexp_replace(out, " {2,}", " "), " ?\n[ \n]*", "\n"), r"^[ \n]+|[ \n]+$", "")
+def decode_references(text: Column) -> Column:
+    """All numeric and named character references of a text decoded; texts without an ampersand stay in the JVM."""
 
+    @F.pandas_udf("string")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield texts.map(lambda x: html.unescape(x) if x is not None else None)
 
-def parse_records(records: DataFrame, column: str = "record") -> DataFrame:
-    """Adds (headers map, http_headers map, http_status, payload) of WARC response records in a binary or text column. A record
-    without an empty line has headers only; header names are lower-cased, of repeated ones the first counts.
-    The empty lines that end a record are not part of its block."""
-    text = F.col(column).cast("string")
-    head = F.substring_index(text, CRLF * 2, 1)
-    block = F.when(F.length(text) > F.length(head), F.regexp_replace(F.substr(text, F.length(head) + 5), r"\r\n\r\n\z", ""))
-
-    def table(lines: Column) -> Column:
-        pairs = F.transform(F.filter(F.split(lines, CRLF), lambda x: F.contains(x, F.lit(":"))), lambda x: F.struct(F.lower(F.trim(F.substring_index(x, ":", 1))).alias("k"), F.trim(F.substr(x, F.instr(x, ":") + 1)).alias("v")))
-        firsts = F.filter(F.transform(pairs, lambda x, i: F.struct(x["k"].alias("k"), x["v"].alias("v"), i.alias("i"))), lambda x: F.array_position(F.transform(pairs, lambda y: y["k"]), x["k"]) == x["i"] + 1)
-        return F.map_from_arrays(F.transform(firsts, lambda x: x["k"]), F.transform(firsts, lambda x: x["v"]))
-
-    http = F.substring_index(block, CRLF * 2, 1)
-    return records.withColumns({
-        "headers": table(head),
-        "http_headers": table(F.coalesce(http, F.lit(""))),
-        "http_status": F.try_element_at(F.split(F.substring_index(http, CRLF, 1), " "), F.lit(2)).cast("int"),
-        "payload": F.coalesce(F.when(F.length(block) > F.length(http), F.substr(block, F.length(http) + 5)), F.lit("")),
-    })
+    some = F.contains(text, F.lit("&"))
+    return F.when(some, run(F.when(some, text))).otherwise(text)
 
 
-def response_record(record: Column, uri: Column, date: Column, payload: Column) -> Column:
-    """A response record as text, for tables that hold bare pages."""
-    http = F.concat(F.lit(f"HTTP/1.1 200 OK{CRLF}Content-Type: text/html; charset=utf-8{CRLF}Content-Length: "), F.octet_length(payload).cast("string"), F.lit(CRLF * 2), payload)
-    return serialize("response", record, uri, date, "application/http; msgtype=response", http, {"WARC-Payload-Digest": base32_sha1(payload.cast("binary"))})
+def plain_text(markup: Column) -> Column:
+    """Text of markup, its references not decoded yet: hidden elements and tags go, block tags break lines."""
+    out = F.translate(F.regexp_replace(markup, HIDDEN, ""), "\t\n\x0b\f\r", "     ")
+    return F.regexp_replace(F.regexp_replace(out, BREAKS, "\n"), TAGS, "")
+
+
+def squeeze(text: Column) -> Column:
+    """Runs of blanks become one, and none stand around line breaks or at the ends."""
+    out = F.regexp_replace(F.regexp_replace(text, " {2,}", " "), " ?\n[ \n]*", "\n")
+    return F.regexp_replace(out, r"^[ \n]+|[ \n]+$", "")
+
+
+# --- records -----------------------------------------------------------------------------------------------------------------------------
+def header_list(lines: Column) -> Column:
+    """array<struct<name, value>> of header lines, all in order; folded lines are joined by a blank."""
+    pairs = F.filter(F.split(F.regexp_replace(lines, r"\r\n[ \t]+", " "), CRLF), lambda x: F.contains(x, F.lit(":")))
+    return F.transform(pairs, lambda x: F.struct(F.trim(F.substring_index(x, ":", 1)).alias("name"), F.trim(F.substr(x, F.instr(x, ":") + 1)).alias("value")))
+
+
+def header(headers: Column, name: str) -> Column:
+    """The first value of a header, its name in any case; null if there is none."""
+    return F.get(F.filter(headers, lambda h: F.lower(h["name"]) == name.lower()), 0)["value"]
+
+
+def _split_chunks(data: bytes) -> bytes:
+    """The body of a chunked transfer; what does not parse stays as it is."""
+    out, at = [], 0
+    while True:
+        end = data.find(b"\r\n", at)
+        try:
+            size = int(data[at:end].split(b";")[0], 16) if end >= 0 else -1
+        except ValueError:
+            size = -1
+        if size < 0:
+            return data if not out else b"".join(out)
+        if size == 0:
+            return b"".join(out)
+        out.append(data[end + 2 : end + 2 + size])
+        at = end + 2 + size + 2
+
+
+def decode_payload(data: bytes, transfer: str | None, encoding: str | None, charset: str | None) -> str:
+    """Text of a payload: chunks joined, gzip or deflate undone, decoded; what cannot be decoded is replaced, not lost."""
+    if "chunked" in (transfer or "").lower():
+        data = _split_chunks(data)
+    for kind in reversed([x.strip() for x in (encoding or "").lower().split(",")]):
+        try:
+            if kind in ("gzip", "x-gzip"):
+                data = gzip.decompress(data)
+            elif kind == "deflate":
+                try:
+                    data = zlib.decompress(data)
+                except zlib.error:
+                    data = zlib.decompress(data, -15)
+        except (OSError, EOFError, zlib.error):
+            break
+    try:
+        return data.decode(charset or "utf-8", "replace")
+    except LookupError:
+        return data.decode("utf-8", "replace")
+
+
+def _text(payload: Column, headers: Column) -> Column:
+    """The payload as text. UTF-8 without transfer or content coding never leaves the JVM."""
+
+    @F.pandas_udf("string")
+    def run(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
+        for data, transfer, encoding, charset in batches:
+            yield pd.Series([decode_payload(bytes(d), *rest) if d is not None else None for d, *rest in zip(data, transfer, encoding, charset)], dtype=object)
+
+    named = r"(?i)charset\s*=\s*[\"']?([0-9A-Za-z_.:-]+)"
+    stated = F.nullif(F.regexp_extract(F.coalesce(header(headers, "content-type"), F.lit("")), named, 1), F.lit(""))
+    meta = F.nullif(F.regexp_extract(F.decode(F.substring(payload, 1, 1024), BYTES), r"(?i)<meta\b[^>]*" + named[4:], 1), F.lit(""))
+    charset = F.lower(F.coalesce(stated, meta, F.lit("utf-8")))
+    coded = [header(headers, x) for x in ("transfer-encoding", "content-encoding")]
+    plain = charset.isin("utf-8", "utf8", "us-ascii") & F.coalesce(coded[0], F.lit("identity")).isin("identity", "") & F.coalesce(coded[1], F.lit("identity")).isin("identity", "")
+    return F.when(plain, F.make_valid_utf8(payload.cast("string"))).otherwise(run(F.when(~plain, payload), *coded, charset))
+
+
+def parse_records(records: DataFrame, column: str = "record") -> DataFrame:
+    """(row_, record_type, record_id, target_uri, date, headers, http_status, http_headers, payload, block_ok, payload_ok) of WARC records
+    in a binary or text column.
+
+    ``row_`` has the columns of ``records``. ``headers`` and ``http_headers`` are array<struct<name, value>>, all in order, folded lines
+    joined. The block is as long as Content-Length says, or without it, up to the empty lines that end a record. ``payload`` is what
+    follows the HTTP header, as bytes; the whole block if there is none. ``block_ok`` and ``payload_ok`` tell whether the digest
+    headers fit (null: none there). A null record gives nulls; one without an empty line has headers only.
+    """
+    rows = records.select(F.struct(*(F.col(f"`{c}`") for c in records.columns)).alias("row_"), F.col(f"`{column}`").cast("binary").alias("bytes_"))
+    rows = rows.withColumn("text_", F.decode("bytes_", BYTES))
+    utf8 = lambda x: F.make_valid_utf8(F.encode(x, BYTES).cast("string"))
+    rows = rows.withColumn("at_", F.length(F.substring_index("text_", CRLF * 2, 1))).withColumn("headers", header_list(utf8(F.left("text_", F.col("at_")))))
+    stated = header(F.col("headers"), "content-length").try_cast("int")
+    rest = F.regexp_replace(F.substr("text_", F.col("at_") + 5), r"\r\n\r\n\z", "")
+    rows = rows.withColumn("block_", F.when(stated.isNotNull(), F.substr("text_", F.col("at_") + 5, stated)).otherwise(rest))
+    is_http = F.startswith("block_", F.lit("HTTP/"))
+    rows = rows.withColumn("http_", F.when(is_http, F.substring_index("block_", CRLF * 2, 1)).otherwise(""))
+    rows = rows.withColumn("payload", F.encode(F.when(is_http, F.substr("block_", F.length("http_") + 5)).otherwise(F.col("block_")), BYTES))
+    h = F.col("headers")
+    return rows.select(
+        "row_",
+        F.lower(header(h, "warc-type")).alias("record_type"),
+        header(h, "warc-record-id").alias("record_id"),
+        header(h, "warc-target-uri").alias("target_uri"),
+        header(h, "warc-date").alias("date"),
+        "headers",
+        F.try_element_at(F.split(F.substring_index("http_", CRLF, 1), " "), F.lit(2)).try_cast("int").alias("http_status"),
+        header_list(utf8(F.col("http_"))).alias("http_headers"),
+        "payload",
+        digest_agrees(header(h, "warc-block-digest"), F.encode("block_", BYTES)).alias("block_ok"),
+        digest_agrees(header(h, "warc-payload-digest"), F.col("payload")).alias("payload_ok"),
+    )
 
 
 def serialize(kind: str, record: Column, uri: Column, date: Column, content_type: str, block: Column, more: dict[str, Column], digest: Column | None = None) -> Column:
@@ -88,41 +193,98 @@ def serialize(kind: str, record: Column, uri: Column, date: Column, content_type
     return F.concat(F.lit("WARC/1.1" + CRLF), *(line(k, v) for k, v in (fixed | more | after).items()), F.lit(CRLF), block, F.lit(CRLF * 2))
 
 
-def derivatives(responses: DataFrame) -> DataFrame:
-    """(record_type, record_id, refers_to, target_uri, date, payload_digest, block_digest, content_length, block, record): two rows for
-    each row of ``responses(record_id, target_uri, date, http_headers map, payload)``.
+def response_record(record: Column, uri: Column, date: Column, payload: Column) -> Column:
+    """A response record as text, for tables that hold bare pages."""
+    http = F.concat(F.lit(f"HTTP/1.1 200 OK{CRLF}Content-Type: text/html; charset=utf-8{CRLF}Content-Length: "), F.octet_length(payload).cast("string"), F.lit(CRLF * 2), payload)
+    return serialize("response", record, uri, date, "application/http; msgtype=response", http, {"WARC-Payload-Digest": base32_sha1(payload.cast("binary"))})
+
 
-    The metadata record holds the source headers, the length and digest of the payload, title and language; the conversion record the
-    plain text. Both carry refers-to identifier, target and date of their source. Null payloads count as empty; null headers are
-    left out; a null record_id gets the identifier of its target and payload. Other columns stay in front.
+def derivatives(records: DataFrame, column: str = "record") -> DataFrame:
+    """(row_, record_type, record_id, refers_to, target_uri, date, payload_digest, block_digest, content_length, block, record, block_ok,
+    payload_ok): two rows for each response record in a binary or text column.
+
+    The metadata record holds length and digest of the payload, title, language, and every header of its source, WARC and HTTP, in
+    order; the conversion record the plain text of the payload, decoded and with all character references resolved. Both carry
+    refers-to identifier, target and date of their source and its digests, as it stated them; ``block_ok`` and ``payload_ok`` tell
+    whether these fit. Where it stated no payload digest, it is computed. Records of other types, and null records, give no rows. Repeated
+    records give repeated rows with equal identifiers; an empty table an empty result. ``row_`` has the columns of ``records``, so none
+    can clash. A record without identifier gets one from its target and payload. Payloads are converted whole; a row is held in one piece.
     """
-    payload = F.coalesce(F.col("payload").cast("string"), F.lit(""))
-    source = F.coalesce(F.col("record_id"), record_id(F.lit("response"), F.col("target_uri"), payload))
-    headers = F.col("http_headers")
-    digest = F.col("payload_digest")
-    title = F.nullif(F.regexp_replace(F.regexp_extract(payload, r"(?is)<title[^>]*>(.*?)</title", 1), r"[\t\n\x0B\f\r ]+", " "), F.lit(""))
-    language = F.nullif(F.regexp_extract(payload, r"(?i)<html[^>]*\blang=[\"']?([A-Za-z-]+)", 1), F.lit(""))
-    field = lambda name, value: F.coalesce(F.concat(F.lit(name + ": "), value, F.lit(CRLF)), F.lit(""))
-    kept = F.concat(*(field("source-" + h, F.try_element_at(headers, F.lit(h))) for h in SOURCE_HEADERS))
-    facts = F.concat(field("payload-digest", digest), field("payload-length", F.octet_length(payload).cast("string")), field("title", title), field("language", language), F.coalesce(kept, F.lit("")))
+    line = lambda name, value: F.coalesce(F.concat(F.lit(name + ": "), value, F.lit(CRLF)), F.lit(""))
+    rows = parse_records(records, column).filter("record_type = 'response'")
+    sha = F.sha1("payload")
+    rows = rows.withColumn("refers_to", F.coalesce("record_id", record_id(F.lit("response"), F.col("target_uri"), sha)))
+    rows = rows.withColumn("payload_digest", F.coalesce(header(F.col("headers"), "warc-payload-digest"), base32(sha)))
+    rows = rows.withColumn("html_", _text(F.col("payload"), F.col("http_headers")))
+    rows = rows.withColumn("title_", decode_references(F.regexp_extract("html_", r"(?is)<title[^>]*>(.*?)</title", 1))).withColumn("plain_", decode_references(plain_text(F.col("html_"))))
+    title = F.nullif(F.regexp_replace("title_", r"[\t\n\x0B\f\r ]+", " "), F.lit(""))
+    language = F.nullif(F.regexp_extract("html_", r"(?i)<html[^>]*\blang=[\"']?([A-Za-z-]+)", 1), F.lit(""))
+    kept = lambda name, headers: F.array_join(F.transform(headers, lambda h: F.concat(F.lit(name + ": "), h["name"], F.lit(": "), h["value"], F.lit(CRLF))), "")
+    facts = F.concat(line("payload-digest", F.col("payload_digest")), line("payload-length", F.octet_length("payload").cast("string")), line("title", title), line("language", language), line("http-status", F.col("http_status").cast("string")), kept("http-header", F.col("http_headers")), kept("warc-header", F.col("headers")))
 
     # one row in, two out: the pair is an array that is unfolded, so payloads are read once; each digest is a column before it is used
-    rows = responses.withColumn("refers_to", source).withColumn("payload_sha_", F.sha1(payload.cast("binary"))).withColumn("payload_digest", base32(F.col("payload_sha_")))
-    pair = F.array(F.struct(F.lit("metadata").alias("record_type"), facts.alias("block")), F.struct(F.lit("conversion").alias("record_type"), plain_text(payload).alias("block")))
-    rows = rows.withColumn("pair_", F.explode(pair)).withColumn("block_sha_", F.sha1(F.col("pair_.block").cast("binary"))).withColumn("block_digest", base32(F.col("block_sha_")))
-    uri, date, block = F.col("target_uri"), F.col("date"), F.col("pair_.block")
-    rows = rows.withColumn("own_", record_id(F.col("pair_.record_type"), F.col("refers_to"), F.col("block_sha_")))
-    own = F.col("own_")
-    links = {"WARC-Refers-To": F.col("refers_to"), "WARC-Refers-To-Target-URI": uri, "WARC-Refers-To-Date": date, "WARC-Source-Payload-Digest": F.col("payload_digest")}
-    links |= {"WARC-Source-Content-Type": F.try_element_at(headers, F.lit("content-type"))}
-    record = F.when(F.col("pair_.record_type") == "metadata", serialize("metadata", own, uri, date, "application/warc-fields", block, links, F.col("block_digest"))).otherwise(serialize("conversion", own, uri, date, "text/plain; charset=utf-8", block, links, F.col("block_digest")))
-    rest = [F.col(f"`{c}`") for c in responses.columns if c not in ("record_id", "target_uri", "date", "http_headers", "payload", "refers_to", "payload_digest")]
-    return rows.select(*rest, "pair_.record_type", own.alias("record_id"), "refers_to", uri, date, "payload_digest", "block_digest", F.octet_length(block).cast("long").alias("content_length"), block.alias("block"), record.alias("record"))
+    pair = F.array(F.struct(F.lit("metadata").alias("kind"), facts.alias("block")), F.struct(F.lit("conversion").alias("kind"), squeeze(F.col("plain_")).alias("block")))
+    more = {"WARC-Source-Payload-Digest": F.col("payload_digest"), "WARC-Source-Block-Digest": header(F.col("headers"), "warc-block-digest"), "WARC-Source-Content-Type": header(F.col("http_headers"), "content-type")}
+    rows = rows.select("row_", "refers_to", "target_uri", "date", "payload_digest", "block_ok", "payload_ok", *(v.alias(k) for k, v in more.items()), F.explode(pair).alias("pair_"))
+    rows = rows.withColumn("sha_", F.sha1(F.col("pair_.block").cast("binary"))).withColumn("block_digest", base32(F.col("sha_")))
+    rows = rows.withColumn("own_", record_id(F.col("pair_.kind"), F.col("refers_to"), F.col("sha_")))
+    uri, date, block, own = F.col("target_uri"), F.col("date"), F.col("pair_.block"), F.col("own_")
+    links = {k: F.col(v) for k, v in LINKS.items()} | {k: F.col(f"`{k}`") for k in more}
+    record = F.when(F.col("pair_.kind") == "metadata", serialize("metadata", own, uri, date, "application/warc-fields", block, links, F.col("block_digest"))).otherwise(serialize("conversion", own, uri, date, "text/plain; charset=utf-8", block, links, F.col("block_digest")))
+    return rows.select("row_", F.col("pair_.kind").alias("record_type"), own.alias("record_id"), "refers_to", uri, date, "payload_digest", "block_digest", F.octet_length(block).cast("long").alias("content_length"), block.alias("block"), record.alias("record"), "block_ok", "payload_ok")
 
 
 def page_responses(pages: DataFrame, date: str = DATE) -> DataFrame:
-    """(page_id, record_id, target_uri, date, http_headers, payload) of ``pages(page_id, url, html)``, as parsed from a response."""
+    """(page_id, record): a response record for each row of ``pages(page_id, url, html)``, its identifier made from page_id and url. Null
+    html is an empty payload, a null url no target."""
     payload = F.coalesce(F.col("html").cast("string"), F.lit(""))
     own = record_id(F.lit("response"), F.col("page_id").cast("string"), F.col("url"))
-    headers = F.create_map(F.lit("content-type"), F.lit("text/html; charset=utf-8"), F.lit("content-length"), F.octet_length(payload).cast("string"))
-    return pages.select(F.col("page_id").cast("long").alias("page_id"), own.alias("record_id"), F.col("url").alias("target_uri"), F.lit(date).alias("date"), headers.alias("http_headers"), payload.alias("payload"))
+    return pages.select(F.col("page_id").cast("long").alias("page_id"), response_record(own, F.col("url"), F.lit(date), payload).alias("record"))
+
+
+# --- files -------------------------------------------------------------------------------------------------------------------------------
+def records_of(content: bytes) -> Iterator[bytes]:
+    """The records of a WARC file, gzip or not, one after another: a record's length is in its header."""
+    file = gzip.open(io.BytesIO(content)) if content[:2] == b"\x1f\x8b" else io.BytesIO(content)
+    while True:
+        head = []
+        while not head or head[-1] not in (b"\r\n", b"\n"):
+            line = file.readline()
+            if not line:
+                if head:
+                    yield b"".join(head)
+                return
+            if head or line.strip():
+                head.append(line)
+        size = next((int(x.split(b":", 1)[1]) for x in head if x.lower().startswith(b"content-length:")), 0)
+        yield b"".join(head) + file.read(size) + b"\r\n\r\n"
+
+
+def read_warc(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
+    """(path, position, record) of the WARC files under a path whose names fit ``glob``. A task holds one file; a file that breaks off gives the records before."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for name, content in zip(batch["path"], batch["content"]):
+                held, at = [], 0
+                try:
+                    for record in records_of(bytes(content)):
+                        held.append((name, at, record))
+                        at += 1
+                        if sum(len(r[2]) for r in held[-64:]) > 1 << 22 or len(held) >= 500:
+                            yield pd.DataFrame(held, columns=["path", "position", "record"])
+                            held = []
+                except (OSError, EOFError, zlib.error, ValueError):
+                    pass
+                if held:
+                    yield pd.DataFrame(held, columns=["path", "position", "record"])
+
+    files = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(path)
+    return files.select("path", "content").mapInPandas(run, "path string, position long, record binary")
+
+
+def write_warc(records: DataFrame, path: str, compress: bool = True) -> None:
+    """Writes the text column ``record`` as WARC files, a file for each partition. A line of the file format is a record here: its
+    separator is the empty lines that end it."""
+    ended = records.select(F.regexp_replace("record", r"\r\n\r\n\z", "").alias("value"))
+    ended.write.mode("overwrite").option("lineSep", CRLF * 2).option("compression", "gzip" if compress else "none").text(path)

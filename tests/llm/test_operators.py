@@ -14,7 +14,6 @@ from spoken.llm.ngram_join import ngram_jaccard_join
 from spoken.llm.quality import binomial_at_most, choose, proven, quality_filter, quality_report
 from spoken.llm.secrets import labelled_findings, redact_secrets, scan_secrets, train
 from spoken.llm.toxicity import score_toxicity
-from spoken.llm.warc import derivatives, page_responses, parse_records, response_record
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, row_ string, size long, bad_ int"
@@ -192,18 +191,6 @@ def test_secrets_of_any_form(spark):
     assert out[len(hidden) :] == shown
 
 
-def test_warc(spark):
-    rows = [(1, "http://a/", "<html lang=en><head><title>T</title></head><p>a&amp;b<p>c"), (2, None, None)]
-    pages = page_responses(spark.createDataFrame(rows, "page_id long, url string, html string"))
-    out = {(r["page_id"], r["record_type"]): r for r in derivatives(pages).collect()}
-    meta, text = out[1, "metadata"], out[1, "conversion"]
-    assert text["block"] == "a&b\nc" and text["refers_to"] == meta["refers_to"] and "source-content-type: text/html" in meta["block"]
-    assert f"WARC-Refers-To: {text['refers_to']}" in text["record"] and text["content_length"] == 5 and out[2, "conversion"]["block"] == ""
-    raw = pages.select(response_record(F.col("record_id"), F.col("target_uri"), F.col("date"), F.col("payload")).alias("record"))
-    back = parse_records(raw).filter("headers['warc-target-uri'] = 'http://a/'").first()
-    assert back["payload"] == rows[0][2] and back["http_status"] == 200 and back["headers"]["warc-type"] == "response"
-
-
 def test_edges_of_every_operator(spark, labels):
     """Null, empty, blank, long and repeated texts, clashing columns, and empty tables."""
     items = spark.createDataFrame([(1, "alpha beta gamma delta"), (2, None), (None, "x")], "item_id long, text string")
