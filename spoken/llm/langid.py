@@ -35,8 +35,8 @@ def _letter_table() -> np.ndarray:
 def ngrams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, n-gram hash, count) of all texts, sorted by row and hash."""
     lowered = [(t or "").lower() for t in texts]
-    codes = np.frombuffer("\n".join(lowered).encode("utf-32-le", "surrogatepass"), np.uint32)
-    row = np.repeat(np.arange(len(texts)), np.array([len(t) + 1 for t in lowered]))[: len(codes)]
+    codes = np.frombuffer("".join(t + "\n" for t in lowered).encode("utf-32-le", "surrogatepass"), np.uint32)
+    row = np.repeat(np.arange(len(texts)), np.array([len(t) + 1 for t in lowered], np.int64))
     letter = _letter_table()[codes]
     # one blank before, between and after words; a row's words keep apart from the next row's by its final line break
     before = np.concatenate([[True], ~letter[:-1]]) if len(letter) else letter
