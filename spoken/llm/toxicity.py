@@ -9,6 +9,7 @@ classifier over hashed words and votes, which scores every whole text. Held-out
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,20 +20,21 @@ from pyspark.sql import functions as F
 from . import textops as T
 from .common import held_out
 
-BITS = 20
+BITS = 22  # of a feature's slot in the classifier
 PREFIXES = (4, 5, 6, 7)  # bytes of a word's beginning
 LEVELS = ((1, 0), (2, 1), (3, 3))  # (occurrences, percent of the words) at least
 SAMPLE_LABELLED, SAMPLE_OTHER = 5000, 2000  # texts to learn from
 MINED, MIN_DOCS, MIN_Z = 96, 5, 6.0
 MIN_TOLD = 4.0  # standard deviations
+BELIEF = 20.0
 _ROWS = 4096
 THRESHOLD = 0.3
-#: The lexicon by voter: common insults and threats of four languages.
+#: The lexicon by voter: common insults and threats of four languages, without words that are harmless in another of them.
 LEXICON = {
     "intellect": "idiot idiots stupid moron morons imbecile dumb fool dimwit halfwit",
     "contempt": "pathetic worthless disgusting trash garbage scum filth loser losers vermin",
-    "mockery": "clown clowns joke coward freak pig rat",
-    "wishes": "kill die hate hurt destroy shut",
+    "mockery": "clown clowns coward cowards freak pig",
+    "wishes": "kill hate hurt destroy",
     "french": "connard salaud imbécile débile crétin ordure minable abruti",
     "german": "dummkopf arschloch trottel abschaum wertlos widerlich vollidiot",
     "spanish": "estúpido imbécil basura asqueroso inútil cretino escoria payaso",
@@ -76,7 +78,7 @@ class Features:
                 code.append(_codes(h[fits], level))
                 row.append(owner[fits])
         self.code, self.row, self.n = np.concatenate(code), np.concatenate(row), w.rows
-        self.slot = (self.code >> np.uint64(64 - BITS)).astype(np.int64)
+        self.slot = (self.code >> np.uint64(64 - BITS)).astype(np.int32)
         words = np.maximum(w.counts, 1)
         letters = w.total(~_NOT_LETTER[raw], offsets)
         capitals = w.total((raw >= 65) & (raw <= 90), offsets)
@@ -99,7 +101,9 @@ class Features:
 
 
 def label_model(votes: np.ndarray, known: np.ndarray, rounds: int = 25) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
-    """(posterior of each row, weight of a fired and of a silent vote, prior). ``known`` is 1, 0 or -1; labels stay fixed."""
+    """(posterior of each row, weight of a fired and of a silent vote, prior). ``known`` is 1, 0 or -1; labels stay fixed. So that the
+    classes keep their meaning where labels are few or none, ``BELIEF`` texts of each class are believed beforehand: toxic ones of
+    which lexicon voters fire on a fifth, others on which they hardly fire, and the other voters as often as on all texts."""
     seen = known >= 0
     y = np.where(seen, known, 0).astype(float)
     prior = (known == 1).sum() / max(1, seen.sum()) if seen.any() else 0.05
@@ -107,9 +111,11 @@ def label_model(votes: np.ndarray, known: np.ndarray, rounds: int = 25) -> tuple
     fire = np.zeros((2, votes.shape[1]))
     v = votes.astype(float)
     share = np.ones(votes.shape[1])
+    believed = np.tile(np.clip(v.mean(axis=0), 1e-3, 0.999), (2, 1))
+    believed[:, : len(LEXICON)] = [[0.002], [0.2]]
     for _ in range(rounds):
         for c, weight in ((1, y), (0, 1 - y)):
-            fire[c] = (weight @ v + 0.5) / (weight.sum() + 5.0)
+            fire[c] = (weight @ v + BELIEF * believed[c]) / (weight.sum() + BELIEF)
         # correlations within the classes: a voter's evidence is shared with those that repeat it
         kept = np.zeros((votes.shape[1],) * 2)
         for c, weight in ((1, y), (0, 1 - y)):
@@ -159,24 +165,33 @@ def _platt(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 
 class Model:
-    def __init__(self, groups, mined, weight, bias, scale=1.0, shift=0.0):
-        self.groups, self.mined, self.weight, self.bias, self.scale, self.shift = groups, mined, weight, bias, scale, shift
+    """The classifier: weights of the slots that tell anything, and of the votes. Only these are sent; a worker spreads them once."""
+
+    def __init__(self, groups, mined, slots, weight, votes, bias, scale=1.0, shift=0.0):
+        self.groups, self.mined, self.slots, self.weight, self.votes = groups, mined, slots, weight, votes
+        self.bias, self.scale, self.shift = bias, scale, shift
+        self._table = None
 
     def score(self, f: Features) -> np.ndarray:
-        z = np.bincount(f.row, weights=self.weight[f.slot], minlength=f.n) + self.bias
-        z += f.votes(self.groups, self.mined) @ self.weight[1 << BITS :]
+        if self._table is None:
+            self._table = np.zeros(1 << BITS, np.float32)
+            self._table[self.slots] = self.weight
+        z = np.bincount(f.row, weights=self._table[f.slot], minlength=f.n) + self.bias
+        z += f.votes(self.groups, self.mined) @ self.votes
         return 1 / (1 + np.exp(-np.clip(self.scale * z + self.shift, -30, 30)))
 
 
-def _mine(hashes: np.ndarray, row: np.ndarray, known: np.ndarray) -> np.ndarray:
-    """Codes of words and beginnings that toxic labelled rows have far more often, sorted."""
-    seen = known[row] >= 0
-    words, at = np.unique(hashes[seen], return_inverse=True)
-    bad = np.bincount(at, weights=known[row[seen]] == 1, minlength=len(words))
-    total = np.bincount(at, minlength=len(words))
-    n1, n = (known == 1).sum(), (known >= 0).sum()
+def _mine(f: Features, known: np.ndarray) -> np.ndarray:
+    """Codes of words and beginnings that toxic labelled rows have far more often, sorted. Slots are counted first, then the codes of
+    those slots that may have one."""
+    n1, n = int((known == 1).sum()), int((known >= 0).sum())
     if not 0 < n1 < n:
         return np.zeros(0, np.uint64)
+    bad = np.bincount(f.slot[(known == 1)[f.row]], minlength=1 << BITS)
+    near = (bad >= MIN_DOCS)[f.slot] & (known >= 0)[f.row]
+    words, at = np.unique(f.code[near], return_inverse=True)
+    row = f.row[near]
+    bad, total = np.bincount(at, weights=known[row] == 1, minlength=len(words)), np.bincount(at, minlength=len(words))
     expected = total * n1 / n
     z = (bad - expected) / np.sqrt(np.maximum(expected * (1 - n1 / n), 1e-9))
     pick = np.flatnonzero((bad >= MIN_DOCS) & (z >= MIN_Z) & (2 * bad > total))
@@ -208,48 +223,59 @@ def learn(docs: DataFrame, labels: DataFrame, labelled: int = SAMPLE_LABELLED, o
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("toxic"), pa.array(packed, pa.binary()), pa.array(flags, pa.binary())], names=["doc_id", "toxic", "words", "flags"])
 
     rows = texts.select("doc_id", "toxic", "text").mapInArrow(words, "doc_id long, toxic int, words binary, flags binary")
-    rows = sorted(rows.toLocalIterator(), key=lambda r: (r["doc_id"], bytes(r["words"])))
+    each, flags, label, order = [], [], [], []
+    for r in rows.toLocalIterator():  # a bounded sample; its codes only
+        codes = bytes(r["words"])
+        order.append((r["doc_id"], zlib.crc32(codes), len(order)))
+        each.append(np.frombuffer(codes, np.uint64))
+        flags.append(np.frombuffer(bytes(r["flags"]), np.uint8))
+        label.append(r["toxic"])
+    order = [i for *_, i in sorted(order)]
     groups = _lexicon()
     f = Features.__new__(Features)
-    each = [np.frombuffer(bytes(r["words"]), np.uint64) for r in rows]
-    f.n, f.code = len(rows), np.concatenate(each) if each else np.zeros(0, np.uint64)
-    f.row = np.repeat(np.arange(f.n), [len(x) for x in each])
-    _, at, seen = np.unique(f.code, return_inverse=True, return_counts=True)
-    common = (seen >= 3)[at]  # what fewer texts have cannot be learned
-    f.code, f.row = f.code[common], f.row[common]
-    f.slot = (f.code >> np.uint64(64 - BITS)).astype(np.int64)
-    f.patterns = np.array([np.frombuffer(bytes(r["flags"]), np.uint8) for r in rows], bool).reshape(f.n, 3)
-    label = np.array([r["toxic"] for r in rows], np.int64)
-    mined = _mine(f.code, f.row, label)
+    f.n = len(each)
+    seen = np.zeros(1 << BITS, np.uint16)
+    for codes in each:
+        seen[codes >> np.uint64(64 - BITS)] += 1
+    each = [each[i][seen[each[i] >> np.uint64(64 - BITS)] >= 3] for i in order]  # what fewer texts have cannot be learned
+    f.row = np.repeat(np.arange(f.n, dtype=np.int32), [len(x) for x in each])
+    f.code = np.concatenate(each) if each else np.zeros(0, np.uint64)
+    del each, seen
+    f.slot = (f.code >> np.uint64(64 - BITS)).astype(np.int32)
+    f.patterns = np.array([flags[i] for i in order], bool).reshape(f.n, 3)
+    label = np.array([label[i] for i in order], np.int64)
+    mined = _mine(f, label)
     votes = f.votes(groups, mined)
-    size = (1 << BITS) + votes.shape[1]
     if not f.n:
-        return Model(groups, mined, np.zeros(size), -3.0)
+        return Model(groups, mined, np.zeros(0, np.int32), np.zeros(0, np.float32), np.zeros(votes.shape[1]), -3.0)
     target, *_ = label_model(votes, label)
     # the classifier sees votes and those words and beginnings whose association with the posteriors is no accident
-    _, at, seen = np.unique(f.code, return_inverse=True, return_counts=True)
-    spread = np.sqrt(np.maximum(seen * target.var(), 1e-9))
-    z = (np.bincount(at, weights=target[f.row]) - seen * target.mean()) / spread
-    told = ((np.abs(z) >= MIN_TOLD) & (seen >= MIN_DOCS))[at]
-    f.row, f.slot = f.row[told], f.slot[told]
+    seen = np.bincount(f.slot, minlength=1 << BITS)
+    z = (np.bincount(f.slot, weights=target.astype(np.float32)[f.row], minlength=1 << BITS) - seen * target.mean()) / np.sqrt(np.maximum(seen * target.var(), 1e-9))
+    told = (np.abs(z) >= MIN_TOLD) & (seen >= MIN_DOCS)
+    slots, place = np.flatnonzero(told).astype(np.int32), np.cumsum(told) - 1
+    keep = told[f.slot]
+    row, at = f.row[keep].astype(np.int64), place[f.slot[keep]]
+    del f
     r, c = np.nonzero(votes)
-    weight, bias = _fit(np.concatenate([f.row, r]), np.concatenate([f.slot, (1 << BITS) + c]), f.n, target)
-    weight = np.concatenate([weight, np.zeros(size - len(weight))])
+    weight, bias = _fit(np.concatenate([row, r]), np.concatenate([at, len(slots) + c]), len(label), target)
+    weight = np.concatenate([weight, np.zeros(len(slots) + votes.shape[1] - len(weight))])
     # Platt scaling on the labelled rows of the sample
-    z = np.bincount(f.row, weights=weight[f.slot], minlength=f.n) + bias + votes @ weight[1 << BITS :]
+    z = np.bincount(row, weights=weight[at], minlength=len(label)) + bias + votes @ weight[len(slots) :]
     seen = label >= 0
     a, b = _platt(z[seen], label[seen] == 1)
-    return Model(groups, mined, weight.astype(np.float32), bias, max(a, 1e-3), b)
+    return Model(groups, mined, slots, weight[: len(slots)].astype(np.float32), weight[len(slots) :], bias, max(a, 1e-3), b)
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, model: Model | None = None, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, held_out, score, predicted) for every row of ``docs(doc_id, text)``.
 
-    Null and empty texts are scored like any text without words. Repeated rows are scored each; a null doc_id is not held out. Without
-    labels the lexicon alone trains the model; without documents the result is empty.
+    Null and empty texts are scored like any text without words; texts are read whole. Repeated rows are scored each; a null doc_id is
+    not held out; other columns are ignored. Without labels lexicon and patterns alone train the model, which then knows little beyond
+    the lexicon; without documents the result is empty.
     """
     model = learn(docs, labels) if model is None else model
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # one weight a slot, 1 MB
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # the weights that are not 0
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in T.slices(batches, "text", rows=_ROWS):
