@@ -1,7 +1,8 @@
 """Number words, ordinals, agreement and Roman numerals as Column functions.
 
-A group of three digits costs two element look-ups, in literals of ten and of a hundred words. Larger literals would cost more in
-planning, which handles every literal many times, than they save at run time.
+A group of three digits costs three element look-ups (hundreds, the rest, the counted noun), in literals of ten and of a hundred words
+that end in a blank or are empty, so that they are only put together. Larger literals would cost more in planning, which handles every
+literal many times, than they save at run time.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import tables as t
+from .words import agreed, plural_index
 
 _UNDER_HUNDRED = [t.under_thousand(n) for n in range(100)]
 
@@ -21,9 +23,29 @@ def _look_up(words: list[str], index: Column) -> Column:
     return F.get(F.split(F.lit("|".join(words)), "[|]"), index.cast("int"))
 
 
-def _under_thousand(n: Column) -> Column:
-    """Words of 0..999; 0 is empty."""
-    return F.concat_ws(" ", F.nullif(_look_up(list(t.HUNDREDS), F.floor(n / 100)), F.lit("")), F.nullif(_look_up(_UNDER_HUNDRED, n % 100), F.lit("")))
+def _div(n: Column, by: int) -> Column:
+    """Integral quotient."""
+    return F.call_function("div", n, F.lit(by))
+
+
+def _blank(words: list[str]) -> list[str]:
+    return [w and w + " " for w in words]
+
+
+def _group(n: Column, fem: bool = False) -> Column:
+    """Words of 0..999 with a blank behind; 0 is empty."""
+    rest = [agreed(w) for w in _UNDER_HUNDRED] if fem else _UNDER_HUNDRED
+    return F.concat(_look_up(_blank(list(t.HUNDREDS)), _div(n, 100)), _look_up(_blank(rest), n % 100))
+
+
+def _scale(n: Column, power: int, forms: tuple[str, ...], one: bool) -> Column:
+    """Words of the thousands, millions, ... of n with a blank behind; empty where there are none. ``one``: a single thousand is counted."""
+    count = _div(n, 10**power) % 1000
+    noun = _look_up(_blank([forms[plural_index(i)] for i in range(100)]), count % 100)
+    words = _group(count, power == 3)
+    if power == 3 and not one:
+        words = F.when(count == 1, "").otherwise(words)
+    return F.when(count > 0, F.concat(words, noun)).otherwise("")
 
 
 def let(value: Column, then: Callable[[Column], Column]) -> Column:
@@ -46,15 +68,8 @@ def feminine(words: Column) -> Column:
 def cardinal(n: Column) -> Column:
     """Words of 0 <= n < 10 ** 18; null otherwise."""
     n = n.cast("long")
-    parts = []
-    for power, *forms in t.SCALES:
-        count = F.floor(n / F.lit(10**power).cast("decimal(19,0)")).cast("long") % 1000
-        words = _under_thousand(count)
-        if power == 3:
-            words = F.when(count == 1, F.lit(None)).otherwise(feminine(words))
-        parts.append(F.when(count > 0, F.concat_ws(" ", words, plural(count, tuple(forms)))))
-    parts.append(F.nullif(_under_thousand(n % 1000), F.lit("")))
-    return F.when(n == 0, t.ZERO).when((n > 0) & (n < 10**18), F.concat_ws(" ", *parts))
+    parts = [_scale(n, power, tuple(forms), False) for power, *forms in t.SCALES]
+    return F.when(n == 0, t.ZERO).when((n > 0) & (n < 10**18), F.rtrim(F.concat(*parts, _group(n % 1000))))
 
 
 def cardinal_text(digits: Column) -> Column:
@@ -72,26 +87,23 @@ def _ordinal_tail(n: Column, case: str) -> Column:
     """Ordinal words of 0..999; 0 is the cardinal."""
     hundreds = [t.ordinal_under_thousand(100 * h, case) for h in range(10)]
     rest = [t.ordinal_under_thousand(r, case) for r in range(100)]
-    mixed = F.concat_ws(" ", F.nullif(_look_up(list(t.HUNDREDS), F.floor(n / 100)), F.lit("")), _look_up(rest, n % 100))
-    return F.when((n % 100 == 0), _look_up(hundreds, F.floor(n / 100))).when(n.isNotNull(), mixed)
+    mixed = F.concat(_look_up(_blank(list(t.HUNDREDS)), _div(n, 100)), _look_up(rest, n % 100))
+    return F.when((n % 100 == 0), _look_up(hundreds, _div(n, 100))).when(n.isNotNull(), mixed)
 
 
 def ordinal_where(n: Column, cases: dict[str, Column]) -> Column:
     """Ordinal words of n in the first case whose condition holds. Null where the rules have no word: 10 ** 12 and more, and n that ends
     in 000, but for 1000, a million and a milliard. What does not depend on the case is in the plan once."""
     n = n.cast("long")
-    rest, head = n % 1000, []
-    for power, *forms in t.SCALES[2:]:
-        count = (F.floor(n / F.lit(10**power)) % 1000).cast("long")
-        words = _under_thousand(count)
-        head.append(F.when(count > 0, F.concat_ws(" ", feminine(words) if power == 3 else words, plural(count, tuple(forms)))))
+    rest = n % 1000
+    head = [_scale(n, power, tuple(forms), True) for power, *forms in t.SCALES[2:]]
     tail = whole = F.lit(None).cast("string")
     for case, holds in reversed(cases.items()):
         tail = F.when(holds, _ordinal_tail(rest, case)).otherwise(tail)
         single = F.when(n == 1000, t.ordinal_form(1000, case)).when(n == 10**6, t.ordinal_form(10**6, case)).when(n == 10**9, t.ordinal_form(10**9, case))
         whole = F.when(holds, single).otherwise(whole)
     above = (n >= 1000) & (n < 10**12)
-    said = let(tail, lambda own: F.when(n < 1000, own).when(above & (rest > 0), F.when(own.isNotNull(), F.concat_ws(" ", *head, own))))
+    said = let(tail, lambda own: F.when(n < 1000, own).when(above & (rest > 0), F.concat(*head, own)))
     return F.when(n.isin(1000, 10**6, 10**9), whole).when(n >= 0, said)
 
 
@@ -121,7 +133,7 @@ def to_roman(n: Column) -> Column:
     digits = []
     for power, (one, five, ten) in ((1000, "M__"), (100, "CDM"), (10, "XLC"), (1, "IVX")):
         forms = [one * i for i in range(5)] if power == 1000 else ["", one, one * 2, one * 3, one + five, five, five + one, five + one * 2, five + one * 3, one + ten]
-        digits.append(_look_up(forms, F.floor(n / power) % 10))
+        digits.append(_look_up(forms, _div(n.cast("long"), power) % 10))
     return F.when(n.between(1, 4999), F.concat(*digits))
 
 

@@ -18,7 +18,8 @@ def plural_index(n: int) -> int:
     return 0 if n % 10 == 1 else 1 if 2 <= n % 10 <= 4 else 2
 
 
-def _feminine(words: str) -> str:
+def agreed(words: str) -> str:
+    """Words whose last, if one or two, agrees with a feminine noun."""
     head, _, last = words.rpartition(" ")
     return f"{head} {({'оди́н': 'одна́', 'два́': 'две́'}.get(last, last))}".strip()
 
@@ -31,7 +32,7 @@ def cardinal(n: int) -> str:
     for power, *forms in t.SCALES:
         if count := n // 10**power % 1000:
             said = t.under_thousand(count)
-            parts += [] if power == 3 and count == 1 else [_feminine(said) if power == 3 else said]
+            parts += [] if power == 3 and count == 1 else [agreed(said) if power == 3 else said]
             parts.append(forms[plural_index(count)])
     return " ".join([*parts, *filter(None, [t.under_thousand(n % 1000)])])
 
@@ -49,7 +50,7 @@ def ordinal(n: int, case: str = "nom_m") -> str | None:
     for power, *forms in t.SCALES[2:]:
         if count := n // 10**power % 1000:
             said = t.under_thousand(count)
-            parts += [_feminine(said) if power == 3 else said, forms[plural_index(count)]]
+            parts += [agreed(said) if power == 3 else said, forms[plural_index(count)]]
     return " ".join([*parts, t.ordinal_under_thousand(n % 1000, case)])
 
 
