@@ -303,23 +303,34 @@ def letter_after_dash(line: Line, i: int) -> int:
 
 
 # --- step 25 ----------------------------------------------------------------------------------------------------------------------------
+def _dated_table() -> dict[tuple[str, str], tuple[tuple[str, str, str], tuple[str, str, str]]]:
+    """(year word, case that a preposition asks for) to how a number is read (below 2, from 2 to 4, from 5 on: ordinal, cardinal, or
+    declined in a case; ``one`` is a word of its own) and to the year word (one, few, many)."""
+    by_count = {c: tuple(f.get(c, f["nom_m"]) for f in YEAR_FORMS) for c in ("nom_m", "gen", "dat", "instr", "prep")}
+    same = lambda x: (x, x, x)
+    table = {}
+    for case in by_count:
+        oblique = case in ("gen", "dat", "prep")
+        table["г", case] = same("ordinal"), same(YEAR_FORMS[0][case])
+        table["гг", case] = same("ordinal"), same(YEAR_FORMS[0][case] if oblique else "го́ды")
+        table["годы", case] = same("ordinal"), same("го́ды")
+        table["год", case] = {"gen": (same("one"), same("го́да")), "dat": (same("ordinal"), same("году́")), "prep": (same("ordinal"), same("году́"))}.get(case, (same("ordinal"), by_count[case]))
+        for noun in ("года", "году", "годе", "годом"):
+            table[noun, case] = ("ordinal", "gen", "gen") if oblique else same("ordinal"), by_count[case]
+        for noun, year in (("лет", "ле́т"), ("годов", "ле́т"), ("годам", "года́м"), ("годах", "года́х"), ("годами", "года́ми")):
+            table[noun, case] = ("ordinal", "gen" if case == "gen" else "ordinal", {"nom_m": "cardinal", "dat": "dat"}.get(case, "gen")), same(year)
+    return table
+
+
+DATED = _dated_table()
+
+
 def _dated(n: int, case: str, noun: str) -> tuple[str | None, str]:
     """A number and its year word, both in the case that a preposition asks for."""
-    kind = YEAR_KIND[noun]
-    if noun == "г":
-        return W.ordinal(n, case), year_form(case, 1)
-    if noun == "гг":
-        return W.ordinal(n, case), YEAR_FORMS[0][case] if case in ("prep", "dat", "gen") else "го́ды"
-    if noun == "год" and case in ("gen", "dat", "prep"):
-        return ("одного́", "го́да") if case == "gen" else (W.ordinal(n, case), "году́")
-    if kind == "many":
-        year = {"годам": "года́м", "годах": "года́х", "годами": "года́ми"}.get(noun, "ле́т")
-        if n >= 5:
-            return (W.cardinal(n) if case == "nom_m" else W.declined(n, "dat" if case == "dat" else "gen")), year
-        return (W.declined(n, "gen") if n >= 2 and case == "gen" else W.ordinal(n, case)), year
-    if kind == "few" and n >= 2 and case in ("gen", "dat", "prep"):
-        return W.declined(n, "gen"), year_form(case, n)
-    return W.ordinal(n, case), "го́ды" if kind == "plural" else year_form(case, n)
+    readings, years = DATED[noun, case]
+    reading = readings[0 if n < 2 else 1 if n < 5 else 2]
+    said = {"ordinal": lambda: W.ordinal(n, case), "cardinal": lambda: W.cardinal(n), "one": lambda: "одного́"}.get(reading, lambda: W.declined(n, reading))
+    return said(), years[W.plural_index(n)]
 
 
 def number_in_context(line: Line, i: int) -> int:

@@ -8,8 +8,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Dictionaries become literals of the plan, so their size is checked; the bound is far above a hand-made dictionary.
-MAX_ENTRIES = 20_000
+#: A dictionary becomes a literal of the plan, so its size is checked; the bound is far above a hand-made dictionary.
+MAX_ENTRIES = 200_000
 
 
 @dataclass(frozen=True)
@@ -42,7 +42,7 @@ def load(spark: SparkSession, ru: str | None = None, en: str | None = None, patt
     if ru:
         found["ru"] = {r["key"]: r["ru"] for r in read_acronyms(spark, ru, "ru").limit(MAX_ENTRIES + 1).collect()}
     if en:
-        found["en"] = {r["key"]: f"{r['en']}|{r['ru']}" if r["ru"] else r["en"] for r in read_acronyms(spark, en, "en").limit(MAX_ENTRIES + 1).collect()}
+        found["en"] = {r["key"]: f"{r['en']}|{r['ru']}" if r["ru"] is not None else r["en"] for r in read_acronyms(spark, en, "en").limit(MAX_ENTRIES + 1).collect()}
     if patterns:
         rows = spark.read.text(patterns).filter("trim(value) <> '' and not startswith(trim(value), '#')").limit(MAX_ENTRIES + 1).collect()
         found["patterns"] = {k.strip(): v.strip() for k, _, v in (r["value"].rpartition("=") for r in rows)}
@@ -67,23 +67,40 @@ def java_pattern(pattern: str) -> str | None:
 
 
 def read_acronyms(spark: SparkSession, path: str, lang: str) -> DataFrame:
-    """(lang, key, en, ru) of lines ``KEY = SAY`` or, in an English dictionary, ``KEY = EN = RU``; blank lines and # are skipped."""
-    lines = spark.read.text(path).select(F.trim("value").alias("line")).filter("line <> '' and not startswith(line, '#')")
-    parts = F.transform(F.split("line", "="), F.trim)
-    key, second, third = F.get(parts, 0), F.coalesce(F.get(parts, 1), F.lit("")), F.get(parts, 2)
-    own = [second.alias("en"), third.alias("ru")] if lang == "en" else [F.lit(None).cast("string").alias("en"), second.alias("ru")]
-    return lines.select(F.lit(lang).alias("lang"), key.alias("key"), *own)
+    """(lang, key, en, ru) of lines ``KEY = SAY``, ``KEY=SAY`` or ``KEY``; in an English dictionary also ``KEY = EN = RU``. Blank lines and
+    # are skipped, and so are lines with an empty key or an empty reading after a sign. With blanks around it, the first sign divides
+    key and reading, without, the last; a reading may hold more of them. Files may be compressed."""
+    lines = spark.read.text(path).select(F.trim(F.regexp_replace("value", r"^\s+|\s+$", "")).alias("line")).filter("line <> '' and not startswith(line, '#')")
+    part = lambda pattern, i: F.trim(F.regexp_extract("line", pattern, i))
+    spaced, tight, three = "^(.*?) = (.*)$", "^(.*)=(.*)$", "^([^=]*)=([^=]*)=(.*)$"
+    triple = F.lit(lang == "en") & F.col("line").rlike(three)
+    divided = F.col("line").rlike("=")
+    key = F.when(triple, part(three, 1)).when(F.col("line").rlike(spaced), part(spaced, 1)).when(divided, part(tight, 1)).otherwise(F.col("line"))
+    said = F.when(triple, part(three, 2)).when(F.col("line").rlike(spaced), part(spaced, 2)).when(divided, part(tight, 2)).otherwise("")
+    other = F.when(triple, part(three, 3))
+    rows = lines.select(F.lit(lang).alias("lang"), key.alias("key"), said.alias("said"), other.alias("other"), (divided & ~triple).alias("pair")).filter("key <> '' and not (pair and said = '')")
+    own = [F.col("said").alias("en"), F.col("other").alias("ru")] if lang == "en" else [F.lit(None).cast("string").alias("en"), F.col("said").alias("ru")]
+    return rows.select("lang", "key", *own)
 
 
 def read_rulers(spark: SparkSession, path: str) -> DataFrame:
     """(base, gender, case, form) in long form of lines ``gender base nom gen dat acc ins prep``."""
     parts = F.split(F.trim("value"), r"\s+")
-    rows = spark.read.text(path).filter(F.size(parts) >= 8).select(parts.alias("p"))
+    rows = spark.read.text(path).filter(~F.startswith(F.trim("value"), F.lit("#")) & (F.size(parts) >= 8)).select(parts.alias("p"))
     cases = ("nom", "gen", "dat", "acc", "ins", "prep")
     pairs = F.array(*(F.struct(F.lit(c).alias("case"), F.get("p", F.lit(i + 2)).alias("form")) for i, c in enumerate(cases)))
     return rows.select(F.get("p", F.lit(1)).alias("base"), F.get("p", F.lit(0)).alias("gender"), F.inline(pairs))
 
 
 def write_acronyms(dictionary: DataFrame, path: str) -> None:
-    line = F.when(F.col("lang") == "en", F.concat_ws(" = ", "key", "en", "ru")).otherwise(F.concat_ws(" = ", "key", "ru"))
+    """Writes (lang, key, en, ru) in the form that ``read_acronyms`` reads, sorted, compressed."""
+    parts = F.when(F.col("lang") == "en", F.array("key", "en", "ru")).otherwise(F.array("key", "ru"))
+    line = F.array_join(F.filter(parts, lambda x: x.isNotNull() & (x != "")), " = ")
     dictionary.orderBy("key").select(line.alias("value")).write.mode("overwrite").option("compression", "gzip").text(path)
+
+
+def write_rulers(rulers: DataFrame, path: str) -> None:
+    """Writes (base, gender, case, form) in the form that ``read_rulers`` reads, sorted, compressed."""
+    cases = ["nom", "gen", "dat", "acc", "ins", "prep"]
+    wide = rulers.groupBy("base", "gender").pivot("case", cases).agg(F.first("form"))
+    wide.orderBy("base").select(F.concat_ws(" ", "gender", "base", *cases).alias("value")).write.mode("overwrite").option("compression", "gzip").text(path)

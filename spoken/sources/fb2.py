@@ -9,30 +9,41 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
 
-def nodes_of(content: bytes) -> list[tuple[str, str, str]]:
-    """(kind, path, text) in document order: descriptions first, then bodies; text before children, tail after; blank ones dropped."""
-    root = ET.fromstring(content)
-    local = lambda e: e.tag.rpartition("}")[2]
-    out: list[tuple[str, str, str]] = []
+def _local(e: ET.Element) -> str:
+    return e.tag.rpartition("}")[2]
+
 
-    def walk(top, base):
-        todo = [(top, f"{base}/{local(top)}", False)]
+def _places(root: ET.Element) -> Iterator[tuple[ET.Element, str, str]]:
+    """(element, text or tail, path) of every text that is not blank, in document order: descriptions first, then bodies; text before
+    children, tail after."""
+
+    def walk(top: ET.Element, base: str) -> Iterator[tuple[ET.Element, str, str]]:
+        todo = [(top, f"{base}/{_local(top)}", False)]
         while todo:
             e, path, leave = todo.pop()
-            text, kind = (e.tail, "tail") if leave else (e.text, "text")
-            if text and text.strip() and not (leave and e is top):
-                out.append((kind, path, text))
+            kind = "tail" if leave else "text"
+            if (getattr(e, kind) or "").strip() and not (leave and e is top):
+                yield e, kind, path
             if not leave:
                 todo.append((e, path, True))
-                todo.extend((c, f"{path}/{local(c)}", False) for c in reversed(e))
+                todo.extend((c, f"{path}/{_local(c)}", False) for c in reversed(e))
 
     for e in root.iter():
-        if local(e) == "description":
-            walk(e, "/FictionBook")
+        if _local(e) == "description":
+            yield from walk(e, "/FictionBook")
     for e in root.iter():
-        if local(e) == "body":
-            walk(e, "/FictionBook/body[notes]" if e.get("name") == "notes" else "/FictionBook/body")
-    return out
+        if _local(e) == "body":
+            yield from walk(e, "/FictionBook/body[notes]" if e.get("name") == "notes" else "/FictionBook/body")
+
+
+def places_of(root: ET.Element) -> list[tuple[ET.Element, str]]:
+    """Where the texts of ``nodes_of`` stand, in the same order."""
+    return [(e, kind) for e, kind, _ in _places(root)]
+
+
+def nodes_of(content: bytes) -> list[tuple[str, str, str]]:
+    """(kind, path, text) in document order."""
+    return [(kind, path, getattr(e, kind)) for e, kind, path in _places(ET.fromstring(content))]
 
 
 def text_nodes(files: DataFrame) -> DataFrame:
