@@ -1,13 +1,8 @@
-"""The registered queries of the normalization engine, each with its DuckDB counterpart.
-
-The SQL side builds its words from the stems anew (by place, not from tables of whole numbers), so that it checks the Spark side.
-"""
+"""The registered queries of the normalization engine, each with its DuckDB counterpart: numerals, text steps, tokens, speech. Rules that
+look at context are in ``catalog_rules``, reports in ``catalog_reports``, books in ``catalog_books``."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import letters as L
@@ -15,129 +10,65 @@ from ..functions import numerals as N
 from ..functions import tables as t
 from ..operators import speech, tokens
 from ..operators.steps import STEPS
-from ..sources.fb2 import text_nodes
 from . import pipeline
-
-Query = Callable[[SparkSession, str], DataFrame]
-_QUERIES: dict[str, Query] = {}
-_SQL: dict[str, str] = {}
-SAMPLE_FB2 = """<?xml version="1.0" encoding="utf-8"?><FictionBook xmlns="http://www.gribuser.ru/xml/fictionbook/2.0" xmlns:l="http://www.w3.org/1999/xlink"><description><title-info><author><first-name>Анна</first-name><last-name>Рощина</last-name></author><book-title>Дом у реки</book-title></title-info></description><body><section><title><p>Глава 1</p></title><p>В 12:05 пришёл поезд<a type="note" l:href="#n1">[1]</a> из <emphasis>Твери</emphasis>, №7.</p><p>Осталось 5%.</p></section></body><body name="notes"><section id="n1"><title><p>1</p></title><p>Старый поезд.</p></section></body></FictionBook>"""
-
-
-def query(sql: str | None = None) -> Callable[[Query], Query]:
-    def add(f: Query) -> Query:
-        _QUERIES[f.__name__] = f
-        if sql:
-            _SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
-def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-# --- SQL builders -------------------------------------------------------------------------------------------------------------------
-def _q(s: str) -> str:
-    return "'" + s.replace("'", "''") + "'"
-
-
-def _list(words) -> str:
-    return "[" + ", ".join(_q(w) for w in words) + "]"
-
-
-def _under(n: str) -> str:
-    units = f"CASE WHEN {n} % 100 BETWEEN 10 AND 19 THEN {_list(t.TEENS)}[{n} % 10 + 1] ELSE concat_ws(' ', nullif({_list(t.TENS)}[{n} // 10 % 10 + 1], ''), nullif({_list(t.UNITS)}[{n} % 10 + 1], '')) END"
-    return f"concat_ws(' ', nullif({_list(t.HUNDREDS)}[{n} // 100 % 10 + 1], ''), nullif({units}, ''))"
-
-
-def _plural(n: str, forms) -> str:
-    return f"CASE WHEN {n} % 10 = 1 AND {n} % 100 <> 11 THEN {_q(forms[0])} WHEN {n} % 10 BETWEEN 2 AND 4 AND {n} % 100 NOT BETWEEN 12 AND 14 THEN {_q(forms[1])} ELSE {_q(forms[2])} END"
-
-
-def _fem(words: str) -> str:
-    return f"regexp_replace(regexp_replace({words}, '(^| )оди́н$', '\\1одна́'), '(^| )два́$', '\\1две́')"
-
-
-def _cardinal(n: str) -> str:
-    parts = []
-    for power, *forms in t.SCALES[2:]:
-        c = f"({n} // {10**power} % 1000)"
-        words = f"CASE WHEN {c} = 1 THEN NULL ELSE {_fem(_under(c))} END" if power == 3 else _under(c)
-        parts.append(f"CASE WHEN {c} > 0 THEN concat_ws(' ', {words}, {_plural(c, forms)}) END")
-    return f"CASE WHEN {n} = 0 THEN {_q(t.ZERO)} ELSE concat_ws(' ', {', '.join(parts)}, nullif({_under(f'({n} % 1000)')}, '')) END"
-
-
-def _ordinal99(n: str, case: str) -> str:
-    """1..99."""
-    one = _list([t.ordinal_form(i, case) for i in range(1, 21)])
-    tens = _list([t.ordinal_form(10 * i, case) for i in range(1, 10)])
-    return f"CASE WHEN {n} <= 20 THEN {one}[{n}] WHEN {n} % 10 = 0 THEN {tens}[{n} // 10] ELSE {_list(t.TENS)}[{n} // 10 + 1] || ' ' || {one}[{n} % 10] END"
-
-
-def _replace_all(text: str, pairs: dict[str, str]) -> str:
-    for k, v in pairs.items():
-        text = f"replace({text}, {_q(k)}, {_q(v)})"
-    return text
-
+from .sql import QUERIES, SQL, Query, cardinal, feminine, ordinal99, plural, query, quote, read, replace_all, under_thousand, words_list
 
 # --- numerals -------------------------------------------------------------------------------------------------------------------------
-@query(f"SELECT p_partkey, {_cardinal('p_partkey')} AS words FROM part")
+@query(f"SELECT p_partkey, {cardinal('p_partkey')} AS words FROM part")
 def cardinal_words(spark, sf_dir):
-    return _read(spark, sf_dir, "part").select("p_partkey", N.cardinal(F.col("p_partkey")).alias("words"))
+    return read(spark, sf_dir, "part").select("p_partkey", N.cardinal(F.col("p_partkey")).alias("words"))
 
 
-@query(f"SELECT l_orderkey * 7919 + 1000000 AS n, {_cardinal('(l_orderkey * 7919 + 1000000)')} AS words FROM lineitem")
+@query(f"SELECT l_orderkey * 7919 + 1000000 AS n, {cardinal('(l_orderkey * 7919 + 1000000)')} AS words FROM lineitem")
 def cardinal_large(spark, sf_dir):
     n = F.col("l_orderkey") * 7919 + 1000000
-    return _read(spark, sf_dir, "lineitem").select(n.alias("n"), N.cardinal(n).alias("words"))
+    return read(spark, sf_dir, "lineitem").select(n.alias("n"), N.cardinal(n).alias("words"))
 
 
-@query("WITH n AS (SELECT DISTINCT p_size::BIGINT AS n FROM part) " + " UNION ALL ".join(f"SELECT n, '{c}' AS kase, {_ordinal99('n', c)} AS words FROM n" for c in t.CASES))
+@query("WITH n AS (SELECT DISTINCT p_size::BIGINT AS n FROM part) " + " UNION ALL ".join(f"SELECT n, '{c}' AS kase, {ordinal99('n', c)} AS words FROM n" for c in t.CASES))
 def ordinal_words_12_cases(spark, sf_dir):
-    n = _read(spark, sf_dir, "part").select(F.col("p_size").cast("long").alias("n")).distinct()
+    n = read(spark, sf_dir, "part").select(F.col("p_size").cast("long").alias("n")).distinct()
     return n.select("n", F.inline(F.array(*(F.struct(F.lit(c).alias("kase"), N.ordinal(F.col("n"), c).alias("words")) for c in t.CASES))))
 
 
-@query(f"SELECT {_plural('l_quantity::BIGINT', t.MINUTE)} AS noun, {_fem(_under('(l_quantity::BIGINT)'))} AS count_words, count(*) AS n FROM lineitem GROUP BY 1, 2")
+@query(f"SELECT {plural('l_quantity::BIGINT', t.MINUTE)} AS noun, {feminine(under_thousand('(l_quantity::BIGINT)'))} AS count_words, count(*) AS n FROM lineitem GROUP BY 1, 2")
 def plural_agreement(spark, sf_dir):
     n = F.col("l_quantity").cast("long")
-    return _read(spark, sf_dir, "lineitem").groupBy(N.plural(n, t.MINUTE).alias("noun"), N.feminine(N.cardinal(n)).alias("count_words")).agg(F.count("*").alias("n"))
+    return read(spark, sf_dir, "lineitem").groupBy(N.plural(n, t.MINUTE).alias("noun"), N.feminine(N.cardinal(n)).alias("count_words")).agg(F.count("*").alias("n"))
 
 
 _ROMANS = [a + b for a in ("", "X", "XX", "XXX", "XL", "L") for b in ("", "I", "II", "III", "IV", "V", "VI", "VII", "VIII", "IX")]
 
 
-@query(f"SELECT p_partkey, {_list(_ROMANS)}[p_size + 1] AS roman, p_size AS back, true AS valid FROM part")
+@query(f"SELECT p_partkey, {words_list(_ROMANS)}[p_size + 1] AS roman, p_size AS back, true AS valid FROM part")
 def roman_roundtrip(spark, sf_dir):
-    part = _read(spark, sf_dir, "part").withColumn("roman", N.to_roman(F.col("p_size")))
+    part = read(spark, sf_dir, "part").withColumn("roman", N.to_roman(F.col("p_size")))
     return part.select("p_partkey", "roman", N.roman_to_int(F.col("roman")).alias("back"), N.is_valid_roman(F.col("roman")).alias("valid"))
 
 
-@query(f"SELECT n_nationkey, array_to_string(list_transform(string_split(lower(n_name), ''), lambda c: coalesce(MAP {{{', '.join(f'{_q(k)}: {_q(v)}' for k, v in t.LETTERS.items())}}}[c], c)), '-') AS spelled FROM nation")
+@query(f"SELECT n_nationkey, array_to_string(list_transform(string_split(lower(n_name), ''), lambda c: coalesce(MAP {{{', '.join(f'{quote(k)}: {quote(v)}' for k, v in t.LETTERS.items())}}}[c], c)), '-') AS spelled FROM nation")
 def spell_letters(spark, sf_dir):
-    return _read(spark, sf_dir, "nation").select("n_nationkey", N.spell(F.col("n_name")).alias("spelled"))
+    return read(spark, sf_dir, "nation").select("n_nationkey", N.spell(F.col("n_name")).alias("spelled"))
 
 
 def _money_sql(amount: str, code: str) -> str:
     (main, fem), (sub, sub_fem), *_ = t.CURRENCIES[code]
     whole, cents = f"({amount} // 100)", f"({amount} % 100)"
-    agree = lambda w, f: _fem(w) if f else w
-    return f"concat_ws(' ', {agree(_cardinal(whole), fem)}, {_plural(whole, main)}, CASE WHEN {cents} > 0 THEN {agree(_cardinal(cents), sub_fem)} || ' ' || {_plural(cents, sub)} END)"
+    agree = lambda w, f: feminine(w) if f else w
+    return f"concat_ws(' ', {agree(cardinal(whole), fem)}, {plural(whole, main)}, CASE WHEN {cents} > 0 THEN {agree(cardinal(cents), sub_fem)} || ' ' || {plural(cents, sub)} END)"
 
 
-@query(f"WITH o AS (SELECT o_orderpriority, (sum((o_totalprice * 100)::DECIMAL(20, 0)))::BIGINT % 100000000000 AS c FROM orders GROUP BY 1) SELECT o_orderpriority, {_money_sql('c', 'rub')} AS spoken FROM o")
+@query(f"WITH o AS (SELECT o_orderpriority, (sum((o_totalprice * 100)::DECIMAL(20, 0)))::BIGINT AS c FROM orders GROUP BY 1) SELECT o_orderpriority, {_money_sql('c', 'rub')} AS spoken FROM o")
 def spoken_totals(spark, sf_dir):
     cents = F.sum((F.col("o_totalprice") * 100).cast("decimal(20,0)")).cast("long")
-    sums = _read(spark, sf_dir, "orders").groupBy("o_orderpriority").agg(cents.alias("c"))
+    sums = read(spark, sf_dir, "orders").groupBy("o_orderpriority").agg(cents.alias("c"))
     return sums.select("o_orderpriority", N.money((F.col("c").cast("decimal(20,0)") / 100).cast("decimal(20,2)"), "rub").alias("spoken"))
 
 
 @query(f"WITH c AS (SELECT c_custkey, (abs(c_acctbal) * 100)::DECIMAL(18, 0)::BIGINT AS c FROM customer) SELECT c_custkey, {_money_sql('c', 'uah')} AS spoken FROM c")
 def spoken_money(spark, sf_dir):
     amount = ((F.abs("c_acctbal") * 100).cast("decimal(18,0)") / 100).cast("decimal(20,2)")
-    return _read(spark, sf_dir, "customer").select("c_custkey", N.money(amount, "uah").alias("spoken"))
+    return read(spark, sf_dir, "customer").select("c_custkey", N.money(amount, "uah").alias("spoken"))
 
 
 # --- text steps -----------------------------------------------------------------------------------------------------------------------
@@ -145,286 +76,223 @@ def _step(name: str, text) -> object:
     return STEPS[name](text)
 
 
-@query(f"WITH d AS (SELECT DISTINCT o_orderdate::DATE AS d FROM orders) SELECT d::VARCHAR AS day, {_ordinal99('day(d)', 'gen')} || ' ' || {_list(t.MONTHS)}[month(d)] || ' ' || {_cardinal('year(d)')} || ' го́да' AS spoken FROM d")
+@query(f"WITH d AS (SELECT DISTINCT o_orderdate::DATE AS d FROM orders) SELECT d::VARCHAR AS day, {ordinal99('day(d)', 'gen')} || ' ' || {words_list(t.MONTHS)}[month(d)] || ' ' || {cardinal('year(d)')} || ' го́да' AS spoken FROM d")
 def spoken_dates(spark, sf_dir):
-    days = _read(spark, sf_dir, "orders").select(F.to_date("o_orderdate").alias("d")).distinct().withColumn("text", F.date_format("d", "dd.MM.yyyy"))
+    days = read(spark, sf_dir, "orders").select(F.to_date("o_orderdate").alias("d")).distinct().withColumn("text", F.date_format("d", "dd.MM.yyyy"))
     return days.select(F.col("d").cast("string").alias("day"), _step("8", F.col("text")).alias("spoken"))
 
 
-@query(f"WITH e AS (SELECT DISTINCT hour(ts) AS h, minute(ts) AS m FROM events) SELECT h || ':' || lpad(m::VARCHAR, 2, '0') AS at, concat_ws(' ', CASE WHEN h = 1 THEN 'ча́с' ELSE {_cardinal('h')} || ' ' || {_plural('h', t.HOUR)} END, CASE WHEN m > 0 THEN {_fem(_cardinal('m'))} || ' ' || {_plural('m', t.MINUTE)} END) AS spoken FROM e")
+@query(f"WITH e AS (SELECT DISTINCT hour(ts) AS h, minute(ts) AS m FROM events) SELECT h || ':' || lpad(m::VARCHAR, 2, '0') AS at, concat_ws(' ', CASE WHEN h = 1 THEN 'ча́с' ELSE {cardinal('h')} || ' ' || {plural('h', t.HOUR)} END, CASE WHEN m > 0 THEN {feminine(cardinal('m'))} || ' ' || {plural('m', t.MINUTE)} END) AS spoken FROM e")
 def spoken_times(spark, sf_dir):
-    at = _read(spark, sf_dir, "events").select(F.concat(F.hour("ts").cast("string"), F.lit(":"), F.lpad(F.minute("ts").cast("string"), 2, "0")).alias("at")).distinct()
+    at = read(spark, sf_dir, "events").select(F.concat(F.hour("ts").cast("string"), F.lit(":"), F.lpad(F.minute("ts").cast("string"), 2, "0")).alias("at")).distinct()
     return at.select("at", _step("10", F.col("at")).alias("spoken"))
 
 
-@query(f"WITH l AS (SELECT round(l_discount * 100)::BIGINT AS n, count(*) AS c FROM lineitem GROUP BY 1) SELECT {_cardinal('n')} || ' ' || {_plural('n', t.PERCENT)} AS spoken, c FROM l")
+@query(f"WITH l AS (SELECT round(l_discount * 100)::BIGINT AS n, count(*) AS c FROM lineitem GROUP BY 1) SELECT {cardinal('n')} || ' ' || {plural('n', t.PERCENT)} AS spoken, c FROM l")
 def spoken_percent(spark, sf_dir):
-    n = _read(spark, sf_dir, "lineitem").groupBy(F.concat(F.round(F.col("l_discount") * 100).cast("long").cast("string"), F.lit("%")).alias("text")).agg(F.count("*").alias("c"))
+    n = read(spark, sf_dir, "lineitem").groupBy(F.concat(F.round(F.col("l_discount") * 100).cast("long").cast("string"), F.lit("%")).alias("text")).agg(F.count("*").alias("c"))
     return n.select(_step("12", F.col("text")).alias("spoken"), "c")
 
 
-@query(f"WITH e AS (SELECT event_id, floor(abs(value) * 100)::BIGINT AS v FROM events), f AS (SELECT event_id, v // 100 AS w, v % 100 AS p FROM e) SELECT event_id, CASE WHEN p = 0 THEN {_cardinal('w')} ELSE {_fem(_cardinal('w'))} || CASE WHEN w % 10 = 1 AND w % 100 <> 11 THEN ' це́лая' ELSE ' це́лых' END || ' и́ ' || {_fem(_cardinal('p'))} || ' со́тых' END AS spoken FROM f")
+@query(f"WITH e AS (SELECT event_id, floor(abs(value) * 100)::BIGINT AS v FROM events), f AS (SELECT event_id, v // 100 AS w, v % 100 AS p FROM e) SELECT event_id, CASE WHEN p = 0 THEN {cardinal('w')} ELSE {feminine(cardinal('w'))} || CASE WHEN w % 10 = 1 AND w % 100 <> 11 THEN ' це́лая' ELSE ' це́лых' END || ' и́ ' || {feminine(cardinal('p'))} || ' со́тых' END AS spoken FROM f")
 def spoken_decimals(spark, sf_dir):
     v = F.floor(F.abs("value") * 100).cast("long")
     text = F.concat(F.floor(v / 100).cast("string"), F.lit(","), F.lpad((v % 100).cast("string"), 2, "0"))
-    return _read(spark, sf_dir, "events").select("event_id", text.alias("text")).select("event_id", _step("22", F.col("text")).alias("spoken"))
+    return read(spark, sf_dir, "events").select("event_id", text.alias("text")).select("event_id", _step("22", F.col("text")).alias("spoken"))
 
 
 def _sizes(spark, sf_dir, text):
-    return _read(spark, sf_dir, "part").select(F.col("p_size").cast("long").alias("n")).distinct().withColumn("text", text)
+    return read(spark, sf_dir, "part").select(F.col("p_size").cast("long").alias("n")).distinct().withColumn("text", text)
 
 
 _N = "WITH n AS (SELECT DISTINCT p_size::BIGINT AS n FROM part) SELECT n, "
 
 
-@query(_N + _ordinal99("n", "gen") + " AS spoken FROM n")
+def _variants(spark, sf_dir, pairs: list[tuple[str, str]]):
+    """(n, kind, text): every size in every frame, whose braces stand for the number."""
+    sizes = read(spark, sf_dir, "part").select(F.col("p_size").cast("long").alias("n")).distinct()
+    frames = F.array(*(F.struct(F.lit(kind).alias("kind"), F.replace(F.lit(frame), F.lit("{}"), F.col("n").cast("string")).alias("text")) for kind, frame in pairs))
+    return sizes.select("n", F.inline(frames))
+
+
+def _each(expected: dict[str, str]) -> str:
+    """SQL for (n, kind, spoken) from the expected words of each kind."""
+    return "WITH n AS (SELECT DISTINCT p_size::BIGINT AS n FROM part) " + " UNION ALL ".join(f"SELECT n, {quote(kind)} AS kind, {words} AS spoken FROM n" for kind, words in expected.items())
+
+
+@query(_each({s: ordinal99("n", c) for s, c in t.SUFFIXES.items()}))
 def ordinal_suffixes(spark, sf_dir):
-    return _sizes(spark, sf_dir, F.concat("n", F.lit("-го"))).select("n", _step("15", F.col("text")).alias("spoken"))
+    return _variants(spark, sf_dir, [(s, "{}-" + s) for s in t.SUFFIXES]).select("n", "kind", _step("15", F.col("text")).alias("spoken"))
+
 
+def _counted_words(forms, fem: bool) -> str:
+    return f"{feminine(cardinal('n')) if fem else cardinal('n')} || ' ' || {plural('n', forms)}"
 
-@query(_N + f"{_fem(_cardinal('n'))} || ' ' || {_plural('n', t.MULTIPLIERS['тыс'][0])} || '.' AS spoken FROM n")
+
+@query(_each({k: f"{_counted_words(*v)} || '.'" for k, v in t.MULTIPLIERS.items()}))
 def multipliers(spark, sf_dir):
-    return _sizes(spark, sf_dir, F.concat("n", F.lit(" тыс."))).select("n", _step("13", F.col("text")).alias("spoken"))
+    return _variants(spark, sf_dir, [(k, "{} " + k + ".") for k in t.MULTIPLIERS]).select("n", "kind", _step("13", F.col("text")).alias("spoken"))
 
 
-@query(_N + f"{_cardinal('n')} || ' ' || {_plural('n', t.MEASURES['км'][0])} AS spoken FROM n")
+@query(_each({k: f"'около ' || {_counted_words(*v)} || ', да'" for k, v in t.MEASURES.items()}))
 def measurements(spark, sf_dir):
-    return _sizes(spark, sf_dir, F.concat("n", F.lit(" км"))).select("n", _step("14a", F.col("text")).alias("spoken"))
+    return _variants(spark, sf_dir, [(k, "около {} " + k + ", да") for k in t.MEASURES]).select("n", "kind", _step("14a", F.col("text")).alias("spoken"))
+
 
+@query(_each({k: _counted_words(*v) for k, v in t.AMBIGUOUS.items()}))
+def ambiguous_measurements(spark, sf_dir):
+    return _variants(spark, sf_dir, [(k, "{} " + k) for k in t.AMBIGUOUS]).select("n", "kind", _step("14b", F.col("text")).alias("spoken"))
 
-@query(_N + f"{_cardinal('n')} || ' ' || {_plural('n', t.CURRENCIES['usd'][0][0])} AS spoken FROM n")
+
+_CENTS = {code: f"{_counted_words(*x[0])} || ' ' || {feminine(under_thousand('25')) if x[1][1] else under_thousand('25')} || ' ' || {plural('25', x[1][0])}" for code, x in t.CURRENCIES.items()}
+
+
+@query(_each({f"{code} after": _counted_words(*x[0]) for code, x in t.CURRENCIES.items()} | {f"{code} before": _counted_words(*x[0]) for code, x in t.CURRENCIES.items() if x[4]} | {f"{code} cents": _CENTS[code] for code in t.CURRENCIES}))
 def currency_signs(spark, sf_dir):
-    return _sizes(spark, sf_dir, F.concat(F.lit("$"), "n")).select("n", _step("23", F.col("text")).alias("spoken"))
+    frames = [(f"{code} after", "{} " + x[3]) for code, x in t.CURRENCIES.items()] + [(f"{code} before", x[4] + "{}") for code, x in t.CURRENCIES.items() if x[4]] + [(f"{code} cents", "{}.25" + x[3]) for code, x in t.CURRENCIES.items()]
+    return _variants(spark, sf_dir, frames).select("n", "kind", _step("23", F.col("text")).alias("spoken"))
 
 
-@query(_N + f"CASE n WHEN 1 THEN 'одно́' WHEN 2 THEN 'дву́х' WHEN 3 THEN 'трё́х' WHEN 4 THEN 'четырё́х' ELSE regexp_replace(list_extract(string_split({_cardinal('n')}, ' '), -1), 'ть$', 'ти') END || 'летний' AS spoken FROM n")
+@query(_N + f"CASE n WHEN 1 THEN 'одно́' WHEN 2 THEN 'дву́х' WHEN 3 THEN 'трё́х' WHEN 4 THEN 'четырё́х' ELSE regexp_replace(list_extract(string_split({cardinal('n')}, ' '), -1), 'ть$', 'ти') END || 'летний' AS spoken FROM n")
 def compound_adjectives(spark, sf_dir):
     return _sizes(spark, sf_dir, F.concat("n", F.lit("-летний"))).select("n", _step("9", F.col("text")).alias("spoken"))
 
 
-@query(_N + f"{_cardinal('n')} || ' и пя́ть деся́тых летний' AS spoken FROM n")
+@query(_each({p: f"{cardinal('n')} || ' и {said} летний'" for p, said in (("5", "пя́ть деся́тых"), ("25", "два́дцать пя́ть со́тых"), ("125", "сто́ два́дцать пя́ть ты́сячных"))}))
 def decimal_hyphens(spark, sf_dir):
-    return _sizes(spark, sf_dir, F.concat("n", F.lit(",5-летний"))).select("n", _step("8.5", F.col("text")).alias("spoken"))
+    return _variants(spark, sf_dir, [(p, "{}," + p + "-летний") for p in ("5", "25", "125")]).select("n", "kind", _step("8.5", F.col("text")).alias("spoken"))
 
 
-@query(_N + "'пу́нкт ' || n || ', рису́нок ' || n AS spoken FROM n")
+@query(_each({k: f"'см. {v} ' || n || ', ' || n" for k, v in t.SECTIONS.items()}))
 def section_names(spark, sf_dir):
-    return _sizes(spark, sf_dir, F.concat(F.lit("п. "), "n", F.lit(", Рис."), "n")).select("n", _step("5", F.col("text")).alias("spoken"))
-
-
-def _fraction_sql() -> str:
-    from ..operators.steps import _fraction_words
+    return _variants(spark, sf_dir, [(k, "см. " + (k if i % 2 else k.capitalize()) + ("." if i % 3 else ". ") + "{}, {}") for i, k in enumerate(t.SECTIONS)]).select("n", "kind", _step("5", F.col("text")).alias("spoken"))
 
-    return _N + f"{_list([_fraction_words(*x) for x in t.FRACTIONS.values()])}[n % 19 + 1] AS spoken FROM n"
 
-
-@query(_fraction_sql())
+@query(f"WITH f AS (SELECT * FROM (VALUES {', '.join(f'({quote(k)}, {a}, {b})' for k, (a, b) in t.FRACTIONS.items())}) AS v(glyph, num, den)) SELECT glyph, count(*) AS n, 'там ' || any_value(CASE num WHEN 0 THEN {quote(t.ZERO)} ELSE {feminine(under_thousand('num'))} END || ' ' || CASE WHEN num = 1 THEN {ordinal99('den', 'nom_f')} ELSE {ordinal99('den', 'pl')} END) || '.' AS spoken FROM part, f WHERE glyph = {words_list(t.FRACTIONS)}[p_size % 19 + 1] GROUP BY 1")
 def vulgar_fractions(spark, sf_dir):
-    glyph = F.get(F.array(*map(F.lit, t.FRACTIONS)), (F.col("n") % 19).cast("int"))
-    return _sizes(spark, sf_dir, glyph).select("n", _step("11", F.col("text")).alias("spoken"))
+    glyph = F.get(F.array(*map(F.lit, t.FRACTIONS)), F.col("p_size") % 19)
+    rows = read(spark, sf_dir, "part").groupBy(glyph.alias("glyph")).agg(F.count("*").alias("n"))
+    return rows.withColumn("spoken", F.concat(F.lit("там "), "glyph", F.lit("."))).select("glyph", "n", _step("11", F.col("spoken")).alias("spoken"))
 
 
 @query("SELECT o_orderkey, (o_orderkey + 1000000)::VARCHAR AS spoken FROM orders")
 def digit_groups(spark, sf_dir):
     n = (F.col("o_orderkey") + 1000000).cast("string")
     text = F.regexp_replace(n, r"(?<=[0-9])(?=(?:[0-9]{3})+$)", " ")
-    return _read(spark, sf_dir, "orders").select("o_orderkey", text.alias("text")).select("o_orderkey", _step("6", F.col("text")).alias("spoken"))
+    return read(spark, sf_dir, "orders").select("o_orderkey", text.alias("text")).select("o_orderkey", _step("6", F.col("text")).alias("spoken"))
 
 
 @query("SELECT s_suppkey, regexp_replace('(' || floor(s_acctbal)::INT || ') ' || floor(s_acctbal)::INT, '(^|[\\s(\\[])[-−](\\d)', '\\1ми́нус \\2', 'g') AS spoken FROM supplier")
 def negative_numbers(spark, sf_dir):
     n = F.floor("s_acctbal").cast("int").cast("string")
-    return _read(spark, sf_dir, "supplier").select("s_suppkey", F.concat(F.lit("("), n, F.lit(") "), n).alias("text")).select("s_suppkey", _step("24", F.col("text")).alias("spoken"))
+    return read(spark, sf_dir, "supplier").select("s_suppkey", F.concat(F.lit("("), n, F.lit(") "), n).alias("text")).select("s_suppkey", _step("24", F.col("text")).alias("spoken"))
 
 
-@query("SELECT doc_id, regexp_replace(" + _replace_all("text", {k: f" {t.SYMBOLS[k]} " for k in sorted(t.SYMBOLS, key=lambda s: -len(s))}) + ", ' {2,}', ' ', 'g') AS spoken FROM documents")
+@query("SELECT doc_id, regexp_replace(" + replace_all("text", {k: f" {t.SYMBOLS[k]} " for k in sorted(t.SYMBOLS, key=lambda s: -len(s))}) + ", ' {2,}', ' ', 'g') AS spoken FROM documents")
 def symbol_words(spark, sf_dir):
-    return _read(spark, sf_dir, "documents").select("doc_id", _step("21", F.col("text")).alias("spoken"))
+    return read(spark, sf_dir, "documents").select("doc_id", _step("21", F.col("text")).alias("spoken"))
 
 
-@query("SELECT doc_id, regexp_replace(" + _replace_all("regexp_replace(text, '\\*\\*|__|`', '', 'g')", t.TYPOGRAPHY) + ", '([аеёиоуыэюяАЕЁИОУЫЭЮЯ])\\+', '\\1\u0301', 'g') AS plain FROM documents")
+@query("SELECT doc_id, regexp_replace(" + replace_all("regexp_replace(text, '\\*\\*|__|`', '', 'g')", t.TYPOGRAPHY) + ", '([аеёиоуыэюяАЕЁИОУЫЭЮЯ])\\+', '\\1\u0301', 'g') AS plain FROM documents")
 def typography(spark, sf_dir):
-    return _read(spark, sf_dir, "documents").select("doc_id", _step("1", F.col("text")).alias("plain"))
+    return read(spark, sf_dir, "documents").select("doc_id", _step("1", F.col("text")).alias("plain"))
 
 
-@query("SELECT page_id, regexp_replace(trim(regexp_replace(" + _replace_all("regexp_replace(url, '[.,!?]+$', '')", t.WEB) + ", ' {2,}', ' ', 'g')), '#([A-Za-zА-Яа-яёЁ0-9_]+)', 'хештег \\1', 'g') AS spoken FROM pages")
+@query("SELECT page_id, regexp_replace(trim(regexp_replace(" + replace_all("regexp_replace(url, '[.,!?]+$', '')", t.WEB) + ", ' {2,}', ' ', 'g')), '#([A-Za-zА-Яа-яёЁ0-9_]+)', 'хештег \\1', 'g') AS spoken FROM pages")
 def web_addresses(spark, sf_dir):
-    return _read(spark, sf_dir, "pages").select("page_id", _step("2", F.col("url")).alias("spoken"))
-
-
-# --- steps that look at context and dictionaries ---------------------------------------------------------------------------------------
-_R = f"{_list(_ROMANS)}[n + 1]"
-
-
-def _roman_text(spark, sf_dir, before: str, after: str):
-    return _sizes(spark, sf_dir, F.concat(F.lit(before), N.to_roman(F.col("n")), F.lit(after)))
+    return read(spark, sf_dir, "pages").select("page_id", _step("2", F.col("url")).alias("spoken"))
 
 
-@query(_N + f"'в ' || {_ordinal99('n', 'prep')} || ' домах' AS spoken FROM n")
-def numbers_context(spark, sf_dir):
-    return _sizes(spark, sf_dir, F.concat(F.lit("в "), "n", F.lit(" домах"))).select("n", _step("25", F.col("text")).alias("spoken"))
-
-
-@query(_N + f"{_ordinal99('n', 'nom_m')} || ' - ' || {_ordinal99('(n + 1)', 'nom_m')} || ' го́ды' AS spoken FROM n")
-def number_ranges(spark, sf_dir):
-    return _sizes(spark, sf_dir, F.concat("n", F.lit("-"), F.col("n") + 1, F.lit(" гг."))).select("n", _step("7", F.col("text")).alias("spoken"))
-
-
-@query(_N + f"{_ordinal99('n', 'nom_m')} || ' ве́к' AS spoken FROM n")
-def roman_generic(spark, sf_dir):
-    return _roman_text(spark, sf_dir, "", " век").select("n", _step("17b", F.col("text")).alias("spoken"))
-
-
-@query(_N + f"'Петра ' || {_ordinal99('n', 'gen')} AS spoken FROM n")
-def ruler_names(spark, sf_dir):
-    return _roman_text(spark, sf_dir, "Петра ", "").select("n", _step("17", F.col("text")).alias("spoken"))
-
-
-@query(_N + f"'а́ ' || {_cardinal('n')} AS spoken FROM n")
-def alphanumeric_codes(spark, sf_dir):
-    return _sizes(spark, sf_dir, F.concat(F.lit("А"), "n")).select("n", _step("18", F.col("text")).alias("spoken"))
-
-
-@query(_N + f"{_list(L.GREEK.values())}[n % 25 + 1] AS spoken FROM n")
-def greek_letters(spark, sf_dir):
-    return _sizes(spark, sf_dir, F.get(F.array(*map(F.lit, L.GREEK)), (F.col("n") % 25).cast("int"))).select("n", _step("27", F.col("text")).alias("spoken"))
-
-
-@query("SELECT doc_id, " + _replace_all("text", L.latin_letters()) + " AS plain FROM documents")
+@query("SELECT doc_id, " + replace_all("text", L.latin_letters()) + " AS plain FROM documents")
 def latin_fold(spark, sf_dir):
-    return _read(spark, sf_dir, "documents").select("doc_id", _step("29", F.col("text")).alias("plain"))
-
-
-@query("SELECT n_nationkey, 'эн ка вэ дэ ' || n_name || ' си пи ю' AS spoken FROM nation")
-def acronyms(spark, sf_dir):
-    marked = _read(spark, sf_dir, "nation").select("n_nationkey", _step("16", F.concat(F.lit("НКВД "), "n_name", F.lit(" CPU"))).alias("text"))
-    return marked.select("n_nationkey", _step("20", F.col("text")).alias("spoken"))
-
-
-@query("SELECT n_nationkey, n_name || ' эт цетера' AS spoken FROM nation")
-def substitutions(spark, sf_dir):
-    return _read(spark, sf_dir, "nation").select("n_nationkey", _step("3", F.concat("n_name", F.lit(" etc."))).alias("spoken"))
-
-
-@query("SELECT n_nationkey, 'слово <tts_en>the house of J. kay,</tts_en> да ' || n_name AS spoken FROM nation")
-def language_tags(spark, sf_dir):
-    return _read(spark, sf_dir, "nation").select("n_nationkey", _step("28", F.concat(F.lit("слово the house of J. K., да "), "n_name")).alias("spoken"))
+    return read(spark, sf_dir, "documents").select("doc_id", _step("29", F.col("text")).alias("plain"))
 
 
 # --- tokens and reports -----------------------------------------------------------------------------------------------------------------
 _TOKEN = tokens.TOKEN
 
 
-@query(f"SELECT doc_id, len(regexp_extract_all(text, {_q(_TOKEN)})) AS n_words, len(regexp_extract_all(text, {_q(_TOKEN)})) + 1 AS n_gaps, text AS back FROM documents WHERE text IS NOT NULL")
+@query(f"SELECT doc_id, len(regexp_extract_all(text, {quote(_TOKEN)})) AS n_words, len(regexp_extract_all(text, {quote(_TOKEN)})) + 1 AS n_gaps, text AS back FROM documents WHERE text IS NOT NULL")
 def token_counts(spark, sf_dir):
-    docs = _read(spark, sf_dir, "documents").filter("text is not null").select("doc_id", tokens.words(F.col("text")).alias("w"), tokens.gaps(F.col("text")).alias("g"))
+    docs = read(spark, sf_dir, "documents").filter("text is not null").select("doc_id", tokens.words(F.col("text")).alias("w"), tokens.gaps(F.col("text")).alias("g"))
     return docs.select("doc_id", F.size("w").cast("long").alias("n_words"), F.size("g").cast("long").alias("n_gaps"), tokens.join(F.col("w"), F.col("g")).alias("back"))
 
 
-@query(f"SELECT token, count(*) AS cnt FROM (SELECT unnest(regexp_extract_all(text, {_q(_TOKEN)})) AS token FROM documents) GROUP BY 1 ORDER BY cnt DESC, token LIMIT 20")
+@query(f"SELECT token, count(*) AS cnt FROM (SELECT unnest(regexp_extract_all(text, {quote(_TOKEN)})) AS token FROM documents) GROUP BY 1 ORDER BY cnt DESC, token LIMIT 20")
 def token_topk(spark, sf_dir):
-    found = _read(spark, sf_dir, "documents").select(F.explode(tokens.words(F.col("text"))).alias("token"))
+    found = read(spark, sf_dir, "documents").select(F.explode(tokens.words(F.col("text"))).alias("token"))
     return found.groupBy("token").agg(F.count("*").alias("cnt")).orderBy(F.desc("cnt"), "token").limit(20)
 
 
 @query("SELECT DISTINCT 'en' AS lang, token FROM (SELECT unnest(regexp_extract_all(text, '[0-9A-Za-z_\\p{L}\\p{M}]+')) AS token FROM documents) WHERE regexp_full_match(token, '[A-Z]{2,}') AND token NOT IN ('THE', 'AND')")
 def unknown_acronyms(spark, sf_dir):
     known = spark.createDataFrame([("en", "THE"), ("en", "AND")], "lang string, key string")
-    return pipeline.unknown_acronyms(_read(spark, sf_dir, "documents"), known)
-
-
-@query(f"SELECT count(*) AS processed, count(*) FILTER (norm <> text) AS changed, round(count(*) FILTER (norm <> text) * 100.0 / greatest(count(*), 1), 2)::DOUBLE AS changed_pct FROM (SELECT text, regexp_replace({_replace_all('text', {k: f' {t.SYMBOLS[k]} ' for k in sorted(t.SYMBOLS, key=lambda s: -len(s))})}, ' {{2,}}', ' ', 'g') AS norm FROM documents WHERE text IS NOT NULL)")
-def run_summary(spark, sf_dir):
-    out = pipeline.run_summary(_read(spark, sf_dir, "documents"), "21")
-    return out.withColumn("changed_pct", F.col("changed_pct").cast("double"))
-
-
-@query()
-def replacement_log(spark, sf_dir):
-    docs = _read(spark, sf_dir, "documents")
-    return pipeline.replacements(docs, "1").unionByName(pipeline.replacements(docs, "12")).unionByName(pipeline.replacements(docs, "25"))
-
-
-@query()
-def step_stats(spark, sf_dir):
-    return pipeline.step_stats(replacement_log(spark, sf_dir))
-
-
-@query()
-def top_replacements(spark, sf_dir):
-    return pipeline.top_replacements(replacement_log(spark, sf_dir))
+    return pipeline.unknown_acronyms(read(spark, sf_dir, "documents"), known)
 
 
 @query()
 def normalized_documents(spark, sf_dir):
-    return pipeline.normalize(_read(spark, sf_dir, "documents").select("doc_id", "text"))
-
-
-@query("SELECT lang, count(*) AS blocks, sum(length(text))::BIGINT AS chars, sum(len(regexp_extract_all(text, '[a-zA-Z]')))::BIGINT AS latin, sum(len(regexp_extract_all(text, '[а-яёА-ЯЁ]')))::BIGINT AS cyrillic, ceil(count(*) / 100)::BIGINT AS parts FROM documents GROUP BY 1")
-def book_profile(spark, sf_dir):
-    return pipeline.book_profile(_read(spark, sf_dir, "documents"))
+    return pipeline.normalize(read(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 @query("SELECT doc_id, md5(text) AS source_md5 FROM documents WHERE md5(text) NOT IN (SELECT md5(text) FROM documents WHERE doc_id % 2 = 0)")
 def incremental_skip(spark, sf_dir):
-    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     log = docs.filter("doc_id % 2 = 0").select(F.md5(F.col("text").cast("binary")).alias("source_md5"))
-    return pipeline.unchanged(docs, log).select("doc_id", "source_md5")
+    return pipeline.new_texts(docs, log).select("doc_id", "source_md5")
 
 
 # --- speech plan ------------------------------------------------------------------------------------------------------------------------
-@query("SELECT doc_id, trim(regexp_replace(regexp_replace(replace(text, '-', ' '), '[^\\p{L}\\p{N}\\p{Z}\\p{M}\\p{P}+-]', ' ', 'g'), '[\\s\\p{Z}]+', ' ', 'g')) AS clean FROM documents")
+_DIRTY = "'«' || {0} || '» … — “x” // /* e' || chr(769) || ' &amp;lt; &nbsp;&mdash;'"
+
+
+def _clean_sql(text: str) -> str:
+    out = replace_all(f"nfc_normalize({text})", speech.REPLACED)
+    return f"trim(regexp_replace(regexp_replace({out}, '[^\\p{{L}}\\p{{N}}\\p{{Z}}\\p{{M}}\\p{{P}}+-]', ' ', 'g'), '[\\s\\p{{Z}}]+', ' ', 'g'))"
+
+
+@query(f"SELECT doc_id, {_clean_sql('text')} AS clean, {_clean_sql(_DIRTY.format('lang'))} AS dirty FROM documents")
 def clean_for_tts(spark, sf_dir):
-    return _read(spark, sf_dir, "documents").select("doc_id", speech.clean_for_tts(F.col("text")).alias("clean"))
+    dirty = F.concat(F.lit("«"), "lang", F.lit("» … — “x” // /* e\u0301 &amp;lt; &nbsp;&mdash;"))
+    return read(spark, sf_dir, "documents").select("doc_id", speech.clean_for_tts(F.col("text")).alias("clean"), speech.clean_for_tts(dirty).alias("dirty"))
 
 
-@query(f"WITH w AS (SELECT p_partkey, {_cardinal('p_partkey')} AS w FROM part) SELECT p_partkey, regexp_replace(w, '([{speech.VOWELS}])\u0301', '\\1', 'g') AS auto, regexp_replace(w, '([{speech.VOWELS}])\u0301', '+\\1', 'g') AS manual FROM w")
+@query(f"WITH w AS (SELECT p_partkey, {cardinal('p_partkey')} AS w FROM part) SELECT p_partkey, regexp_replace(w, '([{speech.VOWELS}])\u0301', '\\1', 'g') AS auto, regexp_replace(w, '([{speech.VOWELS}])\u0301', '+\\1', 'g') AS manual FROM w")
 def stress_marks(spark, sf_dir):
     w = N.cardinal(F.col("p_partkey"))
-    return _read(spark, sf_dir, "part").select("p_partkey", speech.convert_stress(w, "auto").alias("auto"), speech.convert_stress(w, "manual").alias("manual"))
+    return read(spark, sf_dir, "part").select("p_partkey", speech.convert_stress(w, "auto").alias("auto"), speech.convert_stress(w, "manual").alias("manual"))
 
 
 @query("SELECT o_orderkey, unnest([{'lang': 'ru', 'text': 'да'}, {'lang': 'en', 'text': o_orderpriority}, {'lang': 'ru', 'text': 'нет'}], recursive := true) FROM orders")
 def language_split(spark, sf_dir):
     text = F.concat(F.lit("да <tts_en>"), "o_orderpriority", F.lit("</tts_en> нет"))
-    return _read(spark, sf_dir, "orders").select("o_orderkey", F.inline(speech.split_by_language(text)))
+    return read(spark, sf_dir, "orders").select("o_orderkey", F.inline(speech.split_by_language(text)))
 
 
 @query("SELECT conv_id, turn, CASE right(rtrim(text), 1) WHEN '.' THEN 0.05 WHEN '!' THEN 0.05 WHEN '?' THEN 0.05 WHEN '…' THEN 0.05 WHEN ';' THEN 0.1 WHEN ':' THEN 0.12 WHEN ',' THEN 0.05 WHEN '-' THEN 0.2 WHEN '–' THEN 0.2 WHEN '—' THEN 0.2 ELSE 0.0 END::DOUBLE AS pause FROM conversations")
 def pause_plan(spark, sf_dir):
-    return _read(spark, sf_dir, "conversations").select("conv_id", "turn", speech.pause_after(F.col("text")).alias("pause"))
+    return read(spark, sf_dir, "conversations").select("conv_id", "turn", speech.pause_after(F.col("text")).alias("pause"))
 
 
 @query("SELECT n_nationkey, 'чина квест дабл ю дабл ю дабл ю ' || n_nationkey AS spoken FROM nation")
 def transliteration(spark, sf_dir):
-    return _read(spark, sf_dir, "nation").select("n_nationkey", speech.transliterate(F.concat(F.lit("China quest WWW "), "n_nationkey")).alias("spoken"))
+    return read(spark, sf_dir, "nation").select("n_nationkey", speech.transliterate(F.concat(F.lit("China quest WWW "), "n_nationkey")).alias("spoken"))
 
 
 @query("SELECT o_orderkey, unnest([{'text': o_orderpriority || ',', 'pause': 0.05::DOUBLE}, {'text': ' b:', 'pause': 0.12::DOUBLE}, {'text': ' c', 'pause': 0.0::DOUBLE}], recursive := true) FROM orders")
 def forced_pauses(spark, sf_dir):
     text = F.concat("o_orderpriority", F.lit(",, b: c"))
-    return _read(spark, sf_dir, "orders").select("o_orderkey", F.inline(speech.forced_pauses(text)))
+    return read(spark, sf_dir, "orders").select("o_orderkey", F.inline(speech.forced_pauses(text)))
 
 
 @query("SELECT n_nationkey, '<speak>' || replace(lower(n_name), 'nation', 'натион') || ' &amp; он,<break time=\"50ms\"/> да</speak>' AS ssml FROM nation")
 def ssml(spark, sf_dir):
-    return _read(spark, sf_dir, "nation").select("n_nationkey", speech.ssml(F.concat(F.lower("n_name"), F.lit(" & он, да"))).alias("ssml"))
-
-
-@query()
-def block_merge(spark, sf_dir):
-    blocks = _blocks(spark, sf_dir).withColumn("type", F.when(F.col("block_idx") % 5 == 4, "pause").otherwise(F.col("type")))
-    return speech.merge_short_blocks(speech.paginate(blocks, 100))
-
-
-@query()
-def chunk_plan(spark, sf_dir):
-    return _read(spark, sf_dir, "documents").select("doc_id", F.posexplode(speech.chunks(F.col("text"))).alias("chunk_idx", "chunk"))
+    return read(spark, sf_dir, "nation").select("n_nationkey", speech.ssml(F.concat(F.lower("n_name"), F.lit(" & он, да"))).alias("ssml"))
 
 
 def _blocks(spark, sf_dir):
     kind = F.when(F.col("role") == "assistant", "footnote").otherwise("text")
-    return _read(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc_id"), F.lit(0).alias("chapter_idx"), F.col("turn").alias("block_idx"), kind.alias("type"), F.col("text").alias("content"))
+    return read(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc_id"), F.lit(0).alias("chapter_idx"), F.col("turn").alias("block_idx"), kind.alias("type"), F.col("text").alias("content"))
 
 
 @query("SELECT conv_id AS doc_id, turn AS block_idx, ((row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1) // 3)::INT AS part_idx FROM conversations")
@@ -439,26 +307,23 @@ def forced_comma(spark, sf_dir):
 
 @query("SELECT c.conv_id AS doc_id, c.turn AS note_id, d.text AS note_text FROM conversations c JOIN documents d ON d.doc_id = c.conv_id WHERE c.turn = 1")
 def footnote_join(spark, sf_dir):
-    refs = _read(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("note_id"))
-    notes = _read(spark, sf_dir, "documents").select("doc_id", F.lit(1).cast("long").alias("note_id"), F.col("text").alias("note_text"), F.lit(0).alias("pos"))
+    refs = read(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("note_id"))
+    notes = read(spark, sf_dir, "documents").select("doc_id", F.lit(1).cast("long").alias("note_id"), F.col("text").alias("note_text"), F.lit(0).alias("pos"))
     return speech.resolve_footnotes(refs, notes)
 
 
 @query("SELECT label, round(avg(r), 6) AS rms, round(avg(g), 6) AS gain FROM (SELECT label, r, pow(10, -23.0 / 20) * 0.5 / r AS g FROM (SELECT label, sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE)) / len(embedding)) AS r FROM embeddings)) GROUP BY 1")
 def rms_gain(spark, sf_dir):
-    level = _read(spark, sf_dir, "embeddings").select("label", speech.rms(F.col("embedding")).alias("r"))
+    level = read(spark, sf_dir, "embeddings").select("label", speech.rms(F.col("embedding")).alias("r"))
     return level.groupBy("label").agg(F.round(F.avg("r"), 6).alias("rms"), F.round(F.avg(speech.loudness_gain(F.col("r"))), 6).alias("gain"))
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"({i}, '{k}', {_q(x)})" for i, (k, x) in enumerate([("text", "Анна"), ("text", "Рощина"), ("text", "Дом у реки"), ("text", "Глава 1"), ("text", "В 12:05 пришёл поезд"), ("text", "[1]"), ("tail", " из "), ("text", "Твери"), ("tail", ", №7."), ("text", "Осталось 5%."), ("text", "1"), ("text", "Старый поезд.")])) + ") AS v(node_idx, kind, text)")
-def fb2_text_nodes(spark, sf_dir):
-    files = spark.createDataFrame([("a.fb2", bytearray(SAMPLE_FB2.encode()))], "path string, content binary")
-    return text_nodes(files).select("node_idx", "kind", "text")
+from . import catalog_books, catalog_reports, catalog_rules  # noqa: E402,F401  (they add to the register)
 
 
 def queries() -> dict[str, Query]:
-    return dict(_QUERIES)
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
+    return dict(SQL)
