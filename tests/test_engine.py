@@ -9,7 +9,8 @@ from spoken.functions import numerals as N
 from spoken.functions import words as W
 from spoken.operators import speech, tokens
 from spoken.operators.steps import STEPS, steps
-from spoken.plans import catalog, pipeline
+from spoken.plans import catalog, catalog_books, pipeline
+from spoken.sources import dictionaries
 from spoken.sources.dictionaries import Dictionaries
 from spoken.sources.fb2 import nodes_of
 from spoken.streaming.incremental import normalize_new
@@ -24,7 +25,7 @@ VECTORS = [
     ("15", "1-я", "пе́рвая"), ("15", "5-го", "пя́того"), ("22", "3,14", "три́ це́лых и́ четы́рнадцать со́тых"), ("22", "1,5", "одна́ це́лая и́ пя́ть деся́тых"), ("22", "1,0", "оди́н"),
     ("3", "P.S. привет etc.", "пост скри́птум привет эт цетера"), ("7", "в 1941-1945 гг.", "в ты́сяча девятьсо́т со́рок пе́рвом - ты́сяча девятьсо́т со́рок пя́том года́х"), ("7", "5-7 домов", "пя́ть - се́мь домов"),
     ("17", "При Петре I", "При Петре пе́рвом"), ("17", "Екатерине II", "Екатерине второ́му"), ("17", "Иван IV", "Иван IV"),
-    ("17b", "в V веке", "в пя́том ве́ке"), ("17b", "V-VI вв.", "пя́тый-шесто́й века́"), ("17b", "кн. II.", "кни́га два́"), ("17b", "V. I. Lenin", "V. I. Lenin"), ("17b", "с I по V век", "с пе́рвого по пя́тый ве́к"), ("17b", "CD", "CD"), ("17b", "Пётр I", "Пётр I"),
+    ("18", "Ж., вот", "жэ́, вот"), ("17b", "в V веке", "в пя́том ве́ке"), ("17b", "V-VI вв.", "пя́тый-шесто́й века́"), ("17b", "кн. II.", "кни́га два́"), ("17b", "V. I. Lenin", "V. I. Lenin"), ("17b", "с I по V век", "с пе́рвого по пя́тый ве́к"), ("17b", "CD", "CD"), ("17b", "Пётр I", "Пётр I"),
     ("18", "А. Б. Иванов", "а́-бэ́, Иванов"), ("18", "А123", "а́ сто́ два́дцать три́"), ("18", "808Д", "восемьсо́т во́семь, дэ́"), ("18", "5км", "5км"),
     ("25", "в 5 домах", "в пя́том домах"), ("25", "в 1999 году", "в ты́сяча девятьсо́т девяно́сто де́вять года́х"), ("25", "к 5 г.", "к пя́тому го́ду"), ("25", "12 лет", "двена́дцать ле́т"), ("25", "с 3 лет", "с трёх ле́т"), ("25", "в 2000 доме", "в две́ ты́сячи доме"),
     ("27", "α. λόγος Ξ", "а́льфа. ло́гос Кс"), ("28", "слово the house of J. K. дом", "слово <tts_en>the house of J. kay</tts_en> дом"), ("28", "ab да", "ab да"), ("29", "Émile Œuvre naïve", "Emile OEuvre naive"),
@@ -77,21 +78,75 @@ def test_tables_of_letters():
     assert len(L.greek_letters()) == 132 and len(L.latin_letters()) == 180
 
 
-def test_merge_blocks():
-    assert speech.merge_blocks([("text", "а"), ("text", ", б"), ("footnote", "н")]) == [("text", "а, б"), ("footnote", "н")]
-    assert speech.merge_blocks([("text", "а."), ("text", "б"), ("pause", "")]) == [("text", "а."), ("text", "б"), ("pause", "")]
-    assert speech.merge_blocks([("text", "а"), ("text", "б"), ("pause", ""), ("text", None)]) == [("text", "а б"), ("pause", ""), ("text", "")]
+def merged(spark, blocks):
+    rows = [("d", 0, 0, i, kind, content) for i, (kind, content) in enumerate(blocks)]
+    df = spark.createDataFrame(rows, "doc_id string, part_idx int, chapter_idx int, block_idx int, type string, content string")
+    return [(r["type"], r["content"]) for r in speech.merge_short_blocks(df).orderBy("block_idx").collect()]
+
+
+def test_merge_blocks(spark):
+    assert merged(spark, [("text", "а"), ("text", ", б"), ("footnote", "н")]) == [("text", "а, б"), ("footnote", "н")]
+    assert merged(spark, [("text", "а."), ("text", "б"), ("pause", "")]) == [("text", "а."), ("text", "б"), ("pause", "")]
+    assert merged(spark, [("text", "а"), ("text", "б"), ("pause", ""), ("text", None)]) == [("text", "а б"), ("pause", ""), ("text", "")]
+    assert merged(spark, [("text", " а"), ("footnote", "н"), ("text", "б"), ("text", "в" * 60), ("text", "г")]) == [("text", " а"), ("footnote", "н"), ("text", "б " + "в" * 60 + " г")]
+    assert merged(spark, [("text", "а"), ("text", "б"), ("pause", None)]) == [("text", "а б"), ("pause", None)]
+    assert merged(spark, [("pause", None), ("text", " а"), ("text", " б. "), ("text", "в")]) == [("pause", None), ("text", "а б."), ("text", "в")]
+
+
+def test_texts_of_one_character_stay(spark):
+    rows = spark.createDataFrame([(1, "А"), (2, " "), (3, None), (4, ""), (5, " А ")], "i int, t string").select("i", speech.chunks(F.col("t")).alias("c")).collect()
+    assert {r["i"]: r["c"] for r in rows} == {1: ["А"], 2: [], 3: None, 4: [], 5: [" А "]}
+
+
+def test_cuts_at_the_best_bound():
+    assert speech.split_long_text("аб. Вг дежз, ийк", 10) == ["аб. Вг", "дежз, ийк"]
+    assert speech.split_long_text("а" * 8 + ". " + "Б" * 5, 10) == ["а" * 8 + ".", "Б" * 5]
+    assert speech.split_long_text("а" * 9 + ". " + "Б" * 5, 10) == ["а" * 9 + ".", "Б" * 5]
+    assert speech.split_long_text("а" * 25, 10) == ["а" * 10, "а" * 10, "а" * 5]
+    assert speech.split_ssml('да,<break time="50ms"/> нет и нет', 26) == ['да,<break time="50ms"/>', "нет и нет"]
+    assert all(c.count("<") == c.count(">") for c in speech.split_ssml('слово <break time="50ms"/>' * 9, 30))
+
+
+def test_clean_for_tts(spark):
+    rows = [("А — «б»… &amp; в//г", 'А — "б"... & в г'), ("е\u0301 и\u0306 \u212b", "е\u0301 й Å"), ("да-да &nbsp;– нет\t*/", "да да — нет"), ("а\u0301 б", "а\u0301 б"), ("2 < 3 €", "2 3"), (None, None)]
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(rows)], "i int, t string").select("i", speech.clean_for_tts(F.col("t")).alias("c"))
+    assert [r["c"] for r in df.orderBy("i").collect()] == [c for _, c in rows]
 
 
 @given(st.text(alphabet="аб1 .,!?A-ёxy«:;", max_size=400), st.integers(10, 60))
 @settings(max_examples=200, deadline=None)
 def test_chunks_keep_the_text(text, limit):
     parts = speech.split_long_text(text, limit)
-    assert all(2 <= len(p) <= limit for p in parts)
+    assert all(len(p) <= limit for p in parts)
     letters = lambda s: [c for c in s if c.isalnum()]
     assert len(letters("".join(parts))) >= len(letters(text)) - text.count(" ") - 1 - len(text) // limit * 2
 
 
+def test_large_dictionaries(spark, tmp_path):
+    many = Dictionaries(ru={f"АБ{i}В": f"слово {i}" for i in range(14_000)}, en={f"Q{i}X": f"word {i}" for i in range(14_000)})
+    own = steps(many)
+    df = spark.createDataFrame([("АБ7В и Q13999X, АБ99999В",)], "t string").withColumn("t", own["16"](F.col("t"))).withColumn("t", own["20"](F.col("t")))
+    assert df.first()["t"] == "слово 7 и word 13999, АБ99999В"
+
+
+def test_dictionary_files(spark, tmp_path):
+    lines = ["# note", "", " NATO = nato = нато ", "USA = u = s", "CPU=си пи ю", "a=b=c", "GPS", "NO = ", "X=y = z"]
+    (tmp_path / "d.txt").write_text("\n".join(lines), encoding="utf-8")
+    path = str(tmp_path / "d.txt")
+    rows = {r["key"]: (r["en"], r["ru"]) for r in dictionaries.read_acronyms(spark, path, "en").collect()}
+    assert rows == {"NATO": ("nato", "нато"), "USA": ("u", "s"), "CPU": ("си пи ю", None), "a": ("b", "c"), "GPS": ("", None), "X": ("y", "z")}
+    rows = {r["key"]: r["ru"] for r in dictionaries.read_acronyms(spark, path, "ru").collect()}
+    assert rows == {"NATO": "nato = нато", "USA": "u = s", "CPU": "си пи ю", "a=b": "c", "GPS": "", "X=y": "z"}
+    known = dictionaries.read_acronyms(spark, path, "en")
+    dictionaries.write_acronyms(known, str(tmp_path / "out"))
+    assert sorted(map(str, dictionaries.read_acronyms(spark, str(tmp_path / "out"), "en").collect())) == sorted(map(str, known.collect()))
+    (tmp_path / "r.txt").write_text("# род имя\nmas Пётр Пётр Петра Петру Петра Петром Петре\nкоротко\n", encoding="utf-8")
+    rulers = dictionaries.read_rulers(spark, str(tmp_path / "r.txt"))
+    assert rulers.count() == 6 and {r["case"]: r["form"] for r in rulers.collect()}["ins"] == "Петром"
+    dictionaries.write_rulers(rulers, str(tmp_path / "rulers"))
+    assert dictionaries.load(spark, rulers=str(tmp_path / "rulers")).rulers == {"Пётр": ("mas", "Пётр", "Петра", "Петру", "Петра", "Петром", "Петре")}
+
+
 def test_tokens_are_lossless(spark):
     rows = [("При 5км, V век.",), ("",), ("...",), ("a1б",)]
     back = spark.createDataFrame(rows, "t string").select("t", tokens.join(tokens.words(F.col("t")), tokens.gaps(F.col("t"))).alias("b")).collect()
@@ -99,7 +154,7 @@ def test_tokens_are_lossless(spark):
 
 
 def test_fb2_nodes():
-    found = nodes_of(catalog.SAMPLE_FB2.encode())
+    found = nodes_of(catalog_books.SAMPLE_FB2.encode())
     assert [x[0] for x in found].count("tail") == 2 and found[-1][2] == "Старый поезд."
 
 
@@ -119,13 +174,20 @@ def test_incremental(spark, tmp_path):
     assert sorted(map(tuple, spark.read.parquet(target).collect())) == [(1, "пя́ть проце́нтов"), (2, "пе́рвая")]
 
 
-@pytest.mark.parametrize("name", ["cardinal_words", "spoken_totals", "spoken_dates", "spoken_times", "symbol_words", "token_topk", "part_pagination", "forced_comma", "clean_for_tts", "incremental_skip", "unknown_acronyms", "numbers_context", "number_ranges", "roman_generic", "ruler_names", "alphanumeric_codes", "greek_letters", "latin_fold", "acronyms", "substitutions", "language_tags", "transliteration", "forced_pauses", "ssml"])
-def test_against_duckdb(spark, name):
+@pytest.fixture(scope="module")
+def duck():
     con = duckdb.connect()
-    for t in "part orders events documents conversations nation".split():
+    for t in "region nation customer supplier part orders lineitem events documents embeddings conversations pages".split():
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
-    want = con.execute(catalog.oracle_sql()[name])
+    return con
+
+
+@pytest.mark.parametrize("name", sorted(catalog.oracle_sql()))
+def test_against_duckdb(spark, duck, name):
+    want = duck.execute(catalog.oracle_sql()[name])
     columns = sorted(d[0] for d in want.description)
     at = [[d[0] for d in want.description].index(c) for c in columns]
-    got = sorted(tuple(str(r[c]) for c in columns) for r in catalog.queries()[name](spark, SF).collect())
+    df = catalog.queries()[name](spark, SF)
+    assert sorted(df.columns) == columns
+    got = sorted(tuple(str(r[c]) for c in columns) for r in df.collect())
     assert got == sorted(tuple(str(r[i]) for i in at) for r in want.fetchall())
