@@ -212,7 +212,7 @@ def substitutions(spark, sf_dir):
 
 
 _TAGGED = {
-    "слово the house of J. K., да {}": "'слово <tts_en>the house of J. kay,</tts_en> да ' || n", "ab да {}": "'ab да ' || n", "vitamin C {}": "'<tts_en>vitamin see</tts_en> ' || n", "BBC и {}": "'<tts_en>би́ би́ си́</tts_en> и ' || n", "Mädchen, {}": "'<tts_en>Madchen,</tts_en> ' || n", "рок'n'roll {}": "'рок''n''roll ' || n",
+    "слово the house of J. K., да {}": "'слово <tts_en>the house of J. kay,</tts_en> да ' || n", "ab да {}": "'ab да ' || n", "vitamin C {}": "'<tts_en>vitamin see</tts_en> ' || n", "BBC и {}": "'<tts_en>би́ би́ си́</tts_en> и ' || n", "Mädchen, {}": "'<tts_en>Madchen,</tts_en> ' || n", "рок'n'roll {}": "'рок''<tts_en>n''roll</tts_en> ' || n",
 }
 
 
