@@ -7,9 +7,10 @@ Method, by stages (nothing is sampled or capped; every step that drops a pair re
    shared has no link and leaves here. What remains is ordered by ascending frequency; only the first
    ``size - ceil(t * size) + 1`` tokens (of those, the shared ones) name the tiles that a set enters, which loses no link.
 2. A tile is a token and a size band; bands grow by the threshold's inverse, so that partners are in the same band or in neighbours: a
-   set is at home in the tile of its own band and a guest in that of the band below. In a tile, rows are compared by hashed parity
-   bitmaps: the bits in which two bitmaps differ never exceed the symmetric difference, so their count bounds the overlap from above.
-   Pairs that pass are intersected exactly, on sorted arrays.
+   set is at home in the tile of its own band and a guest in that of the band above, there only with the first
+   ``size - ceil(2 * t * size / (1 + t)) + 1`` tokens, which are enough for the smaller of two sets. In a tile, rows are compared by
+   hashed parity bitmaps: the bits in which two bitmaps differ never exceed the symmetric difference, so their count bounds the overlap
+   from above. Pairs that pass are intersected exactly, on sorted arrays.
 3. First, in rounds, every tile has a pivot (by another hash in each round) and each set is compared with one pivot of another
    component, that of most of its tiles. This joins groups of near copies with comparisons in proportion to their size. Then, in the
    tiles which still hold several components, rows outside the largest are compared with all rows, so no link is lost.
@@ -31,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textops as T
-from .common import cut, shuffle_partitions
+from .common import cut, shuffle_partitions, written
 from .components import connected_components
 
 BITMAP_WORDS = 8
@@ -290,13 +291,13 @@ def linked_rows(docs: DataFrame, shingle: int = 5, num: int = 75, den: int = 100
     nameless = texts.filter("doc_id is null").select("tag", "text").mapInArrow(_count_only(shingle), "doc_id long, tag long, n_shingles long, component_id long")
     sent = texts.filter("doc_id is not null").mapInArrow(_emit(shingle, log2), _SQL_A)
     shared = sent.repartition(partitions, "bucket").sortWithinPartitions("bucket").mapInArrow(_frequencies, _SQL_B)
-    rows = cut(shared.repartition(partitions, "batch").sortWithinPartitions("batch").mapInArrow(_nodes(num, den, log2), _SQL_C))
+    rows = written(shared.repartition(partitions, "batch").sortWithinPartitions("batch").mapInArrow(_nodes(num, den, log2), _SQL_C))
 
     bits = [f"b{i}" for i in range(BITMAP_WORDS)]
     sets = rows.filter("size > 0").groupBy("p1", "p2", "size").agg(F.min("doc_id").alias("node"))
     # a slice's first row of a set has its tokens, and the smallest of a set's able rows speaks for it
     able = rows.filter("toks is not null").groupBy("p1", "p2", "size").agg(F.min_by(F.struct("toks", "ahead", "tiles", *bits), "doc_id").alias("x"))
-    nodes = cut(able.join(sets, ["p1", "p2", "size"]).select("node", "size", "x.*"))
+    nodes = written(able.join(sets, ["p1", "p2", "size"]).select("node", "size", "x.*"))
     enough_links = max(100, nodes.count() // 100)
 
     def verified(full: DataFrame) -> DataFrame:
@@ -308,14 +309,19 @@ def linked_rows(docs: DataFrame, shingle: int = 5, num: int = 75, den: int = 100
         joined = connected_components(links.select(F.col("ca").alias("a"), F.col("cb").alias("b")))
         return cut(labels.join(joined.select(F.col("node").alias("comp"), F.col("comp").alias("to")), "comp", "left").select("node", F.coalesce("to", "comp").alias("comp")))
 
-    def shown(labels: DataFrame, tiles: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """Rows of the tiles that hold several components, with the largest of these; and the tiles that are dealt over tasks."""
-        marked = tiles.join(labels, "node")
-        parts = marked.groupBy("tile", "comp").agg(F.count("*").alias("n"))
-        mixed = cut(parts.groupBy("tile").agg(F.count("*").alias("parts"), F.sum("n").alias("n"), F.max_by("comp", F.struct("n", "comp")).alias("most")).filter("parts > 1"))
+    def shown(tiles: DataFrame, labels: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+        """Rows of the tiles that hold several components, with the largest of these; and the tiles that are dealt over tasks. Without
+        labels every node is a component."""
+        if labels is None:
+            marked = tiles.withColumn("comp", F.col("node"))
+            parts = marked.groupBy("tile").agg(F.count("*").alias("n"), F.max("comp").alias("most")).withColumn("parts", F.col("n"))
+        else:
+            marked = tiles.join(labels, "node")
+            parts = marked.groupBy("tile", "comp").agg(F.count("*").alias("n")).groupBy("tile").agg(F.sum("n").alias("n"), F.max_by("comp", F.struct("n", "comp")).alias("most"), F.count("*").alias("parts"))
+        mixed = cut(parts.filter("parts > 1").select("tile", "n", "most"))
         hot = mixed.filter(F.col("n") > HOT_ROWS).orderBy(F.desc("n"), "tile").limit(HOT_TILES).select("tile", F.ceil(F.col("n") / HOT_ROWS).cast("int").alias("salts"))
         hot = cut(hot)
-        return cut(dealt(marked, hot).join(copied(mixed.select("tile", "most"), hot), ["tile", "salt"])), hot
+        return written(dealt(marked, hot).join(copied(mixed.select("tile", "most"), hot), ["tile", "salt"])), hot
 
     def dealt(rows: DataFrame, hot: DataFrame) -> DataFrame:
         """Rows of hot tiles get one of the tile's salts each."""
@@ -329,11 +335,12 @@ def linked_rows(docs: DataFrame, shingle: int = 5, num: int = 75, den: int = 100
 
     labels = nodes.select("node", F.col("node").alias("comp"))
     band = F.floor(F.log(F.col("size").cast("double")) / F.log(F.lit(den / num))).cast("int")
-    tiles = nodes.select("node", "size", "ahead", band.alias("band"), F.posexplode("tiles").alias("pos", "token"))
-    tiles = tiles.select("node", "size", (F.col("ahead") + F.col("pos")).alias("at"), "token", F.explode(F.array(F.struct(F.col("band"), F.lit(False).alias("guest")), F.struct((F.col("band") - 1).alias("band"), F.lit(True).alias("guest")))).alias("x"))
-    tiles = tiles.select("node", "size", "at", F.xxhash64("token", "x.band").alias("tile"), "x.guest")
+    tiles = nodes.select("node", "size", "ahead", band.alias("band"), F.posexplode("tiles").alias("pos", "token")).withColumn("at", (F.col("ahead") + F.col("pos")).cast("int"))
+    smaller = F.col("at") <= F.col("size") - F.ceil(2 * num * F.col("size") / (num + den))  # reaches for the smaller of two sets
+    place = lambda up, guest: F.struct(F.xxhash64("token", F.col("band") + up).alias("tile"), F.lit(guest).alias("guest"))
+    tiles = tiles.select("node", F.col("size").cast("int").alias("size"), "at", F.inline(F.when(smaller, F.array(place(0, False), place(1, True))).otherwise(F.array(place(0, False)))))
     for round_ in range(ROUNDS):
-        rows_, hot = shown(labels, tiles)
+        rows_, hot = shown(tiles, labels if round_ else None)
         tiles = rows_.select("node", "size", "at", "tile", "guest")
         order = F.xxhash64(F.lit(round_), "node") if round_ else F.col("node")
         pivot = rows_.groupBy("tile").agg(F.min_by(F.struct("node", "comp", "size"), order).alias("p"))
@@ -348,7 +355,7 @@ def linked_rows(docs: DataFrame, shingle: int = 5, num: int = 75, den: int = 100
         if found <= enough_links:
             break
 
-    last, hot = shown(labels, tiles)
+    last, hot = shown(tiles, labels)
     last = last.join(_prefixed(nodes, "", "node", *bits), "node").drop("salt")
     columns = ("node", "size", "at", "comp", "tile", "guest", "most", "salt", *bits)
     left, right = _prefixed(dealt(last, hot), "a_", *columns), _prefixed(copied(last, hot), "b_", *columns)
