@@ -2,21 +2,27 @@
 
 Records are read from WARC files (gzip or not), parsed byte for byte, checked against their digests, converted and written again. Headers
 are kept all and in order; digests are SHA-1 in Base32 as the format's tools write them, and identifiers are made from what they name, so
-that reruns agree. Parsing and serializing are Column expressions; Python sees batches of what Columns cannot decode: character
-references, and payloads that are chunked, compressed or in another charset.
+that reruns agree. Records pass through Python in Arrow batches, one after another: that is what bytes, codings and character references
+ask for, and it costs a fraction of the same patterns as Column expressions. Nothing is shuffled.
 """
 
 from __future__ import annotations
 
+import base64
 import gzip
+import hashlib
 import html
 import io
+import re
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T_
 
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 CRLF = "\r\n"
@@ -24,74 +30,55 @@ HIDDEN = r"(?is)<(?:!--.*?-->|script\b.*?</script\s*>|style\b.*?</style\s*>|head
 BREAKS = r"(?i)</?(?:address|article|aside|blockquote|body|br|dd|div|dl|dt|fieldset|figcaption|figure|footer|form|h[1-6]|header|hr|html|li|main|nav|ol|p|pre|section|table|td|th|tr|ul)\b[^>]*>"
 TAGS = r"<[^>]*>"
 DATE = "2024-01-01T00:00:00Z"
-BYTES = "ISO-8859-1"  # a text of bytes: one character each
-LINKS = {"WARC-Refers-To": "refers_to", "WARC-Refers-To-Target-URI": "target_uri", "WARC-Refers-To-Date": "date"}
+LINKS = ("WARC-Refers-To", "WARC-Refers-To-Target-URI", "WARC-Refers-To-Date")
+BATCH = 4 << 20  # bytes of records that go out at once
+_HIDDEN, _BREAKS, _TAGS = (re.compile(x, re.A) for x in (HIDDEN, BREAKS, TAGS))
+_TITLE, _LANG = re.compile(r"(?is)<title[^>]*>(.*?)</title"), re.compile(r"(?i)<html[^>]*\blang=[\"']?([A-Za-z-]+)", re.A)
+_CHARSET = re.compile(r"charset\s*=\s*[\"']?([0-9A-Za-z_.:-]+)", re.I | re.A)
+_META = re.compile(rb"<meta\b[^>]*charset\s*=\s*[\"']?([0-9A-Za-z_.:-]+)", re.I)
+_BLANK = re.compile(r"[\t\n\x0B\f\r ]+")
+_FOLDED = re.compile(rb"\r\n[ \t]+")
+Headers = list[tuple[str, str]]
 
 
 # --- values ------------------------------------------------------------------------------------------------------------------------------
-def base32(digest: Column) -> Column:
-    """``sha1:`` and a hexadecimal digest in Base32: five hexadecimal digits make four of its letters."""
-    letters = []
-    for i in range(8):
-        n = F.conv(F.substr(digest, F.lit(5 * i + 1), F.lit(5)), 16, 10).cast("int")
-        for shift in (15, 10, 5, 0):
-            letters.append(F.substr(F.lit(BASE32), F.shiftright(n, shift).bitwiseAND(31) + 1, F.lit(1)))
-    return F.concat(F.lit("sha1:"), *letters)
+def base32_sha1(data: bytes) -> str:
+    return "sha1:" + base64.b32encode(hashlib.sha1(data).digest()).decode()
 
 
-def base32_sha1(data: Column) -> Column:
-    return base32(F.sha1(data))
+def digest_agrees(stated: str | None, data: bytes) -> bool | None:
+    """Whether a digest header fits the bytes: SHA-1 in Base32 or hexadecimal, MD5, SHA-256; None for none and for other methods."""
+    method, _, value = (stated or "").partition(":")
+    method, value = method.strip().lower(), value.strip()
+    if method not in ("sha1", "md5", "sha256"):
+        return None
+    own = hashlib.new(method, data).digest()
+    return value.lower() == own.hex() or value.upper().rstrip("=") == base64.b32encode(own).decode().rstrip("=")
 
 
-def digest_agrees(stated: Column, data: Column) -> Column:
-    """Whether a digest header fits the bytes: SHA-1 in Base32 or hexadecimal, MD5, SHA-256; null for none and for other methods."""
-    method, value = F.lower(F.trim(F.substring_index(stated, ":", 1))), F.trim(F.substr(stated, F.instr(stated, ":") + 1))
-    sha1 = (F.upper(value) == F.substr(base32_sha1(data), F.lit(6))) | (F.lower(value) == F.sha1(data))
-    return F.when(method == "sha1", sha1).when(method == "md5", F.lower(value) == F.md5(data)).when(method == "sha256", F.lower(value) == F.sha2(data, 256))
-
-
-def record_id(*parts: Column) -> Column:
+def record_id(*parts: str | None) -> str:
     """A urn:uuid made from the digest of what it names (version and variant bits as for name-based identifiers)."""
-    h = F.sha1(F.concat_ws("\n", *parts).cast("binary"))
-    piece = lambda at, n: F.substr(h, F.lit(at), F.lit(n))
-    variant = F.substr(F.lit("89ab"), F.conv(piece(17, 1), 16, 10).cast("int") % 4 + 1, F.lit(1))
-    return F.concat(F.lit("<urn:uuid:"), piece(1, 8), F.lit("-"), piece(9, 4), F.lit("-5"), piece(14, 3), F.lit("-"), variant, piece(18, 3), F.lit("-"), piece(21, 12), F.lit(">"))
-
-
-def decode_references(text: Column) -> Column:
-    """All numeric and named character references of a text decoded; texts without an ampersand stay in the JVM."""
-
-    @F.pandas_udf("string")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for texts in batches:
-            yield texts.map(lambda x: html.unescape(x) if x is not None else None)
-
-    some = F.contains(text, F.lit("&"))
-    return F.when(some, run(F.when(some, text))).otherwise(text)
+    h = hashlib.sha1("\n".join(p for p in parts if p is not None).encode("utf-8", "surrogatepass")).hexdigest()
+    return f"<urn:uuid:{h[:8]}-{h[8:12]}-5{h[13:16]}-{'89ab'[int(h[16], 16) % 4]}{h[17:20]}-{h[20:32]}>"
 
 
-def plain_text(markup: Column) -> Column:
-    """Text of markup, its references not decoded yet: hidden elements and tags go, block tags break lines."""
-    out = F.translate(F.regexp_replace(markup, HIDDEN, ""), "\t\n\x0b\f\r", "     ")
-    return F.regexp_replace(F.regexp_replace(out, BREAKS, "\n"), TAGS, "")
-
-
-def squeeze(text: Column) -> Column:
-    """Runs of blanks become one, and none stand around line breaks or at the ends."""
-    out = F.regexp_replace(F.regexp_replace(text, " {2,}", " "), " ?\n[ \n]*", "\n")
-    return F.regexp_replace(out, r"^[ \n]+|[ \n]+$", "")
+def plain_text(markup: str) -> str:
+    """Text of markup: hidden elements and tags go, block tags break lines, references are decoded, white space is collapsed."""
+    out = _BLANK.sub(" ", _HIDDEN.sub("", markup))
+    out = html.unescape(_TAGS.sub("", _BREAKS.sub("\n", out)))
+    return re.sub(" ?\n[ \n]*", "\n", re.sub(" {2,}", " ", out)).strip(" \n")
 
 
 # --- records -----------------------------------------------------------------------------------------------------------------------------
-def header_list(lines: Column) -> Column:
-    """array<struct<name, value>> of header lines, all in order; folded lines are joined by a blank."""
-    pairs = F.filter(F.split(F.regexp_replace(lines, r"\r\n[ \t]+", " "), CRLF), lambda x: F.contains(x, F.lit(":")))
-    return F.transform(pairs, lambda x: F.struct(F.trim(F.substring_index(x, ":", 1)).alias("name"), F.trim(F.substr(x, F.instr(x, ":") + 1)).alias("value")))
+def header_list(lines: bytes) -> Headers:
+    """(name, value) of header lines, all in order; folded lines are joined by a blank."""
+    pairs = (x.partition(b":") for x in _FOLDED.sub(b" ", lines).split(b"\r\n") if b":" in x)
+    return [(n.decode("utf-8", "replace").strip(" "), v.decode("utf-8", "replace").strip(" ")) for n, _, v in pairs]
 
 
-def header(headers: Column, name: str) -> Column:
-    """The first value of a header, its name in any case; null if there is none."""
-    return F.get(F.filter(headers, lambda h: F.lower(h["name"]) == name.lower()), 0)["value"]
+def header(headers: Headers, name: str) -> str | None:
+    """The first value of a header, its name in any case."""
+    return next((v for n, v in headers if n.lower() == name), None)
 
 
 def _split_chunks(data: bytes) -> bytes:
@@ -132,114 +119,179 @@ def decode_payload(data: bytes, transfer: str | None, encoding: str | None, char
         return data.decode("utf-8", "replace")
 
 
-def _text(payload: Column, headers: Column) -> Column:
-    """The payload as text. UTF-8 without transfer or content coding never leaves the JVM."""
+@dataclass
+class Record:
+    """A parsed record. ``payload`` is what follows the HTTP header, the whole block if there is none."""
+
+    headers: Headers
+    http: Headers
+    status: int | None
+    block: bytes
+    payload: bytes
+
+    @property
+    def kind(self) -> str:
+        return (header(self.headers, "warc-type") or "").lower()
+
+    def text(self) -> str:
+        """The payload decoded: by the charset of its header, else that of its first meta element, else as UTF-8."""
+        stated = _CHARSET.search(header(self.http, "content-type") or "")
+        meta = None if stated else _META.search(self.payload, 0, 1024)
+        charset = stated[1] if stated else meta[1].decode() if meta else None
+        return decode_payload(self.payload, header(self.http, "transfer-encoding"), header(self.http, "content-encoding"), charset)
+
+
+def parse(data: bytes) -> Record:
+    """A record from its bytes. The block is as long as Content-Length says, or without it, up to the empty lines that end a record. A
+    record without an empty line has headers only."""
+    head, _, rest = data.partition(b"\r\n\r\n")
+    headers = header_list(head)
+    length = header(headers, "content-length")
+    block = rest[: int(length)] if length is not None and length.isdigit() else rest.removesuffix(b"\r\n\r\n")
+    if not block.startswith(b"HTTP/"):
+        return Record(headers, [], None, block, block)
+    http, _, payload = block.partition(b"\r\n\r\n")
+    status = http.partition(b"\r\n")[0].split(b" ")
+    return Record(headers, header_list(http), int(status[1]) if len(status) > 1 and status[1].isdigit() else None, block, payload)
+
+
+def serialize(kind: str, record: str, uri: str | None, date: str | None, content_type: str, block: bytes, more: Headers = (), digest: str | None = None) -> bytes:
+    """A record in WARC/1.1 form. Headers whose value is None are left out. ``digest``: of the block, if it is known."""
+    lines = [("WARC-Type", kind), ("WARC-Record-ID", record), ("WARC-Target-URI", uri), ("WARC-Date", date), *more, ("WARC-Block-Digest", digest or base32_sha1(block)), ("Content-Type", content_type), ("Content-Length", str(len(block)))]
+    return ("WARC/1.1" + CRLF + _lines(lines) + CRLF).encode() + block + b"\r\n\r\n"
+
+
+def _lines(pairs) -> str:
+    return "".join(f"{n}: {v}{CRLF}" for n, v in pairs if v is not None)
+
+
+def response_record(record: str, uri: str | None, date: str, payload: bytes) -> bytes:
+    """A response record, for tables that hold bare pages."""
+    http = ("HTTP/1.1 200 OK" + CRLF + _lines([("Content-Type", "text/html; charset=utf-8"), ("Content-Length", str(len(payload)))]) + CRLF).encode()
+    return serialize("response", record, uri, date, "application/http; msgtype=response", http + payload, [("WARC-Payload-Digest", base32_sha1(payload))])
+
+
+def derive(r: Record) -> list[tuple]:
+    """The metadata and the conversion record of a response: (kind, id, refers to, target, date, payload digest, block digest, length,
+    block, record)."""
+    uri, date = header(r.headers, "warc-target-uri"), header(r.headers, "warc-date")
+    source = header(r.headers, "warc-record-id") or record_id("response", uri, hashlib.sha1(r.payload).hexdigest())
+    digest = header(r.headers, "warc-payload-digest") or base32_sha1(r.payload)
+    markup = r.text()
+    title, language = _TITLE.search(markup), _LANG.search(markup)
+    facts = [("payload-digest", digest), ("payload-length", str(len(r.payload))), ("title", (_BLANK.sub(" ", html.unescape(title[1])) or None) if title else None), ("language", language and language[1]), ("http-status", r.status)]
+    facts += [("http-header", f"{n}: {v}") for n, v in r.http] + [("warc-header", f"{n}: {v}") for n, v in r.headers]
+    more = [*zip(LINKS, (source, uri, date)), ("WARC-Source-Payload-Digest", digest), ("WARC-Source-Block-Digest", header(r.headers, "warc-block-digest")), ("WARC-Source-Content-Type", header(r.http, "content-type"))]
+    out = []
+    for kind, content_type, text in (("metadata", "application/warc-fields", _lines(facts)), ("conversion", "text/plain; charset=utf-8", plain_text(markup))):
+        block = text.encode("utf-8", "replace")
+        own, sum_ = record_id(kind, source, hashlib.sha1(block).hexdigest()), base32_sha1(block)
+        out.append((kind, own, source, uri, date, digest, sum_, len(block), block.decode(), serialize(kind, own, uri, date, content_type, block, more, sum_).decode()))
+    return out
+
+
+def _through(rows: DataFrame, column: str, each, fields: list[T_.StructField]) -> DataFrame:
+    """(row_, fields) of what ``each`` gives for every record; ``row_`` has the other columns. Output goes out in batches of bounded size."""
+    rest = [c for c in rows.columns if c != column]
+    own = F.struct(*(F.col(f"`{c}`") for c in rest)) if rest else F.struct(F.lit(None).cast("int").alias("none"))
+    source = rows.select(own.alias("row_"), F.col(f"`{column}`").cast("binary").alias("bytes_"))
+    schema = T_.StructType([source.schema["row_"], *fields])
+    names = [f.name for f in fields]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        types = None
+        for batch in batches:
+            types = types or [to_arrow(f.dataType) for f in fields]
+            at, found, size = [], [], 0
+            for i, data in enumerate(batch.column(1)):
+                if not data.is_valid:
+                    continue
+                raw = data.as_py()
+                got = each(raw)
+                at += [i] * len(got)
+                found += got
+                size += len(raw) * (len(got) + 1)
+                if size > BATCH:
+                    yield _batch(batch, at, found, names, types)
+                    at, found, size = [], [], 0
+            if found:
+                yield _batch(batch, at, found, names, types)
+
+    from pyspark.sql.pandas.types import to_arrow_type as to_arrow
+
+    return source.mapInArrow(run, schema)
+
 
-    @F.pandas_udf("string")
-    def run(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
-        for data, transfer, encoding, charset in batches:
-            yield pd.Series([decode_payload(bytes(d), *rest) if d is not None else None for d, *rest in zip(data, transfer, encoding, charset)], dtype=object)
+def _batch(batch: pa.RecordBatch, at: list[int], found: list[tuple], names: list[str], types: list) -> pa.RecordBatch:
+    columns = [pa.array(c, t) for c, t in zip(zip(*found), types)]
+    return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int32())), *columns], names=["row_", *names])
 
-    named = r"(?i)charset\s*=\s*[\"']?([0-9A-Za-z_.:-]+)"
-    stated = F.nullif(F.regexp_extract(F.coalesce(header(headers, "content-type"), F.lit("")), named, 1), F.lit(""))
-    meta = F.nullif(F.regexp_extract(F.decode(F.substring(payload, 1, 1024), BYTES), r"(?i)<meta\b[^>]*" + named[4:], 1), F.lit(""))
-    charset = F.lower(F.coalesce(stated, meta, F.lit("utf-8")))
-    coded = [header(headers, x) for x in ("transfer-encoding", "content-encoding")]
-    plain = charset.isin("utf-8", "utf8", "us-ascii") & F.coalesce(coded[0], F.lit("identity")).isin("identity", "") & F.coalesce(coded[1], F.lit("identity")).isin("identity", "")
-    return F.when(plain, F.make_valid_utf8(payload.cast("string"))).otherwise(run(F.when(~plain, payload), *coded, charset))
+
+_PAIRS = T_.ArrayType(T_.StructType([T_.StructField("name", T_.StringType()), T_.StructField("value", T_.StringType())]))
+
+
+def _fields(**kinds: T_.DataType) -> list[T_.StructField]:
+    return [T_.StructField(n, t) for n, t in kinds.items()]
+
+
+_S, _B, _Y = T_.StringType(), T_.BooleanType(), T_.BinaryType()
 
 
 def parse_records(records: DataFrame, column: str = "record") -> DataFrame:
     """(row_, record_type, record_id, target_uri, date, headers, http_status, http_headers, payload, block_ok, payload_ok) of WARC records
     in a binary or text column.
 
-    ``row_`` has the columns of ``records``. ``headers`` and ``http_headers`` are array<struct<name, value>>, all in order, folded lines
-    joined. The block is as long as Content-Length says, or without it, up to the empty lines that end a record. ``payload`` is what
-    follows the HTTP header, as bytes; the whole block if there is none. ``block_ok`` and ``payload_ok`` tell whether the digest
-    headers fit (null: none there). A null record gives nulls; one without an empty line has headers only.
+    ``row_`` has the other columns of ``records``. ``headers`` and ``http_headers`` are array<struct<name, value>>, all in order, folded
+    lines joined. ``payload`` is bytes. ``block_ok`` and ``payload_ok`` tell whether the digest headers fit (null: none there). Null
+    records give no row; one without an empty line has headers only.
     """
-    rows = records.select(F.struct(*(F.col(f"`{c}`") for c in records.columns)).alias("row_"), F.col(f"`{column}`").cast("binary").alias("bytes_"))
-    rows = rows.withColumn("text_", F.decode("bytes_", BYTES))
-    utf8 = lambda x: F.make_valid_utf8(F.encode(x, BYTES).cast("string"))
-    rows = rows.withColumn("at_", F.length(F.substring_index("text_", CRLF * 2, 1))).withColumn("headers", header_list(utf8(F.left("text_", F.col("at_")))))
-    stated = header(F.col("headers"), "content-length").try_cast("int")
-    rest = F.regexp_replace(F.substr("text_", F.col("at_") + 5), r"\r\n\r\n\z", "")
-    rows = rows.withColumn("block_", F.when(stated.isNotNull(), F.substr("text_", F.col("at_") + 5, stated)).otherwise(rest))
-    is_http = F.startswith("block_", F.lit("HTTP/"))
-    rows = rows.withColumn("http_", F.when(is_http, F.substring_index("block_", CRLF * 2, 1)).otherwise(""))
-    rows = rows.withColumn("payload", F.encode(F.when(is_http, F.substr("block_", F.length("http_") + 5)).otherwise(F.col("block_")), BYTES))
-    h = F.col("headers")
-    return rows.select(
-        "row_",
-        F.lower(header(h, "warc-type")).alias("record_type"),
-        header(h, "warc-record-id").alias("record_id"),
-        header(h, "warc-target-uri").alias("target_uri"),
-        header(h, "warc-date").alias("date"),
-        "headers",
-        F.try_element_at(F.split(F.substring_index("http_", CRLF, 1), " "), F.lit(2)).try_cast("int").alias("http_status"),
-        header_list(utf8(F.col("http_"))).alias("http_headers"),
-        "payload",
-        digest_agrees(header(h, "warc-block-digest"), F.encode("block_", BYTES)).alias("block_ok"),
-        digest_agrees(header(h, "warc-payload-digest"), F.col("payload")).alias("payload_ok"),
-    )
-
-
-def serialize(kind: str, record: Column, uri: Column, date: Column, content_type: str, block: Column, more: dict[str, Column], digest: Column | None = None) -> Column:
-    """A record in WARC/1.1 form. Headers whose value is null are left out. ``digest``: of the block, if it is known."""
-    digest = base32_sha1(block.cast("binary")) if digest is None else digest
-    line = lambda name, value: F.coalesce(F.concat(F.lit(name + ": "), value, F.lit(CRLF)), F.lit(""))
-    fixed = {"WARC-Type": F.lit(kind), "WARC-Record-ID": record, "WARC-Target-URI": uri, "WARC-Date": date}
-    after = {"WARC-Block-Digest": digest, "Content-Type": F.lit(content_type), "Content-Length": F.octet_length(block).cast("string")}
-    return F.concat(F.lit("WARC/1.1" + CRLF), *(line(k, v) for k, v in (fixed | more | after).items()), F.lit(CRLF), block, F.lit(CRLF * 2))
-
-
-def response_record(record: Column, uri: Column, date: Column, payload: Column) -> Column:
-    """A response record as text, for tables that hold bare pages."""
-    http = F.concat(F.lit(f"HTTP/1.1 200 OK{CRLF}Content-Type: text/html; charset=utf-8{CRLF}Content-Length: "), F.octet_length(payload).cast("string"), F.lit(CRLF * 2), payload)
-    return serialize("response", record, uri, date, "application/http; msgtype=response", http, {"WARC-Payload-Digest": base32_sha1(payload.cast("binary"))})
+
+    def each(data: bytes) -> list[tuple]:
+        r = parse(data)
+        h = r.headers
+        pairs = lambda x: [{"name": n, "value": v} for n, v in x]
+        return [(r.kind or None, header(h, "warc-record-id"), header(h, "warc-target-uri"), header(h, "warc-date"), pairs(h), r.status, pairs(r.http), r.payload, digest_agrees(header(h, "warc-block-digest"), r.block), digest_agrees(header(h, "warc-payload-digest"), r.payload))]
+
+    return _through(records, column, each, _fields(record_type=_S, record_id=_S, target_uri=_S, date=_S, headers=_PAIRS, http_status=T_.IntegerType(), http_headers=_PAIRS, payload=_Y, block_ok=_B, payload_ok=_B))
 
 
 def derivatives(records: DataFrame, column: str = "record") -> DataFrame:
     """(row_, record_type, record_id, refers_to, target_uri, date, payload_digest, block_digest, content_length, block, record, block_ok,
     payload_ok): two rows for each response record in a binary or text column.
 
-    The metadata record holds length and digest of the payload, title, language, and every header of its source, WARC and HTTP, in
+    The metadata record holds length and digest of the payload, title, language, and every header of its source, HTTP and WARC, in
     order; the conversion record the plain text of the payload, decoded and with all character references resolved. Both carry
     refers-to identifier, target and date of their source and its digests, as it stated them; ``block_ok`` and ``payload_ok`` tell
     whether these fit. Where it stated no payload digest, it is computed. Records of other types, and null records, give no rows. Repeated
-    records give repeated rows with equal identifiers; an empty table an empty result. ``row_`` has the columns of ``records``, so none
-    can clash. A record without identifier gets one from its target and payload. Payloads are converted whole; a row is held in one piece.
+    records give repeated rows with equal identifiers; an empty table an empty result. ``row_`` has the other columns of ``records``, so
+    none can clash. A record without identifier gets one from its target and payload. Payloads are converted whole, however long; a
+    record is held in one piece.
     """
-    line = lambda name, value: F.coalesce(F.concat(F.lit(name + ": "), value, F.lit(CRLF)), F.lit(""))
-    rows = parse_records(records, column).filter("record_type = 'response'")
-    sha = F.sha1("payload")
-    rows = rows.withColumn("refers_to", F.coalesce("record_id", record_id(F.lit("response"), F.col("target_uri"), sha)))
-    rows = rows.withColumn("payload_digest", F.coalesce(header(F.col("headers"), "warc-payload-digest"), base32(sha)))
-    rows = rows.withColumn("html_", _text(F.col("payload"), F.col("http_headers")))
-    rows = rows.withColumn("title_", decode_references(F.regexp_extract("html_", r"(?is)<title[^>]*>(.*?)</title", 1))).withColumn("plain_", decode_references(plain_text(F.col("html_"))))
-    title = F.nullif(F.regexp_replace("title_", r"[\t\n\x0B\f\r ]+", " "), F.lit(""))
-    language = F.nullif(F.regexp_extract("html_", r"(?i)<html[^>]*\blang=[\"']?([A-Za-z-]+)", 1), F.lit(""))
-    kept = lambda name, headers: F.array_join(F.transform(headers, lambda h: F.concat(F.lit(name + ": "), h["name"], F.lit(": "), h["value"], F.lit(CRLF))), "")
-    facts = F.concat(line("payload-digest", F.col("payload_digest")), line("payload-length", F.octet_length("payload").cast("string")), line("title", title), line("language", language), line("http-status", F.col("http_status").cast("string")), kept("http-header", F.col("http_headers")), kept("warc-header", F.col("headers")))
-
-    # one row in, two out: the pair is an array that is unfolded, so payloads are read once; each digest is a column before it is used
-    pair = F.array(F.struct(F.lit("metadata").alias("kind"), facts.alias("block")), F.struct(F.lit("conversion").alias("kind"), squeeze(F.col("plain_")).alias("block")))
-    more = {"WARC-Source-Payload-Digest": F.col("payload_digest"), "WARC-Source-Block-Digest": header(F.col("headers"), "warc-block-digest"), "WARC-Source-Content-Type": header(F.col("http_headers"), "content-type")}
-    rows = rows.select("row_", "refers_to", "target_uri", "date", "payload_digest", "block_ok", "payload_ok", *(v.alias(k) for k, v in more.items()), F.explode(pair).alias("pair_"))
-    rows = rows.withColumn("sha_", F.sha1(F.col("pair_.block").cast("binary"))).withColumn("block_digest", base32(F.col("sha_")))
-    rows = rows.withColumn("own_", record_id(F.col("pair_.kind"), F.col("refers_to"), F.col("sha_")))
-    uri, date, block, own = F.col("target_uri"), F.col("date"), F.col("pair_.block"), F.col("own_")
-    links = {k: F.col(v) for k, v in LINKS.items()} | {k: F.col(f"`{k}`") for k in more}
-    record = F.when(F.col("pair_.kind") == "metadata", serialize("metadata", own, uri, date, "application/warc-fields", block, links, F.col("block_digest"))).otherwise(serialize("conversion", own, uri, date, "text/plain; charset=utf-8", block, links, F.col("block_digest")))
-    return rows.select("row_", F.col("pair_.kind").alias("record_type"), own.alias("record_id"), "refers_to", uri, date, "payload_digest", "block_digest", F.octet_length(block).cast("long").alias("content_length"), block.alias("block"), record.alias("record"), "block_ok", "payload_ok")
+
+    def each(data: bytes) -> list[tuple]:
+        r = parse(data)
+        if r.kind != "response":
+            return []
+        fits = digest_agrees(header(r.headers, "warc-block-digest"), r.block), digest_agrees(header(r.headers, "warc-payload-digest"), r.payload)
+        return [(*row, *fits) for row in derive(r)]
+
+    return _through(records, column, each, _fields(record_type=_S, record_id=_S, refers_to=_S, target_uri=_S, date=_S, payload_digest=_S, block_digest=_S, content_length=T_.LongType(), block=_S, record=_S, block_ok=_B, payload_ok=_B))
 
 
 def page_responses(pages: DataFrame, date: str = DATE) -> DataFrame:
     """(page_id, record): a response record for each row of ``pages(page_id, url, html)``, its identifier made from page_id and url. Null
     html is an empty payload, a null url no target."""
-    payload = F.coalesce(F.col("html").cast("string"), F.lit(""))
-    own = record_id(F.lit("response"), F.col("page_id").cast("string"), F.col("url"))
-    return pages.select(F.col("page_id").cast("long").alias("page_id"), response_record(own, F.col("url"), F.lit(date), payload).alias("record"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 256):
+                part = batch.slice(lo, 256)
+                rows = zip(*(c.to_pylist() for c in part.columns))
+                records = [response_record(record_id("response", None if i is None else str(i), url), url, date, (page or "").encode("utf-8", "replace")) for i, url, page in rows]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(records, pa.binary())], names=["page_id", "record"])
+
+    source = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
+    return source.mapInArrow(run, "page_id long, record binary")
 
 
 # --- files -------------------------------------------------------------------------------------------------------------------------------
