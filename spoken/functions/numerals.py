@@ -72,10 +72,35 @@ def cardinal(n: Column) -> Column:
     return F.when(n == 0, t.ZERO).when((n > 0) & (n < 10**18), F.rtrim(F.concat(*parts, _group(n % 1000))))
 
 
+def _words_sql(n: str) -> str:
+    """``cardinal`` of a variable as SQL text: one call builds it, where the same as Columns takes hundreds, and planning parses it at once."""
+    literal = lambda words: f"split('{'|'.join(words)}', '[|]')"
+    hundreds, rest, fem = literal(_blank(list(t.HUNDREDS))), literal(_blank(_UNDER_HUNDRED)), literal(_blank([agreed(w) for w in _UNDER_HUNDRED]))
+    group = lambda c, words: f"concat(get({hundreds}, int({c} div 100)), get({words}, int({c} % 100)))"
+    parts = []
+    for power, *forms in t.SCALES:
+        c = f"({n} div {10**power} % 1000)"
+        words = f"if({c} = 1, '', {group(c, fem)})" if power == 3 else group(c, rest)
+        parts.append(f"if({c} > 0, concat({words}, get({literal(_blank([forms[plural_index(i)] for i in range(100)]))}, int({c} % 100))), '')")
+    return f"CASE WHEN {n} = 0 THEN '{t.ZERO}' WHEN {n} > 0 AND {n} < {10**18} THEN rtrim(concat({', '.join(parts)}, {group(f'({n} % 1000)', rest)})) END"
+
+
+def _each(values: Column, function: str) -> Column:
+    """``transform`` with a function in SQL text."""
+    return F.call_function("transform", values, F.expr(function))
+
+
+def cardinal_of(value: Column) -> Column:
+    """``cardinal`` for use inside lambdas."""
+    return F.get(_each(F.array(value.cast("long")), f"n -> {_words_sql('n')}"), 0)
+
+
 def cardinal_text(digits: Column) -> Column:
-    """Words of a run of digits; from 19 significant digits on it is read digit by digit."""
+    """Words of a run of digits; from 19 significant digits on it is read digit by digit. For use inside lambdas."""
+    names = "|".join([t.ZERO, *t.UNITS[1:]])
+    spelled = f"array_join(transform(split(d, ''), c -> get(split('{names}', '[|]'), int(c))), ' ')"
     short = F.regexp_replace(digits, "^0+(?=[0-9])", "")
-    return let(short, lambda d: F.when(F.length(d) <= 18, let(d.try_cast("long"), cardinal)).otherwise(digit_by_digit(d)))
+    return F.get(_each(F.array(short), f"d -> CASE WHEN length(d) <= 18 THEN get(transform(array(try_cast(d AS bigint)), n -> {_words_sql('n')}), 0) ELSE {spelled} END"), 0)
 
 
 def digit_by_digit(digits: Column) -> Column:

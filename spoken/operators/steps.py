@@ -67,7 +67,7 @@ def dates(text: Column) -> Column:
 
     def date(x):
         month = F.get(F.array(*map(F.lit, t.MONTHS)), (_number(x, p, 2) - 1).cast("int"))
-        return F.concat(N.let(_number(x, p, 1), lambda n: N.ordinal(n, "gen")), F.lit(" "), month, F.lit(" "), N.let(_number(x, p, 3), lambda n: N.cardinal(n)), F.lit(" го́да"))
+        return F.concat(N.let(_number(x, p, 1), lambda n: N.ordinal(n, "gen")), F.lit(" "), month, F.lit(" "), N.cardinal_of(_number(x, p, 3)), F.lit(" го́да"))
 
     text = rewrite(text, rf"(?<![{WORD}]){p}(?![{WORD}])", date)
     return rewrite(text, rf"(?<![{WORD}])[0-9]{{4}}\s*г\.(?![{RU}])", lambda x: F.concat(N.let(_number(x, "^([0-9]{4})"), lambda n: N.ordinal(n)), F.lit(" го́д")))
@@ -106,8 +106,8 @@ def times(text: Column) -> Column:
     p = "([0-9]{1,2}):([0-5][0-9])"
 
     def said(h, m):
-        hour = F.when(h == 1, t.HOUR[0]).otherwise(F.concat(N.cardinal(h), F.lit(" "), N.plural(h, t.HOUR)))
-        return F.concat_ws(" ", hour, F.when(m > 0, F.concat(N.feminine(N.cardinal(m)), F.lit(" "), N.plural(m, t.MINUTE))))
+        hour = F.when(h == 1, t.HOUR[0]).otherwise(F.concat(N.cardinal_of(h), F.lit(" "), N.plural(h, t.HOUR)))
+        return F.concat_ws(" ", hour, F.when(m > 0, F.concat(N.feminine(N.cardinal_of(m)), F.lit(" "), N.plural(m, t.MINUTE))))
 
     return rewrite(text, rf"(?<![0-9:]){p}(?![0-9:])", lambda x: N.let(_number(x, p, 1), lambda h: N.let(_number(x, p, 2), lambda m: said(h, m))))
 
@@ -212,7 +212,7 @@ def currency(text: Column) -> Column:
             return out
 
         amount = F.regexp_extract(x, f"({number})", 1).try_cast("decimal(20,2)")
-        return N.let(amount, lambda a: N.let(N.cardinal(F.floor(a)), lambda whole: N.let(N.cardinal(F.round((a - F.floor(a)) * 100, 0)), lambda cents: said(a, whole, cents))))
+        return N.let(amount, lambda a: N.let(N.cardinal_of(F.floor(a)), lambda whole: N.let(N.cardinal_of(F.round((a - F.floor(a)) * 100, 0)), lambda cents: said(a, whole, cents))))
 
     return rewrite(text, rf"{number}\s*(?:{after})|[{before}]{number}", words)
 
