@@ -350,15 +350,16 @@ def _site_templates(pages: DataFrame, limits: dict, min_pages: int, evidence: bo
     few = total.filter(F.col("pages") < min_pages)
     shapes = counts.filter(F.col("kind").isin(SHAPE, TOLD) & (F.col("n") < min_pages))
     pool = _spread(shapes, hot, F.col("key")).join(_salted(few.drop("pages"), hot), ["host", "salt"], "left_semi")
-    pool = pool.groupBy("key", "kind").agg(F.sum("n").alias("n")).select(F.lit(None).cast("string").alias("host"), "key", "kind", "n")
-    pooled = few.agg(F.coalesce(F.sum("pages"), F.lit(0)).alias("pages")).select(F.lit(None).cast("string").alias("host"), "pages")
+    pooled = few.agg(F.sum("pages").alias("pages")).first()["pages"] or 0
+    shared = pool.groupBy("key", "kind").agg(F.sum("n").alias("n")).select(F.lit(None).cast("string").alias("host"), "key", "kind", "n", F.lit(pooled).cast("long").alias("pages"))
     often = counts.filter((F.col("kind") > 0) & (F.col("n") >= min(m for m, _ in limits.values())))
     many = total.filter(F.col("pages") >= min_pages)
     own = _spread(often, hot, F.col("key")).join(_salted(many, hot), ["host", "salt"]).select("host", "key", "kind", "n", "pages")
-    shared = pool.crossJoin(F.broadcast(pooled.select("pages")))  # one row
     least, share = (F.coalesce(*(F.when(F.col("kind") == k, F.lit(float(v[i]))) for k, v in limits.items())) for i in (0, 1))
     every = own.unionByName(shared).filter((F.col("pages") >= min_pages) & (F.col("n") >= least) & (F.col("n") >= share * F.col("pages"))).select("host", "key")
-    marks = many.unionByName(pooled).filter(F.col("pages") >= min_pages).select("host", F.lit(0).cast("long").alias("key"))
+    marks = many.select("host", F.lit(0).cast("long").alias("key"))
+    if pooled >= min_pages:
+        marks = marks.unionByName(pages.sparkSession.range(1).select(F.lit(None).cast("string").alias("host"), F.lit(0).cast("long").alias("key")))
     return every.distinct().unionByName(marks), hot
 
 
