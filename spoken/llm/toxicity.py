@@ -116,10 +116,13 @@ def label_model(votes: np.ndarray, known: np.ndarray, rounds: int = 25) -> tuple
     for _ in range(rounds):
         for c, weight in ((1, y), (0, 1 - y)):
             fire[c] = (weight @ v + BELIEF * believed[c]) / (weight.sum() + BELIEF)
-        # correlations within the classes: a voter's evidence is shared with those that repeat it
+        # correlations within the classes, each text in its likelier one (what both share would count as agreement): a voter's evidence
+        # is shared with those that repeat it
         kept = np.zeros((votes.shape[1],) * 2)
-        for c, weight in ((1, y), (0, 1 - y)):
-            centred = (v - fire[c]) * np.sqrt(weight / max(weight.sum(), 1e-9))[:, None]
+        hard = (y >= 0.5).astype(float)
+        for c, weight in ((1, hard), (0, 1 - hard)):
+            weight = weight / max(weight.sum(), 1e-9)
+            centred = (v - weight @ v) * np.sqrt(weight)[:, None]
             cov = centred.T @ centred
             sd = np.sqrt(np.maximum(np.diag(cov), 1e-9))
             kept = np.maximum(kept, np.maximum(0, cov / np.outer(sd, sd)))
