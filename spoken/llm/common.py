@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import re
 import tempfile
 import uuid
@@ -71,4 +72,12 @@ def written(df: DataFrame) -> DataFrame:
     ensure_checkpoint_dir(spark)
     path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/written-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    tidy(spark)
     return spark.read.parquet(path)
+
+
+def tidy(spark: SparkSession) -> None:
+    """Lets Spark drop plans, shuffles and broadcasts that nothing refers to any more. It does so when the driver's collector finds them,
+    which in a program of many jobs is when the heap is full."""
+    gc.collect()
+    spark.sparkContext._jvm.java.lang.System.gc()

@@ -309,29 +309,24 @@ def linked_rows(docs: DataFrame, shingle: int = 5, num: int = 75, den: int = 100
         joined = connected_components(links.select(F.col("ca").alias("a"), F.col("cb").alias("b")))
         return cut(labels.join(joined.select(F.col("node").alias("comp"), F.col("comp").alias("to")), "comp", "left").select("node", F.coalesce("to", "comp").alias("comp")))
 
-    def shown(tiles: DataFrame, labels: DataFrame | None) -> tuple[DataFrame, DataFrame]:
-        """Rows of the tiles that hold several components, with the largest of these; and the tiles that are dealt over tasks. Without
-        labels every node is a component."""
+    def shown(tiles: DataFrame, labels: DataFrame | None) -> DataFrame:
+        """Rows of the tiles that hold several components, with the largest of these, and with a salt: the largest tiles are dealt over
+        several tasks, others over one. Without labels every node is a component."""
         if labels is None:
             marked = tiles.withColumn("comp", F.col("node"))
             parts = marked.groupBy("tile").agg(F.count("*").alias("n"), F.max("comp").alias("most")).withColumn("parts", F.col("n"))
         else:
             marked = tiles.join(labels, "node")
             parts = marked.groupBy("tile", "comp").agg(F.count("*").alias("n")).groupBy("tile").agg(F.sum("n").alias("n"), F.max_by("comp", F.struct("n", "comp")).alias("most"), F.count("*").alias("parts"))
-        mixed = cut(parts.filter("parts > 1").select("tile", "n", "most"))
-        hot = mixed.filter(F.col("n") > HOT_ROWS).orderBy(F.desc("n"), "tile").limit(HOT_TILES).select("tile", F.ceil(F.col("n") / HOT_ROWS).cast("int").alias("salts"))
-        hot = cut(hot)
-        return written(dealt(marked, hot).join(copied(mixed.select("tile", "most"), hot), ["tile", "salt"])), hot
+        mixed = cut(parts.filter("parts > 1").select("tile", "most", F.ceil(F.col("n") / HOT_ROWS).cast("int").alias("salts")))
+        hot = mixed.filter("salts > 1").orderBy(F.desc("salts"), "tile").limit(HOT_TILES).select("tile", F.col("salts").alias("hot"))
+        dealt = marked.join(F.broadcast(hot), "tile", "left")  # at most HOT_TILES rows
+        dealt = dealt.withColumn("salt", F.coalesce(F.pmod(F.xxhash64("node"), F.col("hot")), F.lit(0)).cast("int")).drop("hot")
+        return written(dealt.join(copied(mixed), ["tile", "salt"]))
 
-    def dealt(rows: DataFrame, hot: DataFrame) -> DataFrame:
-        """Rows of hot tiles get one of the tile's salts each."""
-        rows = rows.join(F.broadcast(hot), "tile", "left")  # at most HOT_TILES rows
-        return rows.withColumn("salt", F.coalesce(F.pmod(F.xxhash64("node"), F.col("salts")), F.lit(0)).cast("int")).drop("salts")
-
-    def copied(rows: DataFrame, hot: DataFrame) -> DataFrame:
-        """Rows of hot tiles come once for each of the tile's salts."""
-        rows = rows.join(F.broadcast(hot), "tile", "left")
-        return rows.withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("salts"), F.lit(1)) - 1))).drop("salts")
+    def copied(rows: DataFrame) -> DataFrame:
+        """Rows once for each salt of their tile."""
+        return rows.drop("salt").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
 
     labels = nodes.select("node", F.col("node").alias("comp"))
     band = F.floor(F.log(F.col("size").cast("double")) / F.log(F.lit(den / num))).cast("int")
@@ -340,11 +335,11 @@ def linked_rows(docs: DataFrame, shingle: int = 5, num: int = 75, den: int = 100
     place = lambda up, guest: F.struct(F.xxhash64("token", F.col("band") + up).alias("tile"), F.lit(guest).alias("guest"))
     tiles = tiles.select("node", F.col("size").cast("int").alias("size"), "at", F.inline(F.when(smaller, F.array(place(0, False), place(1, True))).otherwise(F.array(place(0, False)))))
     for round_ in range(ROUNDS):
-        rows_, hot = shown(tiles, labels if round_ else None)
+        rows_ = shown(tiles, labels if round_ else None)
         tiles = rows_.select("node", "size", "at", "tile", "guest")
         order = F.xxhash64(F.lit(round_), "node") if round_ else F.col("node")
-        pivot = rows_.groupBy("tile").agg(F.min_by(F.struct("node", "comp", "size"), order).alias("p"))
-        near = rows_.join(copied(pivot, hot), ["tile", "salt"]).filter((F.col("p.comp") != F.col("comp")) & (den * F.least("size", "p.size") >= num * F.greatest("size", "p.size")))
+        pivot = rows_.groupBy("tile").agg(F.min_by(F.struct("node", "comp", "size"), order).alias("p"), F.first("salts").alias("salts"))
+        near = rows_.join(copied(pivot).drop("salts"), ["tile", "salt"]).filter((F.col("p.comp") != F.col("comp")) & (den * F.least("size", "p.size") >= num * F.greatest("size", "p.size")))
         near = near.groupBy("node", "comp", F.col("p.node").alias("b"), F.col("p.comp").alias("cb")).agg(F.count("*").alias("n"))
         near = near.groupBy(F.col("node").alias("a"), F.col("comp").alias("ca")).agg(F.max_by(F.struct("b", "cb"), F.struct("n", "b")).alias("x")).select("a", "ca", "x.b", "x.cb")
         near = near.join(_prefixed(nodes, "a_", "node", "size", "toks", *bits), F.col("a") == F.col("a_node")).join(_prefixed(nodes, "b_", "node", "size", "toks", *bits), F.col("b") == F.col("b_node")).filter(_fits(num, den, "a_", "b_"))
@@ -355,10 +350,9 @@ def linked_rows(docs: DataFrame, shingle: int = 5, num: int = 75, den: int = 100
         if found <= enough_links:
             break
 
-    last, hot = shown(tiles, labels)
-    last = last.join(_prefixed(nodes, "", "node", *bits), "node").drop("salt")
+    last = shown(tiles, labels).join(_prefixed(nodes, "", "node", *bits), "node")
     columns = ("node", "size", "at", "comp", "tile", "guest", "most", "salt", *bits)
-    left, right = _prefixed(dealt(last, hot), "a_", *columns), _prefixed(copied(last, hot), "b_", *columns)
+    left, right = _prefixed(last, "a_", *columns), _prefixed(copied(last), "b_", *columns)
     # pairs of two rows outside the tile's largest component come once, in the order of their nodes; two guests meet at home; a pair
     # need be seen in its first common tile only, so what is left of both sets after this one must still make the overlap
     once = ((F.col("b_comp") == F.col("b_most")) | (F.col("a_node") < F.col("b_node"))) & ~(F.col("a_guest") & F.col("b_guest"))
