@@ -227,3 +227,19 @@ def test_words_and_windows(texts):
         for word, x in zip(WORDS.findall(t or ""), h[w.first[i] : w.first[i + 1]].tolist()):
             assert by_word.setdefault(word, x) == x
     assert len(set(by_word.values())) == len(by_word)
+
+
+def test_recall_where_the_space_is_fitted_on_a_part(spark, docs, monkeypatch):
+    """The latent space alone comes from a sample, here an eighth of the documents; whatever the space, frequencies count all passages and
+    all windows are searched, and of the exhaustive search's leaks at least 0.9 are found."""
+    monkeypatch.setattr(D, "FIT_DOCS", 125)
+    monkeypatch.setattr(D, "FIT_PASSAGES", 2000)
+    items = sorted((r["item_id"], r["text"]) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect())
+    idf = D._idf(docs)
+    space = D.latent_space(docs, idf)
+    rows = [(r["text"] or "").encode() for r in docs.select("text").collect()]
+    raw, offsets = np.frombuffer(b"".join(rows), np.uint8), np.cumsum([0, *map(len, rows)])
+    pieces = D.Pieces(items, idf, space)
+    every = {(r, i) for r, i, *_ in D.find(raw, offsets, pieces, idf, space, exhaustive=True)}
+    found = {(r, i) for r, i, *_ in D.find(raw, offsets, pieces, idf, space)}
+    assert every and found <= every and len(found) >= 0.9 * len(every)
