@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textops as T
-from .common import cut, shuffle_partitions, written
+from .common import cut, few, shuffle_partitions, written
 from .components import connected_components
 
 BITMAP_WORDS = 8
@@ -307,7 +307,7 @@ def linked_rows(docs: DataFrame, shingle: int = 5, num: int = 75, den: int = 100
     def relabel(labels: DataFrame, links: DataFrame) -> DataFrame:
         """Labels of all nodes after ``links(ca, cb)`` between components."""
         joined = connected_components(links.select(F.col("ca").alias("a"), F.col("cb").alias("b")))
-        return cut(labels.join(joined.select(F.col("node").alias("comp"), F.col("comp").alias("to")), "comp", "left").select("node", F.coalesce("to", "comp").alias("comp")))
+        return cut(few(labels.join(joined.select(F.col("node").alias("comp"), F.col("comp").alias("to")), "comp", "left").select("node", F.coalesce("to", "comp").alias("comp"))))
 
     def shown(tiles: DataFrame, labels: DataFrame | None) -> DataFrame:
         """Rows of the tiles that hold several components, with the largest of these, and with a salt: the largest tiles are dealt over
@@ -318,11 +318,11 @@ def linked_rows(docs: DataFrame, shingle: int = 5, num: int = 75, den: int = 100
         else:
             marked = tiles.join(labels, "node")
             parts = marked.groupBy("tile", "comp").agg(F.count("*").alias("n")).groupBy("tile").agg(F.sum("n").alias("n"), F.max_by("comp", F.struct("n", "comp")).alias("most"), F.count("*").alias("parts"))
-        mixed = cut(parts.filter("parts > 1").select("tile", "most", F.ceil(F.col("n") / HOT_ROWS).cast("int").alias("salts")))
+        mixed = cut(few(parts.filter("parts > 1").select("tile", "most", F.ceil(F.col("n") / HOT_ROWS).cast("int").alias("salts"))))
         hot = mixed.filter("salts > 1").orderBy(F.desc("salts"), "tile").limit(HOT_TILES).select("tile", F.col("salts").alias("hot"))
         dealt = marked.join(F.broadcast(hot), "tile", "left")  # at most HOT_TILES rows
         dealt = dealt.withColumn("salt", F.coalesce(F.pmod(F.xxhash64("node"), F.col("hot")), F.lit(0)).cast("int")).drop("hot")
-        return written(dealt.join(copied(mixed), ["tile", "salt"]))
+        return written(few(dealt.join(copied(mixed), ["tile", "salt"])))
 
     def copied(rows: DataFrame) -> DataFrame:
         """Rows once for each salt of their tile."""
@@ -343,7 +343,7 @@ def linked_rows(docs: DataFrame, shingle: int = 5, num: int = 75, den: int = 100
         near = near.groupBy("node", "comp", F.col("p.node").alias("b"), F.col("p.comp").alias("cb")).agg(F.count("*").alias("n"))
         near = near.groupBy(F.col("node").alias("a"), F.col("comp").alias("ca")).agg(F.max_by(F.struct("b", "cb"), F.struct("n", "b")).alias("x")).select("a", "ca", "x.b", "x.cb")
         near = near.join(_prefixed(nodes, "a_", "node", "size", "toks", *bits), F.col("a") == F.col("a_node")).join(_prefixed(nodes, "b_", "node", "size", "toks", *bits), F.col("b") == F.col("b_node")).filter(_fits(num, den, "a_", "b_"))
-        links = cut(verified(near))
+        links = cut(few(verified(near)))
         found = links.count()
         if found:
             labels = relabel(labels, links)
@@ -360,7 +360,7 @@ def linked_rows(docs: DataFrame, shingle: int = 5, num: int = 75, den: int = 100
     across = left.filter("a_comp <> a_most").join(right, (F.col("a_tile") == F.col("b_tile")) & (F.col("a_salt") == F.col("b_salt")) & (F.col("a_comp") != F.col("b_comp")) & once & enough("a_") & enough("b_") & _fits(num, den, "a_", "b_"))
     pairs = across.select(F.col("a_node").alias("a"), F.col("b_node").alias("b"), F.col("a_comp").alias("ca"), F.col("b_comp").alias("cb")).distinct()
     pairs = pairs.join(_prefixed(nodes, "a_", "node", "size", "toks"), F.col("a") == F.col("a_node")).join(_prefixed(nodes, "b_", "node", "size", "toks"), F.col("b") == F.col("b_node"))
-    named = relabel(labels, cut(verified(pairs))).select("node", F.col("comp").alias("component_id"))
+    named = relabel(labels, cut(few(verified(pairs)))).select("node", F.col("comp").alias("component_id"))
     # what is neither in an equal set of several documents nor a node with links is a component of its own
     known = sets.join(named, "node", "left").select("p1", "p2", "size", F.coalesce("component_id", "node").alias("component_id"))
     out = rows.join(known, ["p1", "p2", "size"], "left").select("doc_id", "tag", F.col("size").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))

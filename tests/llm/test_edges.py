@@ -1,6 +1,7 @@
 """Cases at the edges: hot tiles and size bands of the join, long and repeated turns, toxicity without labels, the checkpoint folder."""
 
 import hashlib
+import pathlib
 import random
 
 import pytest
@@ -106,3 +107,23 @@ def test_a_cluster_needs_a_shared_folder():
 
     with pytest.raises(ValueError, match=r"spark\.checkpoint\.dir"):
         common.ensure_checkpoint_dir(Session())
+
+
+def test_rounds_write_few_files(spark):
+    """The join's rounds write narrow results, whose files must not grow with the shuffle partitions one for one."""
+    common.ensure_checkpoint_dir(spark)
+    folder = pathlib.Path(spark.sparkContext._jsc.sc().getCheckpointDir().get().removeprefix("file:"))
+    seen = set(folder.glob("rdd-*"))
+    conf = {"spark.sql.shuffle.partitions": "48", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        texts = [" ".join(f"w{i // 3}_{k}" if k != i % 3 else "other" for k in range(60)) for i in range(300)]
+        rows = ngram_join.ngram_jaccard_join(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert {r["doc_id"]: r["component_id"] for r in rows} == {i: i // 3 * 3 for i in range(300)}
+    parts = [len(list(p.glob("part-*"))) for p in folder.glob("rdd-*") if p not in seen]
+    assert len(parts) > 4 and max(parts) <= 8
